@@ -1,0 +1,5 @@
+"""No streaming operators: every job this library covers is a batch job.
+
+The column expressions in ``dunlake.functions`` and the row-wise projections
+hold no state, so they can be applied to a streaming DataFrame unchanged.
+"""
