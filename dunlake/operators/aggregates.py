@@ -158,7 +158,7 @@ def volume(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
     """
 
     def amount(column: ColumnLike) -> Column:
-        return F.coalesce(number(column).cast(f"decimal(18,{spec.scale})"), F.lit(0))
+        return F.coalesce(number(column).try_cast(f"decimal(18,{spec.scale})"), F.lit(0))
 
     rows = df if spec.keep is None else df.filter(spec.keep)
     moment = floor_to(spec.time, unit).alias("fecha_movimiento")
