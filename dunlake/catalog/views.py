@@ -148,7 +148,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             ),
             "valor": _cases(
                 "o_orderkey", f"translate({_MONEY}, '.', ',')", _MONEY, "'0'", "'abc'", "'0,01'",
-                "CAST(CAST(o_totalprice AS BIGINT) AS STRING)", "NULL",
+                "CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)", "NULL",
             ),
         },
     ),

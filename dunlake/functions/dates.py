@@ -11,10 +11,18 @@ from dunlake.functions import fixed_values as fixed
 from dunlake.functions.base import ColumnLike, as_column, text
 
 
+def _date_in(day: Column, fmt: str) -> Column:
+    parsed = F.try_to_date(day, fmt)
+    if fmt.endswith("yyyy") or not fmt.endswith("yy"):
+        return parsed
+    # two-digit years from 69 on belong to the last century
+    return F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
+
+
 def parsed_date(value: ColumnLike, formats=fixed.PAYMENT_DATE_FORMATS) -> Column:
     """Date of a text in the first format that fits; null when none does."""
     day = F.split_part(F.split_part(text(value), F.lit(" "), F.lit(1)), F.lit(":"), F.lit(1))
-    return F.coalesce(*[F.try_to_date(day, fmt) for fmt in formats])
+    return F.coalesce(*[_date_in(day, fmt) for fmt in formats])
 
 
 def iso_date(value: ColumnLike) -> Column:

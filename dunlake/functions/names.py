@@ -15,9 +15,21 @@ def _replace_forms(col: Column, forms, letter: str) -> Column:
     return apply_each(col, forms, lambda c, form: F.replace(c, F.lit(form), F.lit(letter)))
 
 
+def _strip_lead(col: Column) -> Column:
+    return F.regexp_replace(col, r"^(A\s+| )+", "")
+
+
 def _keep_letters(col: Column) -> Column:
     letters = apply_each(F.regexp_replace(col, "[^A-Z& ]", ""), fixed.CLIPPED_TITLES, drop_text)
-    return F.regexp_replace(letters, r"^(A\s+| )+", "")
+    return _strip_lead(letters)
+
+
+def _needs_cleaning(upper_name: Column) -> Column:
+    """True unless no step but the last can change the name.
+
+    Most names take this short way: one pattern instead of some forty passes.
+    """
+    return upper_name.rlike("SR|SEN|SEO|NNNNN|  |[^A-Z& ]")
 
 
 def clean_name(name: ColumnLike) -> Column:
@@ -27,26 +39,32 @@ def clean_name(name: ColumnLike) -> Column:
     earlier removal can create a later match. Single characters have no such
     order and are removed together by ``translate``.
     """
-    col = _replace_forms(F.upper(text(name)), fixed.ENYE_FORMS, "N")
+    upper_name = F.upper(text(name))
+    col = _replace_forms(upper_name, fixed.ENYE_FORMS, "N")
     col = apply_each(col, fixed.MOJIBAKE_LETTERS, lambda c, pair: _replace_forms(c, pair[:1], pair[1]))
     col = apply_each(col, fixed.TITLE_PATTERNS, lambda c, title: F.regexp_replace(c, title, ""))
     col = apply_each(F.translate(col, fixed.NAME_SYMBOLS, ""), fixed.COURTESY_TITLES, drop_text)
     col = F.translate(drop_text(col, fixed.NAME_QUESTION_MARKS), fixed.NAME_SYMBOLS_AFTER_TITLES, "")
     col = apply_each(col, [digit + " " for digit in DIGITS], drop_text)
-    return _keep_letters(drop_text(F.translate(col, DIGITS, ""), "  "))
+    cleaned = _keep_letters(drop_text(F.translate(col, DIGITS, ""), "  "))
+    return F.when(_needs_cleaning(upper_name), cleaned).otherwise(_strip_lead(upper_name))
 
 
 def clean_name_literal(name: ColumnLike) -> Column:
     """Same cleaning with every title taken literally."""
-    col = _replace_forms(F.upper(text(name)), fixed.LITERAL_ENYE_FORMS, "N")
+    upper_name = F.upper(text(name))
+    col = _replace_forms(upper_name, fixed.LITERAL_ENYE_FORMS, "N")
     col = apply_each(col, fixed.MOJIBAKE_LETTERS, lambda c, pair: _replace_forms(c, pair[:1], pair[1]))
-    return _keep_letters(apply_each(col, fixed.LITERAL_NAME_PARTS, drop_text))
+    cleaned = _keep_letters(apply_each(col, fixed.LITERAL_NAME_PARTS, drop_text))
+    return F.when(_needs_cleaning(upper_name), cleaned).otherwise(_strip_lead(upper_name))
 
 
-def clean_name_or_original(name: ColumnLike) -> Column:
-    """Literal cleaning, but keep the original when fewer than seven letters remain."""
-    cleaned = clean_name_literal(name)
-    return F.when(F.length(cleaned) < 7, text(name)).otherwise(cleaned)
+def cleaned_or_original(cleaned: ColumnLike, original: ColumnLike) -> Column:
+    """A cleaned name, or the original when fewer than seven letters remain.
+
+    Put the cleaned name in a column of its own first, so it is computed once.
+    """
+    return F.when(F.length(text(cleaned)) < 7, text(original)).otherwise(text(cleaned))
 
 
 def short_name(name: ColumnLike) -> Column:
