@@ -19,7 +19,7 @@ _LETTERS = "translate(CAST(o_custkey AS STRING), '0123456789', 'ABCDEFGHIJ')"
 
 def _cases(key: str, *values: str | None) -> str:
     arms = " ".join(f"WHEN {i} THEN {'NULL' if v is None else v}" for i, v in enumerate(values))
-    return f"CASE {key} % {len(values)} {arms} END"
+    return f"CASE ({key}) % {len(values)} {arms} END"
 
 
 def _texts(key: str, *values: str | None) -> str:

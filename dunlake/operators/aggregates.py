@@ -54,7 +54,9 @@ def touch_matrix(channels: Mapping[str, DataFrame], brands: Sequence[str] = fixe
             for name in channels
         ]
     )
-    survivor = dedup(counted, ["cuenta_sin_punto"], ["cuenta_real", "marca"])
+    survivor = dedup(
+        counted, ["cuenta_sin_punto"], [F.col("cuenta_real").asc_nulls_last(), F.col("marca").asc_nulls_last()]
+    )
     return survivor.withColumn("marca", F.lower("marca")).filter(F.col("marca").isin(*brands))
 
 

@@ -24,7 +24,7 @@ def calendar(df: DataFrame, key: str, day: str) -> DataFrame:
     """
     last_of_all = df.agg(F.max(day)).scalar()
     masks = df.groupBy(key).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col(day).cast("int"))).alias("_mask"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(day).cast("int"))).alias("_mask"),
         F.min(day).alias("primer_dia"),
         F.max(day).alias("ultimo_dia"),
     ).withColumn("_limit", last_of_all)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dunlake.functions import fixed_values as fixed
 from dunlake.functions.base import ColumnLike
 from dunlake.operators.dedup import dedup
+from dunlake.session import small_table
 
 
 def enrich(
@@ -79,11 +80,12 @@ def new_only(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFra
 
 def brand_dimension(spark, groups: Mapping[str, Sequence[str]] = fixed.BRAND_GROUPS) -> DataFrame:
     """(group, brand) rows of the brand groups, with implied brands added to each."""
-    rows = []
-    for group, brands in groups.items():
-        implied = [fixed.IMPLIED_BRANDS[b] for b in brands if b in fixed.IMPLIED_BRANDS]
-        rows += [(group, brand) for brand in [*brands, *implied]]
-    return spark.createDataFrame(rows, "grupo string, marca string")
+    rows = [
+        (group, brand)
+        for group, brands in groups.items()
+        for brand in [*brands, *[fixed.IMPLIED_BRANDS[b] for b in brands if b in fixed.IMPLIED_BRANDS]]
+    ]
+    return small_table(spark, {"grupo": [g for g, _ in rows], "marca": [b for _, b in rows]})
 
 
 def filter_groups(df: DataFrame, brand: str, groups: Sequence[str], dimension: DataFrame) -> DataFrame:

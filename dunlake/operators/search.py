@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlake.functions.base import text
+from dunlake.session import small_table
 
 
 def search(df: DataFrame, terms: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def search_summary(hits: DataFrame, terms: Sequence[str], file: str | None = Non
     if file is not None:
         counts.append(F.count_distinct(F.col(file)).alias("_files"))
     grouped = hits.groupBy("Dato_Buscado").agg(*counts)
-    wanted = hits.sparkSession.createDataFrame([(term,) for term in terms], "Dato_Buscado string")
+    wanted = small_table(hits.sparkSession, {"Dato_Buscado": list(terms)})
     total = F.coalesce("_hits", F.lit(0))
     result = [
         "Dato_Buscado",

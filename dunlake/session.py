@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -56,3 +58,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Table of constants. It is a local relation of known size, so joins broadcast it."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.string()) for name, values in columns.items()}))
