@@ -12,6 +12,11 @@ from dunlake.functions import fixed_values as fixed
 from dunlake.operators.projection import unique_names
 
 ASSIGNMENT_COLUMNS = tuple(f"{i}_" for i in range(1, 63))
+# Windows-1252 is latin-1 with printable signs in place of these control characters;
+# Spark reads latin-1, the signs are put in afterwards.
+_UNUSED_CONTROLS = "\x81\x8d\x8f\x90\x9d"
+_LATIN_CONTROLS = "".join(c for c in map(chr, range(0x80, 0xA0)) if c not in _UNUSED_CONTROLS)
+_WINDOWS_SIGNS = _LATIN_CONTROLS.encode("latin-1").decode("windows-1252")
 SEPARATOR_ORDERS = {
     "union": (",", ";", "\t"),
     "payments": ("\t", "|", ";", ",", " "),
@@ -36,14 +41,23 @@ def read_text_table(
     ``malformed="DROPMALFORMED"`` drops ragged lines, the default pads or cuts them.
     Give ``schema`` (all columns present, in file order) to skip reading the header.
     """
-    reader = spark.read.options(header=True, sep=sep, encoding=encoding, mode=malformed, **options)
+    windows = encoding.lower() in ("windows-1252", "cp1252")
+    reader = spark.read.options(
+        header=True, sep=sep, encoding="ISO-8859-1" if windows else encoding, mode=malformed, **options
+    )
+    if malformed == "DROPMALFORMED":
+        # a pruned parser would not see that a line has too few or too many fields
+        reader = reader.option("columnPruning", False)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.csv(path if isinstance(path, str) else list(path))
+    df = reader.csv(path if isinstance(path, str) else list(path))
+    if not windows:
+        return df
+    return df.select(*[F.translate(F.col(f"`{c}`"), _LATIN_CONTROLS, _WINDOWS_SIGNS).alias(c) for c in df.columns])
 
 
-def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    row = spark.read.option("encoding", encoding).text(path).head()
+def first_line(spark: SparkSession, path: str) -> str:
+    row = spark.read.text(path).head()
     return "" if row is None else row[0].lstrip("﻿")
 
 
@@ -62,16 +76,15 @@ def sniff_separator(spark: SparkSession, path: str, order: str | Sequence[str] =
     return candidates[-1]
 
 
-def detect_encoding(
-    spark: SparkSession, path: str, candidates: Sequence[str] = ("UTF-8", "windows-1252", "ISO-8859-1")
-) -> str:
-    """First encoding that decodes every line; the last candidate is taken as it is."""
-    for encoding in candidates[:-1]:
-        lines = spark.read.option("encoding", encoding).text(path)
-        bad = ~F.is_valid_utf8("value") | F.contains("value", F.lit("�"))
-        if lines.filter(bad).isEmpty():
-            return encoding
-    return candidates[-1]
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 when every line is valid, else Windows-1252, else latin-1, which fits any bytes."""
+    lines = spark.read.text(path)
+    if lines.filter(~F.is_valid_utf8("value")).isEmpty():
+        return "UTF-8"
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    if lines.filter(latin.rlike(f"[{_UNUSED_CONTROLS}]")).isEmpty():
+        return "windows-1252"
+    return "ISO-8859-1"
 
 
 def read_positional(spark: SparkSession, path: str, drop: Sequence[int] = (), sep: str = ";") -> DataFrame:
