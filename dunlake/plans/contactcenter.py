@@ -80,7 +80,7 @@ def batch_cross(results: DataFrame, lake: DataFrame, want: bool = True) -> DataF
     current = lake.filter(~F.col("marca").isin(*fixed.OLD_BRANDS)).select(
         accounts.composite_key("dato", "identificacion", separator="").alias("CRUCE"),
         F.col("cuenta").alias("cuenta_promesa"),
-    )
+    ).distinct()
     if not want:
         return calls.join(current, "CRUCE", "left_anti").withColumn("cuenta_promesa", F.lit(None).cast("string")).distinct()
     return calls.join(current, "CRUCE", "inner").distinct()
@@ -184,7 +184,11 @@ DASHBOARD_SOURCES = {
 
 
 def dashboard(df: DataFrame, as_of: date) -> DataFrame:
-    """Sent messages in the dashboard schema."""
+    """Sent messages in the dashboard schema.
+
+    The two segment replacements follow each other, so a plural becomes 'PERSONASS'
+    as in the tables the dashboard already holds.
+    """
     segment = F.replace(F.upper(p.pick(df, ["SEGMENTO"], required=False)), F.lit("NO APLICA"), F.lit("PERSONAS"))
     derived = {
         "Cuenta_Next": accounts.without_dashes(p.pick(df, ["CUENTA"], required=False)),
