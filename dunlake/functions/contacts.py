@@ -14,6 +14,7 @@ from dunlake.functions.base import (
     drop_text,
     first_match,
     is_blank,
+    lookup,
     number,
     text,
     whole,
@@ -22,8 +23,28 @@ from dunlake.functions.base import (
 Range = tuple[int, int]
 
 
+def in_ranges(contact: ColumnLike, *ranges: Range) -> Column:
+    """True when the number of a contact text lies in one of the ranges; never null.
+
+    All bounds have ten digits, so ten-digit texts compare like their numbers and
+    need no cast. Other spellings (blanks, sign, leading zeros, fraction) are cut
+    down to their ten digits first.
+    """
+    col = text(contact)
+
+    def within(digits: Column) -> Column:
+        found = F.lit(False)
+        for low, high in ranges:
+            found = found | digits.between(str(low), str(high))
+        return found
+
+    spelled = F.regexp_extract(col, r"^\s*\+?0*([1-9][0-9]{9})(\.[0-9]*)?\s*$", 1)
+    usual = within(col) & col.rlike("^[0-9]+$")
+    return F.coalesce(F.when(F.length(col) == 10, usual).otherwise(within(spelled)), F.lit(False))
+
+
 def in_range(contact: ColumnLike, bounds: Range) -> Column:
-    return whole(contact).between(*bounds)
+    return in_ranges(contact, bounds)
 
 
 def contact_filter(
@@ -43,7 +64,7 @@ def contact_filter(
     if kind == "email":
         return text(contact).contains("@")
     if kind == "both":
-        return in_range(contact, mobile) | in_range(contact, landline)
+        return in_ranges(contact, mobile, landline)
     raise ValueError(f"unknown contact kind {kind!r}")
 
 
@@ -77,8 +98,7 @@ def area_digit(place: ColumnLike) -> Column:
     word = F.split_part(
         F.regexp_replace(F.split_part(named, F.lit("/"), F.lit(1)), "[^A-Z ]", ""), F.lit(" "), F.lit(1)
     )
-    rules = [(F.upper(word).isin(*places), F.lit(digit)) for digit, places in fixed.AREA_BY_PLACE.items()]
-    return first_match(rules, F.lit(None).cast("string"))
+    return lookup(F.upper(word), {place: digit for digit, places in fixed.AREA_BY_PLACE.items() for place in places})
 
 
 def rebuild_landline(phone: ColumnLike, place: ColumnLike) -> Column:
@@ -90,7 +110,7 @@ def rebuild_landline(phone: ColumnLike, place: ColumnLike) -> Column:
     full = F.when(F.length(digits) == 7, F.concat(F.lit("60"), area, digits)).when(
         F.length(digits) == 8, F.concat(F.lit("60"), digits)
     )
-    valid = in_range(full, fixed.LAKE_MOBILE_RANGE) | in_range(full, fixed.REBUILT_LANDLINE_RANGE)
+    valid = in_ranges(full, fixed.LAKE_MOBILE_RANGE, fixed.REBUILT_LANDLINE_RANGE)
     return F.when(candidate & area.isNotNull() & valid, full)
 
 
