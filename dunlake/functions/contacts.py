@@ -146,7 +146,7 @@ def slot_code(phone: ColumnLike) -> Column:
 
 def slot_signature(slots: list[ColumnLike]) -> Column:
     """Sort key of a slot row. Kept as text: twenty digits do not fit a long."""
-    return F.concat(*[slot_code(slot) for slot in slots])
+    return F.array_join(F.transform(F.array(*[text(slot) for slot in slots]), slot_code), "")
 
 
 def at_count(address: ColumnLike) -> Column:

@@ -37,16 +37,15 @@ def pivot_slots(
     """First ``n`` values of a key as ``prefix1..n``, '' where there is none.
 
     ``kept`` columns come from the first row of the key. The ranking and the
-    aggregate share one shuffle, and a list never grows beyond ``n``.
+    aggregate share one shuffle and one sort, and no list is collected.
     """
-    firsts = [F.min_by(F.col(f"`{c}`"), "_rank").alias(c) for c in kept]
-    lists = top_rows(df, keys, order, n, "_rank").groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.sort_array(F.collect_list(F.struct("_rank", F.col(f"`{value}`").alias("item")))).alias("_slots"), *firsts
-    )
+    ranked_rows = top_rows(df, keys, order, n, "_rank")
+    firsts = [F.max(F.when(F.col("_rank") == 1, F.col(f"`{c}`"))).alias(c) for c in kept]
     slots = [
-        F.coalesce(F.get("_slots", F.lit(i))["item"], F.lit("")).alias(f"{prefix}{i + 1}") for i in range(n)
+        F.coalesce(F.max(F.when(F.col("_rank") == i, F.col(f"`{value}`"))), F.lit("")).alias(name)
+        for i, name in enumerate(slot_names(prefix, n), 1)
     ]
-    return lists.select(*[F.col(f"`{c}`") for c in [*keys, *kept]], *slots)
+    return ranked_rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*firsts, *slots)
 
 
 def explode_list(df: DataFrame, cell: str, value: str, separator: str = r"\|", drop_blank: bool = False) -> DataFrame:
@@ -88,7 +87,4 @@ def chunk_slots(df: DataFrame, columns: Sequence[str], size: int, prefix: str, c
 
 def filled_slots(columns: Sequence[str], condition) -> Column:
     """Number of slot columns for which ``condition(column)`` holds."""
-    total = F.lit(0)
-    for name in columns:
-        total = total + F.when(condition(F.col(f"`{name}`")), 1).otherwise(0)
-    return total
+    return F.size(F.filter(F.array(*[F.col(f"`{name}`") for name in columns]), condition))

@@ -13,7 +13,7 @@ from dunlake.functions import accounts, amounts, bands, classes, contacts, dates
 from dunlake.functions import fixed_values as fixed
 from dunlake.operators import projection as p
 from dunlake.operators.aggregates import brand_retire_flag
-from dunlake.operators.dedup import dedup
+from dunlake.operators.dedup import dedup, join_null_safe
 from dunlake.operators.reshape import filled_slots, pivot_slots, slot_names, unpivot_slots
 
 PHONE_COLUMNS = (*slot_names("celular", 10), *slot_names("fijo", 3), "min")
@@ -272,10 +272,18 @@ def reorder_base(
 ) -> DataFrame:
     """Wide contact table per account with counts, ordered by the kind of contact in each slot."""
     base = with_defaults(df).filter(F.col("marca") != excluded_brand)
-    rows = unpivot_slots(base, [c for c in phones if c in df.columns], CONTACT, keep_nulls=False)
-    valid = one_per_contact(rows.filter(contacts.contact_filter(CONTACT, landline=fixed.REORDER_LANDLINE_RANGE)))
+    keys = ["cuenta", "identificacion"]
+    slot_columns = [c for c in phones if c in df.columns]
+    rows = unpivot_slots(base.select(*keys, *slot_columns), slot_columns, CONTACT, keep_nulls=False)
+    valid = dedup(
+        rows.filter(contacts.contact_filter(CONTACT, landline=fixed.REORDER_LANDLINE_RANGE)),
+        ["cuenta", CONTACT],
+        ["identificacion"],
+    )
+    # Only keys and contacts are multiplied and shuffled; the account fields join back once.
     kept = ["cuenta2", "marca", "marca2", "origen", "Mod_init_cta", "nombrecompleto", "referencia", "descuento", "Tipo Base"]
-    wide = pivot_slots(valid, ["cuenta", "identificacion"], [CONTACT], CONTACT, slots, "phone", kept)
+    fields = dedup(base.select(*keys, *kept), keys, kept)
+    wide = join_null_safe(pivot_slots(valid, keys, [CONTACT], CONTACT, slots, "phone"), fields, keys, "left")
     columns = slot_names("phone", slots)
     counted = wide.withColumns(
         {
