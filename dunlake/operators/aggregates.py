@@ -103,7 +103,8 @@ def brand_retire_flag(
 ) -> DataFrame:
     """RETIRAR for unranked rows of a special brand in which any row is ranked.
 
-    The flags are one row per special brand, joined back by brand.
+    The flags are at most one row per name in ``special``, so they are broadcast;
+    a shuffle by brand would gather a large brand in one task.
     """
     ranked_brands = (
         df.filter(F.col(brand).isin(*special) & (F.col(status) != fixed.NO_RANKING))
@@ -111,7 +112,7 @@ def brand_retire_flag(
         .distinct()
         .withColumn("_ranked", F.lit(True))
     )
-    joined = df.join(ranked_brands, df[brand] == F.col("_brand"), "left")
+    joined = df.join(F.broadcast(ranked_brands), df[brand] == F.col("_brand"), "left")
     retired = F.col("_ranked").isNotNull() & (F.col(status) == fixed.NO_RANKING)
     return joined.withColumn(status, F.when(retired, F.lit(fixed.RETIRE)).otherwise(F.col(status))).drop(
         "_brand", "_ranked"

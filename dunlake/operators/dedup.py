@@ -55,7 +55,8 @@ def numbered(df: DataFrame, order: Sequence[ColumnLike], name: str = "fila") ->
         .agg(F.count("*").alias("_rows"))
         .select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    return rows.join(files, "_file").select(
+    # One row per written file, at most one file per shuffle partition: safe to broadcast.
+    return rows.join(F.broadcast(files), "_file").select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place")).alias(name)
     )
 

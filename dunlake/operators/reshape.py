@@ -63,10 +63,17 @@ def items_per_key(
     told apart by ``parte``; nothing is dropped and no list outgrows a task.
     """
     pairs = df.select(key, text(as_column(item)).alias("_item")).distinct()
-    sizes = pairs.groupBy(key).agg(F.ceil(F.count("_item") / F.lit(limit)).alias("_parts"))
+    large = (
+        pairs.groupBy(key)
+        .agg(F.count("_item").alias("_items"))
+        .filter(F.col("_items") > limit)
+        .select(key, F.ceil(F.col("_items") / F.lit(limit)).alias("_parts"))
+    )
+    part = F.pmod(F.xxhash64("_item"), F.coalesce("_parts", F.lit(1)))
     return (
-        pairs.join(sizes, key)
-        .withColumn("parte", F.pmod(F.xxhash64("_item"), F.greatest("_parts", F.lit(1))))
+        pairs.join(large, key, "left")
+        .select(key, "_item", part.alias("parte"))
+        .repartition(key, "parte")
         .groupBy(key, "parte")
         .agg(F.concat_ws(separator, F.sort_array(F.collect_list("_item"))).alias(name))
     )

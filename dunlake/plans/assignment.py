@@ -15,6 +15,7 @@ from dunlake.operators.aggregates import multi_flags
 from dunlake.operators.calendar import calendar, calendar_summary
 from dunlake.operators.dedup import dedup
 from dunlake.operators.reshape import unpivot_slots
+from dunlake.session import store
 
 # Position columns of the assignment file by meaning.
 POSITIONS = {
@@ -85,7 +86,8 @@ def structured_assignment(
     reduced = priced.withColumn("VALOR DESCUENTO", amounts.discounted_or_zero("VALOR DEUDA", percent)).withColumn(
         "RANGO CON DESCUENTO", bands.discount_band("VALOR DESCUENTO")
     )
-    flagged = multi_flags(reduced, "DOCUMENTO", "CRM", "MARCA")
+    # The flags read these rows twice; written once, they are not computed twice.
+    flagged = multi_flags(store(reduced, "assignment"), "DOCUMENTO", "CRM", "MARCA")
     return flagged.withColumn("FILTRO REFERENCIA", accounts.reference_flag_by_length("REFERENCIA"))
 
 

@@ -103,7 +103,9 @@ def wide_dataset(
     survivor; ``report`` has 'CUENTA NEXT' and perfil. All joins but the last use
     the account, so the base is shuffled for them once.
     """
-    keyed = base.withColumn("CUENTA NEXT", accounts.guarded(accounts.without_zero_decimal("CUENTA NEXT")))
+    # The places are mapped first: their distinct values come from the base alone.
+    placed = map_region(base, "CIUDAD", rules, departments)
+    keyed = placed.withColumn("CUENTA NEXT", accounts.guarded(accounts.without_zero_decimal("CUENTA NEXT")))
     managed = contact_mix(
         report.withColumn("CUENTA NEXT", accounts.guarded(accounts.without_zero_decimal("CUENTA NEXT"))),
         "CUENTA NEXT", "perfil",
@@ -126,8 +128,7 @@ def wide_dataset(
         ["DOCUMENTO"],
         [*tables, (managed, "CUENTA NEXT", ["contacto directo"]), (documents, "DOCUMENTO", ["EXCLUSION DOCUMENTO"])],
     )
-    placed = map_region(joined, "CIUDAD", rules, departments)
-    built = placed.withColumns(
+    built = joined.withColumns(
         {
             "RANGO DEUDA": bands.debt_band("SALDO"),
             "RANGO DE DIAS ASIGNADA": bands.day_band("DIAS ASIGNADA"),

@@ -38,7 +38,9 @@ def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", recur
         F.col("_metadata.file_path").alias("archivo"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
     )
-    first = lines.groupBy("archivo").agg(F.min_by("value", "_at").alias("encabezado"))
+    first = lines.filter(F.col("_metadata.file_block_start") == 0).groupBy("archivo").agg(
+        F.min_by("value", "_at").alias("encabezado")
+    )
     return first.withColumn("encabezado", F.ltrim(F.col("encabezado"), F.lit("﻿")))
 
 
