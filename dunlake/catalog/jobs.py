@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from dunlake.catalog import sqltext as q
@@ -14,6 +12,8 @@ from dunlake.catalog.relations import TOUCH_COUNT_SQL, channel_counts
 from dunlake.catalog.scalars import AS_OF
 from dunlake.functions import fixed_values as fixed
 from dunlake.plans import assignment, campaign, contactcenter, monthly, partners, payments
+from dunlake.session import new_path
+from dunlake.sources.text import text_schema
 
 PHONES = ["celular1", "celular2", "celular3", "celular4", "fijo1", "fijo2", "min"]
 BRANDS = ("0", "30", "potencial", "prechurn", "prepotencial")
@@ -232,6 +232,66 @@ def partner_list(t):
     return partners.partner_base(t.base, spec, AS_OF)
 
 
+# Columns of the stand-in base under the names of each partner file.
+_PARTNER_SLOTS = ("celular1", "celular2", "fijo1")
+_PARTNER_FILES = {
+    "slots_with_dialed": ("id_usuario", "identificacion", "titular", "por_pagar_total", "fecha_ingreso"),
+    "slots_mobile": ("cuenta", "identificacion", "nombrecompleto", "saldo_total", "fecha_ingreso"),
+    "slots_network": ("cuenta", "identificacion", "nombrecompleto", "valor_a_pagar", "fecha_ingreso"),
+    "list_cell_comma": ("cuenta", "identificacion", "nombrecompleto", "saldo_total", "sin_fecha"),
+    "list_cell_pipe": ("account", "identifitation", "nombrecompleto", "pago_minimo", "fechagestion"),
+    "repeated_headers": ("cuenta", "identificacion", "nombrecompleto", "valor_a_pagar", "fecha_ingreso"),
+}
+_PARTNER_ITEMS = {
+    "list_cell_comma": ("[celular1, celular2]", ""),
+    "list_cell_pipe": ("[celular1, celular2, fijo1]", f"WHERE {_GOOD} AND nombre_campana IS NULL"),
+    "repeated_headers": (
+        "[celular1, celular2, fijo1]",
+        f"WHERE {_GOOD} AND " + " AND ".join(f"{c} NOT IN {q.in_list(fixed.BAD_PROFILES)}" for c in ("mejorperfil_mes", "perfil_historico")),
+    ),
+}
+
+
+def _partner_rows(name: str) -> str:
+    items, where = _PARTNER_ITEMS.get(name, (f"[{', '.join(_PARTNER_SLOTS)}]", ""))
+    days = "0" if name == "list_cell_comma" else f"coalesce(date_diff('day', {q.payment_date('fecha_corta')}, DATE '2001-06-15'), 0)"
+    return (
+        f"SELECT '{name}' AS socio, {q.debt_band('Mod_init_cta')} AS \"Rango\", CAST(count(*) AS BIGINT) AS contactos, "
+        f"CAST(sum(CAST(trunc(TRY_CAST(Mod_init_cta AS DOUBLE)) AS BIGINT)) AS BIGINT) AS precio, CAST(sum({days}) AS BIGINT) AS dias "
+        f"FROM (SELECT DISTINCT ON (cuenta2, dato) * FROM (SELECT *, UNNEST({items}) AS dato FROM base {where}) WHERE {q.valid_phone('dato')}) GROUP BY 2"
+    )
+
+
+def partner_file(t, name: str):
+    account, document, title, price, day = _PARTNER_FILES[name]
+    columns = [f"cuenta2 AS {account}", f"identificacion AS {document}", f"nombrecompleto AS {title}", f"Mod_init_cta AS {price}", f"fecha_corta AS {day}"]
+    if name == "list_cell_comma":
+        columns.append("concat_ws(',', concat('[', coalesce(celular1, '')), concat(coalesce(celular2, ''), ']')) AS telefonos")
+    elif name == "list_cell_pipe":
+        columns += ["concat_ws('|', celular1, celular2) AS telefonos", "fijo1 AS telefono", "mejorperfil", "ultimoperfil", "nombre_campana AS valor_pago"]
+    elif name == "repeated_headers":
+        columns += ["celular1 AS celular", "celular2 AS celular_1", "fijo1 AS numeromarcado", "mejorperfil", "ultimoperfil",
+                    "mejorperfil_mes", "perfil_historico AS ultimoperfil_mes"]
+    else:
+        columns += list(_PARTNER_SLOTS)
+    return t.base.selectExpr(*columns)
+
+
+@query("b7_partners", " UNION ALL ".join(_partner_rows(name) for name in _PARTNER_FILES))
+def all_partners(t):
+    """The six partner files through the one pipeline, summed per band."""
+    result = None
+    for name, spec in partners.PARTNERS.items():
+        rows = partners.partner_base(partner_file(t, name), spec, AS_OF)
+        part = rows.groupBy(F.lit(name).alias("socio"), "Rango").agg(
+            F.count("*").alias("contactos"),
+            F.sum("precio").alias("precio"),
+            F.sum(F.coalesce("dias_transcurridos", F.lit(0))).alias("dias"),
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 ASSIGNED = (
     "SELECT b.*, p.fecha AS dia_asignado, p.dia AS numero FROM base b JOIN (SELECT CAST(split_part(clave, '-', 1) AS BIGINT) AS usuario, "
     "fecha, dia FROM presencia) p ON p.usuario = b.orden"
@@ -839,3 +899,22 @@ def logins(t):
         "cuenta", "dia || ' 00:00:00' AS fecha", "'08:00,12:00' AS usuhoraentrada", "'12:00,' || evento AS usuhorasalida"
     )
     return contactcenter.login_log(rows)
+
+
+@query(
+    "b30_brand_payments",
+    'SELECT marca AS "Marca", cuenta2 AS "CUENTA NEXT", replace(valor, \'.\', \',\') AS "VALOR PAGO" FROM base JOIN '
+    "(SELECT orden AS k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS valor FROM base JOIN orders ON o_orderkey = orden) ON k = orden",
+)
+def brand_payment_folders(t):
+    """Written by brand in the fixed layout and read back."""
+    given = {"Marca": "marca", "CUENTA NEXT": "cuenta2", "VALOR PAGO": "valor"}
+    paid = t.orders.selectExpr("o_orderkey AS orden", "replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '.', ',') AS valor")
+    rows = t.base.select("orden", "marca", "cuenta2").join(paid, "orden")
+    full = rows.selectExpr(*[f"{given.get(c, repr(''))} AS `{c}`" for c in fixed.BRAND_PAYMENT_COLUMNS])
+    path = new_path(t.spark, "b30")
+    payments.brand_payments(full, path)
+    names = [c for c in fixed.BRAND_PAYMENT_COLUMNS if c != "Marca"]
+    stored = t.spark.read.schema(text_schema(names)).options(header=True, sep=";", recursiveFileLookup="true").csv(path)
+    brand = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "Marca=([^/]*)/", 1))
+    return stored.select(brand.alias("Marca"), "CUENTA NEXT", "VALOR PAGO")

@@ -152,14 +152,14 @@ def deduplicated(t):
 @query(
     "d3_top_contacts",
     f"""
-    SELECT identificacion, list(dato ORDER BY dato) AS primeros FROM (SELECT *, row_number() OVER (PARTITION BY identificacion ORDER BY dato) AS r
+    SELECT identificacion, string_agg(dato, ',' ORDER BY dato) AS primeros FROM (SELECT *, row_number() OVER (PARTITION BY identificacion ORDER BY dato) AS r
       FROM (SELECT DISTINCT identificacion, dato FROM ({_VALID}))) WHERE r <= 3 GROUP BY 1
     """,
 )
 def top_contacts(t):
     pairs = valid_contacts(t).select("identificacion", "dato").distinct()
     top = d.top_rows(pairs, ["identificacion"], ["dato"], 3, "r")
-    return top.groupBy("identificacion").agg(F.sort_array(F.collect_list("dato")).alias("primeros"))
+    return top.groupBy("identificacion").agg(F.array_join(F.sort_array(F.collect_list("dato")), ",").alias("primeros"))
 
 
 @query(

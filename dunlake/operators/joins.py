@@ -88,6 +88,14 @@ def brand_dimension(spark, groups: Mapping[str, Sequence[str]] = fixed.BRAND_GRO
     return small_table(spark, {"grupo": [g for g, _ in rows], "marca": [b for _, b in rows]})
 
 
+def chosen_brands(choices: Sequence[str], groups: Mapping[str, Sequence[str]] = fixed.BRAND_GROUPS) -> list[str]:
+    """Lower-cased brands of a selection of groups and single brands, with the implied ones."""
+    listed = [brand for choice in choices for brand in groups.get(choice, (choice,))]
+    lowered = [brand.lower() for brand in listed]
+    implied = [fixed.IMPLIED_BRANDS[brand] for brand in lowered if brand in fixed.IMPLIED_BRANDS]
+    return list(dict.fromkeys([*lowered, *implied]))
+
+
 def filter_groups(df: DataFrame, brand: str, groups: Sequence[str], dimension: DataFrame) -> DataFrame:
     """Rows whose lower-cased brand belongs to one of the groups, by semi-join on the dimension."""
     wanted = dimension.filter(F.col("grupo").isin(*groups)).select(F.col("marca").alias("_brand"))

@@ -50,7 +50,7 @@ def partner_base(df: DataFrame, spec: PartnerSpec, as_of: date) -> DataFrame:
             "NOMBRE CORTO": names.short_name(names.clean_name(spec.name)),
         }
     )
-    slots = list(spec.contacts)
+    slots = [c for c in spec.contacts if c in df.columns]
     if spec.list_cell is not None:
         base = explode_list(base, spec.list_cell, "_item", spec.list_separator)
         slots.append("_item")

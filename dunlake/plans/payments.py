@@ -15,6 +15,7 @@ from dunlake.operators import projection as p
 from dunlake.operators.aggregates import account_counts, with_group_stats
 from dunlake.operators.dedup import dedup
 from dunlake.operators.unions import union_all
+from dunlake.sources.sinks import write_by_key
 
 
 def cleaned_payments(df: DataFrame, origin: str = "archivo", operation: str = "tipo_operacion") -> DataFrame:
@@ -69,6 +70,11 @@ def no_management(df: DataFrame, account: str, file_day: str) -> DataFrame:
     return account_counts(rows.filter(F.col("CUENTA").rlike("^[0-9]+$")), "CUENTA", "FECHA")
 
 
+def brand_payments(df: DataFrame, path: str, key: str = "Marca") -> None:
+    """Payments in the fixed column layout, one output folder per brand."""
+    write_by_key(df, key, path, fixed.BRAND_PAYMENT_COLUMNS)
+
+
 def two_column_files(tables: Sequence[DataFrame]) -> list[DataFrame]:
     """Only files with exactly two columns are no-management lists."""
     return [table for table in tables if len(table.columns) == 2]

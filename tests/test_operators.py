@@ -174,3 +174,8 @@ def test_open_payments_and_contact_day(spark):
     assert df.filter(p.is_open_payment("t", allow_partial=False)).count() == 3
     days = spark.createDataFrame([("2024-01-01",), (None,), ("",), ("2024-01-02",)], "d string")
     assert days.filter(p.not_contacted_on("d", date(2024, 1, 1))).count() == 3
+
+
+def test_chosen_brands():
+    assert joins.chosen_brands(["0 - 30", "Potencial", "30"]) == ["0", "30", "potencial", "potencial a castigar"]
+    assert "apple manual" in joins.chosen_brands(["Todo"]) and "castigo" not in joins.chosen_brands(["Todo - Castigo"])
