@@ -30,7 +30,9 @@ class Inputs:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in VIEWS:
             source, columns = VIEWS[name]
-            return getattr(self, source).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+            view = getattr(self, source).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+            self.__dict__[name] = view
+            return view
         raise AttributeError(name)
 
 

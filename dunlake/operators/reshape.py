@@ -12,12 +12,19 @@ from dunlake.functions.contacts import trimmed_list_cell
 from dunlake.operators.dedup import top_rows
 
 
-def unpivot_slots(df: DataFrame, columns: Sequence[str], value: str, keep_nulls: bool = True) -> DataFrame:
-    """One row per slot column; every other column is kept."""
+def unpivot_slots(
+    df: DataFrame, columns: Sequence[str], value: str, keep_nulls: bool = True, distinct: bool = False
+) -> DataFrame:
+    """One row per slot column; every other column is kept.
+
+    ``distinct`` drops values repeated in a row before they are multiplied.
+    """
     others = [F.col(f"`{c}`") for c in df.columns if c not in set(columns)]
     slots = F.array(*[text(F.col(f"`{c}`")) for c in columns])
     if not keep_nulls:
         slots = F.filter(slots, lambda item: item.isNotNull())
+    if distinct:
+        slots = F.array_distinct(slots)
     return df.select(*others, F.explode(slots).alias(value))
 
 

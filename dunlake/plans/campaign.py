@@ -66,7 +66,7 @@ def chosen_accounts(df: DataFrame, spec: CampaignSpec, allow_partial: bool = Tru
 def contact_rows(df: DataFrame, columns: Sequence[str], spec: CampaignSpec, kind: str | None = None) -> DataFrame:
     """One row per valid contact of an account."""
     present = [c for c in columns if c in df.columns]
-    rows = unpivot_slots(df, present, CONTACT, keep_nulls=False)
+    rows = unpivot_slots(df, present, CONTACT, keep_nulls=False, distinct=True)
     return rows.filter(contacts.contact_filter(CONTACT, kind or spec.contact))
 
 
@@ -76,7 +76,9 @@ def one_per_contact(df: DataFrame) -> DataFrame:
 
 def sms_base(df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_COLUMNS) -> DataFrame:
     """Mobile contacts with amount texts and message fields. The band uses the amount before discount."""
-    base = chosen_accounts(with_defaults(df), spec).withColumns(
+    base = chosen_accounts(with_defaults(df), spec)
+    # Derived columns come after the dedup: they need not be shuffled with every contact.
+    rows = one_per_contact(contact_rows(base, phones, spec, "mobile")).withColumns(
         {
             "DEUDA_REAL": amounts.truncated("Mod_init_cta"),
             "Rango": bands.debt_band("Mod_init_cta"),
@@ -87,7 +89,6 @@ def sms_base(df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_CO
             "dias_transcurridos": dates.days_past_due(dates.slash_date("fecha_vencimiento"), spec.as_of),
         }
     )
-    rows = one_per_contact(contact_rows(base, phones, spec, "mobile"))
     return rows.select(
         "identificacion",
         accounts.guarded("cuenta").alias("cuenta"),
@@ -116,17 +117,18 @@ def sms_base(df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_CO
 
 def email_base(df: DataFrame, spec: CampaignSpec, emails: Sequence[str] = EMAIL_COLUMNS) -> DataFrame:
     """Usable e-mail addresses with a dispatch flag."""
-    base = chosen_accounts(with_defaults(df), spec).withColumns(
+    base = chosen_accounts(with_defaults(df), spec)
+    rows = unpivot_slots(base, list(emails), CONTACT, keep_nulls=False, distinct=True)
+    known = one_per_contact(rows.filter((F.col(CONTACT) != "0") & (F.col(CONTACT) != "")))
+    priced = known.withColumns(
         {
             "Rango": bands.debt_band("Mod_init_cta"),
             "Mod_init_cta": amounts.discounted("Mod_init_cta", "descuento"),
             "referencia": F.when(F.col("origen") == "RR", F.col("cuenta")).otherwise(F.col("referencia")),
         }
     )
-    rows = unpivot_slots(base, list(emails), CONTACT, keep_nulls=False)
-    known = one_per_contact(rows.filter((F.col(CONTACT) != "0") & (F.col(CONTACT) != "")))
     cleaned = (
-        known.withColumn("Canal", contacts.email_channel(CONTACT))
+        priced.withColumn("Canal", contacts.email_channel(CONTACT))
         .withColumn(CONTACT, contacts.clean_email(CONTACT))
         .filter(F.col(CONTACT) != "0")
         .withColumn("FILTRO_REFERENCIA", accounts.reference_flag("referencia"))
@@ -186,14 +188,15 @@ IVR_LAYOUTS = {
 
 def ivr_base(df: DataFrame, spec: CampaignSpec, layout: str = "standard", phones: Sequence[str] = PHONE_COLUMNS) -> DataFrame:
     """Phone contacts for the voice dialer; partial payers are left out."""
-    base = chosen_accounts(with_defaults(df), spec, allow_partial=False).withColumns(
+    base = chosen_accounts(with_defaults(df), spec, allow_partial=False)
+    rows = one_per_contact(contact_rows(base, phones, spec)).withColumns(
         {
             "Mod_init_cta": amounts.discounted("Mod_init_cta", "descuento"),
             "corto": names.short_name("nombrecompleto"),
             "dias": dates.days_past_due(dates.slash_date("fecha_vencimiento"), spec.as_of),
+            "linea": contacts.line_type(CONTACT),
         }
     )
-    rows = one_per_contact(contact_rows(base, phones, spec)).withColumn("linea", contacts.line_type(CONTACT))
     return p.rename(rows, IVR_LAYOUTS[layout], only_mapped=True)
 
 
@@ -205,14 +208,14 @@ def bot_base(df: DataFrame, spec: CampaignSpec, layout: str = "full", phones: Se
     if layout not in BOT_LAYOUTS:
         raise ValueError(f"unknown bot layout {layout!r}")
     priced = with_defaults(df).withColumn("Mod_init_cta", amounts.discounted("Mod_init_cta", "descuento"))
-    base = chosen_accounts(priced, spec).withColumns(
+    base = chosen_accounts(priced, spec)
+    rows = one_per_contact(contact_rows(base, phones, spec, "mobile" if layout == "personal" else None)).withColumns(
         {
             "Referencia": accounts.reference_number("origen", "cuenta", "referencia"),
             "dias": dates.days_past_due(dates.slash_date("fecha_vencimiento"), spec.as_of),
             "CRM": classes.origin_label("origen", "bot"),
         }
     )
-    rows = one_per_contact(contact_rows(base, phones, spec, "mobile" if layout == "personal" else None))
     dialed = contacts.with_country_code(CONTACT)
     if layout == "short":
         return rows.select(
@@ -274,7 +277,7 @@ def reorder_base(
     base = with_defaults(df).filter(F.col("marca") != excluded_brand)
     keys = ["cuenta", "identificacion"]
     slot_columns = [c for c in phones if c in df.columns]
-    rows = unpivot_slots(base.select(*keys, *slot_columns), slot_columns, CONTACT, keep_nulls=False)
+    rows = unpivot_slots(base.select(*keys, *slot_columns), slot_columns, CONTACT, keep_nulls=False, distinct=True)
     valid = dedup(
         rows.filter(contacts.contact_filter(CONTACT, landline=fixed.REORDER_LANDLINE_RANGE)),
         ["cuenta", CONTACT],

@@ -59,20 +59,23 @@ def read_text_files(
 ) -> DataFrame | None:
     """All text files of a folder, united by column name.
 
-    Files are grouped by their header line, so one scan serves each layout and
-    the number of scans follows the layouts, not the files. Without ``sep`` each
-    layout's separator is taken from its header. Null when no file matches.
+    Files are grouped by their header line, so the number of scans follows the
+    layouts, not the files; a folder of one layout is scanned as a whole. The
+    driver sees one short row per file, as its own file listing does. Without
+    ``sep`` each layout's separator is taken from its header. Null when no file
+    matches.
     """
-    groups = (
-        file_headers(spark, folder, pattern, recursive)
-        .groupBy("encabezado")
-        .agg(F.collect_list("archivo").alias("archivos"))
-        .collect()
-    )
+    files: dict[str, list[str]] = {}
+    for row in file_headers(spark, folder, pattern, recursive).toLocalIterator():
+        files.setdefault(row["encabezado"], []).append(row["archivo"])
     parts = []
-    for group in sorted(groups, key=lambda g: g["encabezado"]):
-        separator = sep or next((s for s in (",", ";", "\t") if s in group["encabezado"]), ",")
-        parts.append(as_text(read_text_table(spark, group["archivos"], separator, **options)))
+    for header, paths in sorted(files.items()):
+        separator = sep or next((s for s in (",", ";", "\t") if s in header), ",")
+        if len(files) == 1:
+            whole = {"pathGlobFilter": pattern, "recursiveFileLookup": str(recursive).lower()}
+            parts.append(as_text(read_text_table(spark, folder, separator, **whole, **options)))
+        else:
+            parts.append(as_text(read_text_table(spark, paths, separator, **options)))
     return union_all(parts) if parts else None
 
 
