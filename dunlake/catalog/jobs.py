@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dunlake.catalog import sqltext as q
 from dunlake.catalog.aggregations import CALENDAR_SQL, MIX_SQL, VOLUME_FACT_SQL, _fact_sql, shown_time, volume_specs
 from dunlake.catalog.classifications import BOT_SQL, EMAIL_QUALITY
+from dunlake.catalog.files import stage_csv
 from dunlake.catalog.registry import query
 from dunlake.catalog.relations import TOUCH_COUNT_SQL, channel_counts
 from dunlake.catalog.scalars import AS_OF
@@ -877,6 +878,29 @@ def demographic_union(t):
     return contactcenter.demographics_union([t.lago.withColumnsRenamed(names), t.nuevos.withColumnsRenamed(names)])
 
 
+_SOUGHT = ("BOGOTA", "1234", "ASCARD", "nunca")
+_SOUGHT_LIST = "[" + ", ".join(q.quote(term) for term in _SOUGHT) + "]"
+
+
+@query(
+    "b29_search_folder",
+    f"""
+    WITH filas AS (SELECT cuenta AS a, ciudad AS b, 'x' AS archivo FROM base WHERE orden % 2 = 0 UNION ALL SELECT cuenta, origen, 'y' FROM base WHERE orden % 2 = 1),
+    t AS (SELECT UNNEST({_SOUGHT_LIST}) AS termino), h AS (SELECT termino, archivo FROM filas, t WHERE contains(a, termino) OR contains(coalesce(b, ''), termino)),
+    g AS (SELECT termino, count(*) AS n, count(DISTINCT archivo) AS f FROM h GROUP BY 1)
+    SELECT t.termino AS "Dato_Buscado", CASE WHEN n > 0 THEN 'SI' ELSE 'NO' END AS "Encontrado", CAST(coalesce(n, 0) AS BIGINT) AS "Total_Coincidencias",
+      CASE WHEN n > 0 THEN 'ENCONTRADO' ELSE 'NO_ENCONTRADO' END AS "Estado", CAST(coalesce(f, 0) AS BIGINT) AS "Archivos_Con_Coincidencias"
+    FROM t LEFT JOIN g USING (termino)
+    """,
+)
+def searched_folder(t):
+    """Two layouts in different subfolders, one file each."""
+    folder = new_path(t.spark, "b29")
+    stage_csv(t.base.filter("orden % 2 = 0").select("cuenta", "ciudad").coalesce(1), f"{folder}/a")
+    stage_csv(t.base.filter("orden % 2 = 1").select("origen", "cuenta").coalesce(1), f"{folder}/b", sep=",")
+    return contactcenter.search_folder(t.spark, folder, _SOUGHT)[1]
+
+
 @query(
     "b30_accounts_per_document",
     f"""

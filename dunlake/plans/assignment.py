@@ -158,14 +158,14 @@ def assignment_contacts(
         F.col("identificacion").isNotNull()
     )
     slots = unpivot_slots(
-        base.select("identificacion", "cuenta", place, brand, *phones), list(phones), "dato", keep_nulls=False
+        base.select("identificacion", "cuenta", place, brand, *phones), list(phones), "dato", keep_nulls=False, distinct=True
     )
     numbers = slots.withColumn("dato", contacts.strip_contact_key(contacts.mark_placeholder("dato")))
     in_lake = contacts.contact_filter("dato", "both", fixed.LAKE_MOBILE_RANGE, fixed.LAKE_LANDLINE_RANGE)
     chosen = F.coalesce(F.when(in_lake, F.col("dato")), contacts.rebuild_landline("dato", place))
     valid = numbers.withColumn("dato", chosen).filter("dato IS NOT NULL").withColumn("tipodato", F.lit("telefono"))
     addresses = unpivot_slots(
-        base.select("identificacion", "cuenta", place, brand, *emails), list(emails), "dato", keep_nulls=False
+        base.select("identificacion", "cuenta", place, brand, *emails), list(emails), "dato", keep_nulls=False, distinct=True
     )
     usable = addresses.filter(
         F.contains("dato", F.lit("@")) & (contacts.email_quality("dato") != "ERRADO")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunlake.functions import accounts, classes, contacts, dates
@@ -17,7 +17,9 @@ from dunlake.operators import joins
 from dunlake.operators import projection as p
 from dunlake.operators.dedup import dedup
 from dunlake.operators.reshape import items_per_key
+from dunlake.operators.search import search, search_summary
 from dunlake.operators.unions import union_all, upsert_contacts
+from dunlake.sources.folders import read_text_files
 
 
 def exclusion_lists(df: DataFrame, entities: Mapping[str, str]) -> DataFrame:
@@ -229,3 +231,10 @@ def login_log(df: DataFrame) -> DataFrame:
             "usuhoraentrada": dates.first_item("usuhoraentrada"),
         }
     )
+
+
+def search_folder(spark: SparkSession, folder: str, terms: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a folder's text files holding a term in any column, with their file, and the hits per term."""
+    rows = read_text_files(spark, folder, "*.csv", recursive=True, origin="Origen_Archivo")
+    hits = search(rows, terms, [c for c in rows.columns if c != "Origen_Archivo"])
+    return hits, search_summary(hits, terms, "Origen_Archivo")

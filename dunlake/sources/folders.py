@@ -55,15 +55,21 @@ def schema_inventory(
 
 
 def read_text_files(
-    spark: SparkSession, folder: str, pattern: str, sep: str | None = None, recursive: bool = False, **options: str
+    spark: SparkSession,
+    folder: str,
+    pattern: str,
+    sep: str | None = None,
+    recursive: bool = False,
+    origin: str | None = None,
+    **options: str,
 ) -> DataFrame | None:
     """All text files of a folder, united by column name.
 
     Files are grouped by their header line, so the number of scans follows the
     layouts, not the files; a folder of one layout is scanned as a whole. The
     driver sees one short row per file, as its own file listing does. Without
-    ``sep`` each layout's separator is taken from its header. Null when no file
-    matches.
+    ``sep`` each layout's separator is taken from its header. ``origin`` adds the
+    file name in a column of that name. Null when no file matches.
     """
     files: dict[str, list[str]] = {}
     for row in file_headers(spark, folder, pattern, recursive).toLocalIterator():
@@ -73,9 +79,12 @@ def read_text_files(
         separator = sep or next((s for s in (",", ";", "\t") if s in header), ",")
         if len(files) == 1:
             whole = {"pathGlobFilter": pattern, "recursiveFileLookup": str(recursive).lower()}
-            parts.append(as_text(read_text_table(spark, folder, separator, **whole, **options)))
+            table = read_text_table(spark, folder, separator, **whole, **options)
         else:
-            parts.append(as_text(read_text_table(spark, paths, separator, **options)))
+            table = read_text_table(spark, paths, separator, **options)
+        if origin is not None:
+            table = table.select("*", F.col("_metadata.file_name").alias(origin))
+        parts.append(as_text(table))
     return union_all(parts) if parts else None
 
 
