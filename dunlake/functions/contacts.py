@@ -102,16 +102,14 @@ def area_digit(place: ColumnLike) -> Column:
 
 
 def rebuild_landline(phone: ColumnLike, place: ColumnLike) -> Column:
-    """Full landline of a 7 or 8 digit number; null when place or range does not fit."""
-    raw = whole(phone)
-    candidate = (raw <= 3_000_000_000) | raw.between(3_599_999_999, 6_010_000_000)
-    digits = F.regexp_replace(text(phone), r"\s+", "")
-    area = area_digit(place)
-    full = F.when(F.length(digits) == 7, F.concat(F.lit("60"), area, digits)).when(
-        F.length(digits) == 8, F.concat(F.lit("60"), digits)
-    )
-    valid = in_ranges(full, fixed.LAKE_MOBILE_RANGE, fixed.REBUILT_LANDLINE_RANGE)
-    return F.when(candidate & area.isNotNull() & valid, full)
+    """Full landline of a 7 or 8 digit number; null when place or range does not fit.
+
+    Seven digits get the area digit of the place, eight already have one.
+    """
+    digits = F.trim(text(phone))
+    full = F.concat(F.lit("60"), F.right(F.concat(area_digit(place), digits), F.lit(8)))
+    low, high = fixed.REBUILT_LANDLINE_RANGE
+    return F.when(digits.rlike("^[0-9]{7,8}$") & full.between(str(low), str(high)), full)
 
 
 def landline_from_pair(area: ColumnLike, phone: ColumnLike) -> Column:

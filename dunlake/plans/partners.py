@@ -44,7 +44,7 @@ def partner_base(df: DataFrame, spec: PartnerSpec, as_of: date) -> DataFrame:
     if spec.unpaid_column is not None:
         base = base.filter(F.col(spec.unpaid_column).isNull())
     # The costly name cleaning runs once per account, the rest once per kept contact.
-    base = base.withColumn("NOMBRE CORTO", names.short_name(names.clean_name(spec.name)))
+    base = base.withColumn("_name", names.clean_name(spec.name))
     slots = [c for c in spec.contacts if c in df.columns]
     if spec.list_cell is not None:
         base = explode_list(base, spec.list_cell, "_item", spec.list_separator)
@@ -52,7 +52,11 @@ def partner_base(df: DataFrame, spec: PartnerSpec, as_of: date) -> DataFrame:
     rows = unpivot_slots(base, slots, CONTACT, keep_nulls=False, distinct=True)
     valid = rows.filter(contacts.contact_filter(CONTACT, spec.kind))
     single = dedup(valid, [spec.account, CONTACT], [spec.document]).withColumns(
-        {"Rango": bands.debt_band(spec.price), "precio": amounts.truncated(spec.price)}
+        {
+            "Rango": bands.debt_band(spec.price),
+            "precio": amounts.truncated(spec.price),
+            "NOMBRE CORTO": names.short_name("_name"),
+        }
     )
     days = (
         dates.days_past_due(dates.parsed_date(spec.entry_date), as_of)
