@@ -16,6 +16,8 @@ from dunlake.llm.hashing import gram_hashes, word_hashes
 BUCKET_BITS = 16
 #: Trusted documents that the target model is fitted on, at most: those with the smallest hash of their id.
 TARGET_DOCS = 20_000
+#: Pseudo-count of each bucket: rarely seen buckets say little, so small corpora are judged leniently.
+PRIOR = 8.0
 
 _COUNT_SCHEMA = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
 
@@ -42,7 +44,7 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCS) -> np.ndarray:
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Log of target over raw probability of each bucket, add-one smoothed. Raw counts cover all documents.
+    """Log ratio of each bucket's target count to the count that the raw model expects. Raw counts cover all documents.
 
     Each task adds up its own counts, so at most one row a bucket and task is shuffled; what comes to the driver is one
     row a bucket.
@@ -69,7 +71,8 @@ def log_ratio(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS) -> np
         target[row[0]], raw[row[0]] = row[1], row[2]
     if not target.sum():
         return np.zeros(size)
-    return np.log((target + 1) / (target.sum() + size)) - np.log((raw + 1) / (raw.sum() + size))
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def mean_ratios(part: Slice, ratios: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
