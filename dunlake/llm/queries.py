@@ -15,8 +15,10 @@ from dunlake.llm.chat import format_conversations, read_back
 from dunlake.llm.classifier import resample
 from dunlake.llm.common import rows, table
 from dunlake.llm.encoding import decode, encode
+from dunlake.llm.lines import dedup_lines
 from dunlake.llm.packing import pack
 from dunlake.llm.quality import quality_rules
+from dunlake.llm.substrings import dedup_spans
 from dunlake.llm.urls import filter_urls, rules_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +67,12 @@ def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(_ENCODED, [batch.column("doc_id"), sizes, digests, batch.column("text")])
 
 
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary()
@@ -78,6 +86,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary())
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_spans(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op7_chat")
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
