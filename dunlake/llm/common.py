@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,15 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back, so that lost executors cost no recomputation."""
-    return store(df, name)
+    """Write to the shared folder and read back, so that lost executors cost no recomputation.
+
+    Spark deletes the shuffle files behind the table once the driver's objects are collected. That is asked for here, as
+    a driver with little garbage would keep them for the whole job.
+    """
+    table_ = store(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table_
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

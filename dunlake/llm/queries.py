@@ -18,6 +18,7 @@ from dunlake.llm.encoding import decode, encode
 from dunlake.llm.lines import dedup_lines
 from dunlake.llm.packing import pack
 from dunlake.llm.quality import quality_rules
+from dunlake.llm.setjoin import jaccard_components
 from dunlake.llm.substrings import dedup_spans
 from dunlake.llm.urls import filter_urls, rules_table
 
@@ -67,6 +68,11 @@ def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(_ENCODED, [batch.column("doc_id"), sizes, digests, batch.column("text")])
 
 
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents"))
