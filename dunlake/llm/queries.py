@@ -21,6 +21,7 @@ from dunlake.llm.quality import quality_rules
 from dunlake.llm.setjoin import jaccard_components
 from dunlake.llm.substrings import dedup_spans
 from dunlake.llm.urls import filter_urls, rules_table
+from dunlake.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +74,11 @@ def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+@query("op2_vector_join")
+def op2_vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents"))
