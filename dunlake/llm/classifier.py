@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dunlake.llm.common import rows, slices, stored, texts
 from dunlake.llm.ngrams import log_ratio, mean_ratios
@@ -89,6 +90,11 @@ def target_share(labels: DataFrame) -> float:
     return min(1.0, share + 2 * (share * (1 - share) / n) ** 0.5)
 
 
+def least_key(keyed: DataFrame, labels: DataFrame, k: int | None = None) -> float | None:
+    """Smallest key of the draw of k rows, by default the number of rows times ``target_share``; null for an empty draw."""
+    return kth_largest(keyed, "gumbel_key", round(keyed.count() * target_share(labels)) if k is None else k)
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """Draw k documents without replacement, each with odds by its importance weight: (doc_id, log_weight, gumbel_key, kept).
 
@@ -100,14 +106,31 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     documents every weight is equal. Other columns don't matter.
     """
     keyed = stored(with_gumbel_key(log_weights(docs, log_ratio(docs, labels), temperature), seed), "gumbel-keys")
-    if k is None:
-        k = round(keyed.count() * target_share(labels))
-    least = kth_largest(keyed, "gumbel_key", k)
+    least = least_key(keyed, labels, k)
     kept = F.lit(False) if least is None else F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False))
     return keyed.withColumn("kept", kept)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``resample`` keeps, with all their columns; rows without id are judged as well."""
-    verdicts = resample(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Rows of ``docs`` that ``resample`` keeps, with all their columns.
+
+    The draw fixes the smallest key that is kept; a second pass over the texts then keeps rows by it, without a shuffle.
+    """
+    ratios = log_ratio(docs, labels)
+    least = least_key(stored(with_gumbel_key(log_weights(docs, ratios)), "gumbel-keys"), labels)
+    if least is None:
+        return docs.limit(0)
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in slices(batch):
+                mean, n = mean_ratios(part, ratios)
+                row, ids = (batch.column(c).slice(done, len(part)) for c in ("row", "id"))
+                done += len(part)
+                weights = pa.array(mean / TEMPERATURE, pa.float64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([row, ids, weights], names=["row", "doc_id", "log_weight"])
+
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return with_gumbel_key(whole.mapInArrow(weigh, schema)).where(F.col("gumbel_key") >= F.lit(least)).select("row.*")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dunlake.llm.common import Slice, binary, blobs, rows, slices, stored
 from dunlake.llm.hashing import BYTE_VALUES, IS_SPACE, gram_hashes, prefix_sums, range_hashes
@@ -180,7 +181,8 @@ def without_lines(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int
     return "\n".join(line for i, line in enumerate(lines) if i not in gone), len(wordy), removed, spans
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("row", "text", "n_lines", "n_removed", "n_spans")
     for batch in batches:
         said, wordy, removed, spans = [], [], [], []
         for text, starts, ends in zip(batch.column("text"), batch.column("starts"), batch.column("ends"), strict=True):
@@ -189,8 +191,21 @@ def _cleaned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
             said.append(clean if text.is_valid else None)
             for column, value in zip((wordy, removed, spans), counts, strict=True):
                 column.append(value)
-        kept = {"text": said, "n_lines": wordy, "n_removed": removed, "n_spans": spans}
-        yield rows(schema, [kept.get(f.name, batch.column(f.name) if f.name in batch.schema.names else None) for f in schema])
+        counts = [pa.array(c, pa.int64()) for c in (wordy, removed, spans)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(said, pa.string()), *counts], names=names)
+
+
+def _with_clean_text(docs: DataFrame, gram_lines: int, window: int) -> DataFrame:
+    """(row, text, n_lines, n_removed, n_spans): row holds the other columns of ``docs``."""
+    runs = repeated_runs(docs, gram_lines, window)
+    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    others = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
+    given = docs.select(others, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), version.alias("version"))
+    joined = given.join(runs, ["id", "version"], "left").select("row", "text", "starts", "ends")
+    schema = T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("text", T.StringType())])
+    for name in ("n_lines", "n_removed", "n_spans"):
+        schema = schema.add(name, T.LongType())
+    return joined.mapInArrow(_cleaned, schema)
 
 
 def dedup_lines(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
@@ -200,11 +215,16 @@ def dedup_lines(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WIN
     (smaller id, or the same text further up). One row per row of ``docs``; rows of equal id and text are one text.
     Null text stays null and has no lines, rows without id stay as they are; other columns don't matter.
     """
-    rest = repeated_runs(docs, gram_lines, window)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text).alias("version"))
-    joined = given.join(rest.withColumnRenamed("id", "doc_id"), ["doc_id", "version"], "left").select("doc_id", "text", "starts", "ends")
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
-    )
-    return joined.mapInArrow(lambda batches: _cleaned(batches, schema), "doc_id long, text string, n_lines long, n_removed long, n_spans long")
+    return _with_clean_text(docs, gram_lines, window).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "n_lines", "n_removed", "n_spans")
+
+
+def clean_lines(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
+    """``docs`` with all its columns and cleaned texts; n_chars follows the text. Texts that lost all their lines go."""
+    clean = _with_clean_text(docs, gram_lines, window).where("n_removed = 0 or n_removed < n_lines")
+    return with_new_text(docs, clean)
+
+
+def with_new_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Columns of ``docs`` in their order, from (row, text); n_chars is the length of the new text."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return changed.select([(new.get(c, F.col("row")[c])).alias(c) for c in docs.columns])

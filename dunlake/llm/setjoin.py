@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunlake.llm.common import binary, blobs, cut, rows, shuffle_partitions, slices, stored, texts
@@ -407,6 +407,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return labelled.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of its component, with all columns; one row an id, and all rows without id."""
+    others = jaccard_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("dropped")).distinct()
+    stays = docs.where("doc_id is not null").join(others, F.col("doc_id").cast("long") == F.col("dropped"), "left_anti")
+    version = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    stays = stays.select(F.struct(*[stays[c] for c in docs.columns]).alias("row"), F.row_number().over(version).alias("place")).where("place = 1")
+    return stays.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
 _SIZE = pa.schema([("n_shingles", pa.int64())])
 
 

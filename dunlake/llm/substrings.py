@@ -17,10 +17,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dunlake.llm.common import Slice, binary, blobs, byte_column, cut, rows, shuffle_partitions, slices, stored
 from dunlake.llm.hashing import BASE_INVERSE, BYTE_VALUES, mix, powers, prefix_sums
-from dunlake.llm.lines import keyed_texts
+from dunlake.llm.lines import keyed_texts, with_new_text
 
 SPAN = 100
 GRAM = 32
@@ -457,21 +458,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(_SPANS, [ids[low], versions[low], blobs([binary(starts[a:b]) for a, b in pairs]), blobs([binary(ends[a:b]) for a, b in pairs])])
 
 
-_SMALL = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("packed", pa.binary())])
-
-
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data, offsets = byte_column(batch.column("text"))
         data = memoryview(np.ascontiguousarray(data))
         packed = [packer.compress(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield rows(_SMALL, [batch.column("id"), batch.column("version"), blobs(packed)])
+        rest = [batch.column(c) for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*rest, blobs(packed)], names=[*(c for c in batch.schema.names if c != "text"), "packed"])
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(id, version, packed): compressed texts, for joins that have to shuffle them."""
-    return keyed_texts(docs).mapInArrow(_pack_texts, "id long, version long, packed binary")
+def packed_texts(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(id, version, row, packed): compressed texts, for joins that have to shuffle them; row holds the columns to carry."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
+    given = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("version"), *row, text.alias("text"))
+    schema = T.StructType([f for f in given.schema.fields if f.name != "text"]).add("packed", T.BinaryType())
+    return given.mapInArrow(_pack_texts, schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -496,27 +499,39 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return stored(ranges.repartition(n, "part").mapInArrow(_merged, "id long, version long, starts binary, ends binary"), "repeated-spans")
 
 
-_KEPT = pa.schema(
-    [("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-)
+def _kept(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            left_, sizes, removed_, spans_, digests = [], [], [], [], []
+            for packed, starts, ends in zip(batch.column("packed"), batch.column("starts"), batch.column("ends"), strict=True):
+                text = opener.decompress(packed.as_buffer())
+                removed = spans = 0
+                kept = [text]
+                if starts.is_valid:
+                    low, high = (np.frombuffer(x.as_buffer(), np.int64) for x in (starts, ends))
+                    spans, removed = len(low), int((high - low).sum())
+                    kept = [text[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(text)], strict=True)]
+                joined = b"".join(kept)
+                left_.append("".join(k.decode("utf-8", "ignore") for k in kept) if as_text else joined)
+                for column, value in zip((sizes, removed_, spans_, digests), (len(text), removed, spans, hashlib.sha256(joined).hexdigest()), strict=True):
+                    column.append(value)
+            counts = [pa.array(c, pa.int64()) for c in (sizes, removed_, spans_)]
+            left = pa.array(left_, pa.string() if as_text else pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), left, *counts, pa.array(digests, pa.string())], names=["row", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            )
 
+    return run
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opener = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = [], [], [], [], []
-        for packed, starts, ends in zip(batch.column("packed"), batch.column("starts"), batch.column("ends"), strict=True):
-            text = opener.decompress(packed.as_buffer())
-            removed = spans = 0
-            kept = text
-            if starts.is_valid:
-                low, high = (np.frombuffer(x.as_buffer(), np.int64) for x in (starts, ends))
-                spans, removed = len(low), int((high - low).sum())
-                left = np.concatenate(([0], high))
-                kept = b"".join(text[a:b] for a, b in zip(left.tolist(), [*low.tolist(), len(text)], strict=True))
-            for column, value in zip(out, (kept, len(text), removed, spans, hashlib.sha256(kept).hexdigest()), strict=True):
-                column.append(value)
-        yield rows(_KEPT, [batch.column("id"), blobs(out[0]), *out[1:]])
+
+def _without_spans(docs: DataFrame, carry: list[str], as_text: bool = False) -> DataFrame:
+    spans = repeated_spans(docs)
+    joined = packed_texts(docs, carry).join(spans, ["id", "version"], "left").select("row", "packed", "starts", "ends")
+    schema = T.StructType([joined.schema["row"]]).add("kept", T.StringType() if as_text else T.BinaryType())
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, T.LongType())
+    return joined.mapInArrow(_kept(as_text), schema.add("kept_sha256", T.StringType()))
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -526,6 +541,13 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     judged on the input. kept holds the remaining bytes, which may be no UTF-8 at a seam. Rows without id are kept whole.
     Rows with the same id and text are one document, so each has the same result; other columns don't matter.
     """
-    spans = repeated_spans(docs)
-    joined = packed_texts(docs).join(spans, ["id", "version"], "left").select("id", "packed", "starts", "ends")
-    return joined.mapInArrow(_kept, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _without_spans(docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def clean_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and the remaining text; n_chars follows it.
+
+    Characters cut at a seam go as well, and so do documents that lost bytes and have no word left.
+    """
+    left = _without_spans(docs, [c for c in docs.columns if c != "text"], as_text=True).withColumnRenamed("kept", "text")
+    return with_new_text(docs, left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
