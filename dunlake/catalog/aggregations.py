@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from dunlake.catalog import sqltext as q
@@ -20,14 +22,14 @@ _TOUCHED = "CASE WHEN cuenta_real IS NULL OR trim(cuenta_real) = '' THEN '0' ELS
     "a1_touch_count",
     f"""
     SELECT {_TOUCHED} AS cuenta, min(marca) AS marca, CAST(count(*) AS BIGINT) AS cantidad, 'BOT' AS recurso FROM contactos
-      WHERE canal = 'view' GROUP BY 1
-    UNION ALL SELECT {_TOUCHED}, min(marca), CAST(count(*) AS BIGINT), 'EMAIL' FROM contactos WHERE canal = 'click' AND {_TOUCHED} <> '0' GROUP BY 1
+      GROUP BY 1
+    UNION ALL SELECT {_TOUCHED}, min(marca), CAST(count(*) AS BIGINT), 'EMAIL' FROM contactos WHERE {_TOUCHED} <> '0' GROUP BY 1
     """,
 )
 def touch_counts(t):
     account = classes.touched_account("cuenta_real")
-    bot = a.touch_count(t.contactos.filter("canal = 'view'"), account, "marca", "BOT")
-    email = a.touch_count(t.contactos.filter("canal = 'click'"), account, "marca", "EMAIL", drop_zero=True)
+    bot = a.touch_count(t.contactos, account, "marca", "BOT")
+    email = a.touch_count(t.contactos, account, "marca", "EMAIL", drop_zero=True)
     return bot.unionByName(email)
 
 
@@ -70,7 +72,7 @@ def global_max(t):
 
 _RANKING = "CASE WHEN estado_ranking IS NULL OR estado_ranking = '' THEN 'NO APLICA FILTRO RANKING' ELSE estado_ranking END"
 RETIRE_SQL = f"""
-    WITH r AS (SELECT orden, marca, {_RANKING} AS estado FROM base WHERE NOT (marca = 'churn' AND {_RANKING} <> 'NO APLICA FILTRO RANKING'))
+    WITH r AS (SELECT orden, marca, {_RANKING} AS estado FROM base)
     SELECT orden, marca, CASE WHEN estado = 'NO APLICA FILTRO RANKING' AND marca IN {q.in_list(fixed.SPECIAL_RANKING_BRANDS)} AND marca IN
       (SELECT marca FROM r WHERE estado <> 'NO APLICA FILTRO RANKING') THEN 'RETIRAR' ELSE estado END AS estado FROM r
 """
@@ -79,8 +81,7 @@ RETIRE_SQL = f"""
 @query("a5_brand_retire_flag", RETIRE_SQL)
 def retire_flags(t):
     rows = t.base.select("orden", "marca", classes.known_ranking("estado_ranking").alias("estado"))
-    kept = rows.filter(~((F.col("marca") == "churn") & (F.col("estado") != fixed.NO_RANKING)))
-    return a.brand_retire_flag(kept, "marca", "estado")
+    return a.brand_retire_flag(rows, "marca", "estado")
 
 
 @query(
@@ -116,17 +117,18 @@ def buckets(t):
 
 def _volume_sql(unit: str, source: str, group: str, where: str = "", extra: str = "", cost: str = "", name: str = "dia") -> str:
     return f"""SELECT CAST(date_trunc('{unit}', TRY_CAST(momento AS TIMESTAMP)) AS VARCHAR) AS fecha_movimiento, {group} AS agrupador,
-      {extra or 'CAST(NULL AS VARCHAR)'} AS tipo, CAST(sum(coalesce(TRY_CAST(valor AS DECIMAL(18,2)), 0)) AS DOUBLE) AS valor_movimiento,
-      {'CAST(sum(coalesce(TRY_CAST(costo AS DECIMAL(18,2)), 0)) AS DOUBLE)' if cost else 'CAST(NULL AS DOUBLE)'} AS costo,
+      {extra or 'CAST(NULL AS VARCHAR)'} AS tipo, CAST(sum(coalesce(TRY_CAST(valor AS DECIMAL(28,10)), 0)) AS DOUBLE) AS valor_movimiento,
+      {'CAST(sum(coalesce(TRY_CAST(costo AS DECIMAL(28,10)), 0)) AS DOUBLE)' if cost else 'CAST(NULL AS DOUBLE)'} AS costo,
       '{source}' AS fuente FROM envios WHERE TRY_CAST(momento AS TIMESTAMP) IS NOT NULL {where} GROUP BY ALL"""
 
 
-_KEYWORDS = q.keyword_group("campana")
+_KEYWORDS = {vendor: q.keyword_group("campana", rules) for vendor, rules in fixed.VENDOR_KEYWORDS.items()}
 _FACT_PARTS = {
     "sms_1": ("campana", "AND canal = 'click'", "", ""),
-    "ivr_1": (_KEYWORDS, "AND canal = 'view'", "tipo", ""),
-    "ivr_2": (_KEYWORDS, "AND canal = 'error'", "", "costo"),
+    "ivr_1": (_KEYWORDS["ivr_1"], "AND canal = 'view'", "tipo", ""),
+    "ivr_2": (_KEYWORDS["ivr_2"], "AND canal = 'error'", "", "costo"),
     "email": ("remitente", "AND canal = 'signup'", "", ""),
+    "sms_2": (_KEYWORDS["sms_2"], "AND canal = 'purchase'", "", ""),
     "bot_base": ("campana", "AND lower(coalesce(estado_llamada, 'nan')) <> 'contestadora'", "", ""),
 }
 
@@ -136,13 +138,14 @@ def _fact_sql(unit: str) -> str:
 
 
 def volume_specs():
-    keyword = classes.keyword_group("campana")
+    keyword = {vendor: classes.keyword_group("campana", rules) for vendor, rules in fixed.VENDOR_KEYWORDS.items()}
     not_machine = F.lower(F.coalesce("estado_llamada", F.lit("nan"))) != fixed.MACHINE_ANSWER
     return [
         a.VolumeSpec("sms_1", "momento", "campana", "valor", keep=F.col("canal") == "click"),
-        a.VolumeSpec("ivr_1", "momento", keyword, "valor", extra_group="tipo", keep=F.col("canal") == "view"),
-        a.VolumeSpec("ivr_2", "momento", keyword, "valor", cost="costo", keep=F.col("canal") == "error"),
+        a.VolumeSpec("ivr_1", "momento", keyword["ivr_1"], "valor", extra_group="tipo", keep=F.col("canal") == "view"),
+        a.VolumeSpec("ivr_2", "momento", keyword["ivr_2"], "valor", cost="costo", keep=F.col("canal") == "error"),
         a.VolumeSpec("email", "momento", "remitente", "valor", keep=F.col("canal") == "signup"),
+        a.VolumeSpec("sms_2", "momento", keyword["sms_2"], "valor", keep=F.col("canal") == "purchase"),
         a.VolumeSpec("bot_base", "momento", "campana", "valor", keep=not_machine),
     ]
 
@@ -151,18 +154,18 @@ def shown_time(df):
     return df.withColumn("fecha_movimiento", F.date_format("fecha_movimiento", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("a8_daily_volume", _volume_sql("day", "ivr_1", _KEYWORDS, "AND canal = 'view'", "tipo").replace("CAST(NULL AS DOUBLE) AS costo,", ""))
+@query("a8_daily_volume", _volume_sql("day", "ivr_1", _KEYWORDS["ivr_1"], extra="tipo").replace("CAST(NULL AS DOUBLE) AS costo,", ""))
 def daily(t):
-    return shown_time(a.daily_volume(t.envios, volume_specs()[1]))
+    return shown_time(a.daily_volume(t.envios, replace(volume_specs()[1], keep=None)))
 
 
 @query(
     "a9_hourly_volume",
     "SELECT *, valor_movimiento AS registros FROM ("
-    + _volume_sql("hour", "ivr_2", _KEYWORDS, "AND canal = 'error'", "", "costo").replace("CAST(NULL AS VARCHAR) AS tipo,", "") + ")",
+    + _volume_sql("hour", "ivr_2", _KEYWORDS["ivr_2"], cost="costo").replace("CAST(NULL AS VARCHAR) AS tipo,", "") + ")",
 )
 def hourly(t):
-    return shown_time(a.hourly_volume(t.envios, volume_specs()[2]))
+    return shown_time(a.hourly_volume(t.envios, replace(volume_specs()[2], keep=None)))
 
 
 VOLUME_FACT_SQL = f"""

@@ -144,9 +144,15 @@ def positional(t):
     return text.read_positional(t.spark, path, drop=[2])
 
 
-@query("s9_preamble", "SELECT CAST(orden AS VARCHAR) AS orden, marca, plan FROM base")
+@query(
+    "s9_preamble",
+    "SELECT CAST(orden AS VARCHAR) AS orden, marca, plan FROM base UNION ALL SELECT 'orden', 'marca', 'plan' FROM base WHERE orden % 10 = 0 "
+    "UNION ALL SELECT 'Desde 2001', NULL, NULL FROM base WHERE orden % 10 = 0",
+)
 def preamble(t):
-    lines = t.base.selectExpr("orden || ',' || marca || ',' || plan AS line")
+    # every tenth row repeats the header or a title of the preamble
+    lines = t.base.selectExpr("explode(CASE WHEN orden % 10 = 0 THEN array(orden || ',' || marca || ',' || plan, 'orden,marca,plan', 'Desde 2001') "
+                              "ELSE array(orden || ',' || marca || ',' || plan) END) AS line")
     path = stage_lines(lines, "Reporte de agentes\nDesde 2001\n\norden,marca,plan", new_path(t.spark, "s9"))
     return text.read_after_preamble(t.spark, path, 3)
 
@@ -197,19 +203,28 @@ def headers(t):
 
 @query(
     "s14_file_meta",
-    "SELECT CAST(orden AS VARCHAR) AS orden, true AS csv, true AS reciente FROM base",
+    "SELECT CAST(orden AS VARCHAR) AS orden, 'marca=' || marca AS carpeta, true AS del_archivo FROM base",
 )
 def file_meta(t):
-    path = stage_csv(t.base.select("orden"), new_path(t.spark, "s14"))
-    rows = folders.with_file_meta(text.read_text_table(t.spark, path))
-    recent = F.datediff(F.current_date(), F.col("fecha_archivo")) <= 1
-    return rows.select("orden", F.col("archivo").endswith(".csv").alias("csv"), recent.alias("reciente"))
+    """Name and day of each row's file, held against the listing of the folder."""
+    path = new_path(t.spark, "s14")
+    t.base.select("orden", "marca").write.partitionBy("marca").options(header=True, sep=";").csv(path)
+    listed = t.spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.csv").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("nombre"), F.element_at(F.split("path", "/"), -2).alias("carpeta"),
+        F.col("modificationTime").cast("date").alias("dia"),
+    )
+    rows = folders.with_file_meta(text.read_text_table(t.spark, path, recursiveFileLookup="true"))
+    held = rows.select("orden", "archivo", "fecha_archivo", F.col("_metadata.file_path").alias("_path"))
+    held = held.withColumn("carpeta", F.url_decode(F.element_at(F.split("_path", "/"), -2)))
+    listed = listed.withColumn("carpeta", F.url_decode("carpeta"))
+    joined = held.join(listed, (held["archivo"] == listed["nombre"]) & (held["carpeta"] == listed["carpeta"]))
+    return joined.select("orden", held["carpeta"], (F.col("fecha_archivo") == F.col("dia")).alias("del_archivo"))
 
 
 @query(
     "s15_layout",
-    "SELECT 'ivr_2' AS formato, CAST(evento AS VARCHAR) AS evento, costo FROM envios WHERE canal = 'view' "
-    "UNION ALL SELECT 'bot_titular', CAST(evento AS VARCHAR), NULL FROM envios WHERE canal = 'click'",
+    "SELECT 'ivr_2' AS formato, CAST(evento AS VARCHAR) AS evento, costo FROM envios "
+    "UNION ALL SELECT 'bot_titular', CAST(evento AS VARCHAR), NULL FROM envios",
 )
 def layout(t):
     """Each table goes to the reader of the layout its headers tell."""
@@ -217,8 +232,8 @@ def layout(t):
     bot = dict.fromkeys(fixed.BOT_BASE + ("marca",), "''") | {"rut": "evento"}
     key = {"ivr_2": "leg id", "bot_titular": "rut"}
     parts = []
-    for channel, given in (("view", ivr), ("click", bot)):
-        rows = t.envios.filter(F.col("canal") == channel).selectExpr(*[f"{e} AS `{c}`" for c, e in given.items()])
+    for given in (ivr, bot):
+        rows = t.envios.selectExpr(*[f"{e} AS `{c}`" for c, e in given.items()])
         kind = layouts.classify_layout(rows.columns)
         cost = F.col("costo") if "costo" in rows.columns else F.lit(None).cast("string")
         parts.append(rows.select(F.lit(kind).alias("formato"), F.col(f"`{key[kind]}`").cast("string").alias("evento"), cost.alias("costo")))
@@ -229,7 +244,7 @@ def layout(t):
     "s16_harmonise",
     """
     SELECT campana AS "campaña", momento AS fecha_llamada, CAST(evento AS VARCHAR) AS rut, CAST(NULL AS VARCHAR) AS nombre, CAST(NULL AS VARCHAR) AS apellido,
-      valor AS telefono, estado_llamada, CAST(NULL AS VARCHAR) AS desea_beneficios, costo AS tiempo_llamada FROM envios WHERE canal IN ('view', 'click')
+      valor AS telefono, estado_llamada, CAST(NULL AS VARCHAR) AS desea_beneficios, costo AS tiempo_llamada FROM envios CROSS JOIN (SELECT UNNEST([1, 2]))
     """,
 )
 def harmonised(t):
@@ -237,23 +252,27 @@ def harmonised(t):
              "nombre": "'n'", "apellido": "'a'", "telefono": "valor", "estado_llamada": "estado_llamada",
              "desea_beneficios": "'si'", "tiempo_llamada": "costo"}
 
-    def table(channel, columns):
-        return t.envios.filter(F.col("canal") == channel).selectExpr(*[f"{given[c]} AS `{c}`" for c in columns])
+    def table(columns):
+        return t.envios.selectExpr(*[f"{given[c]} AS `{c}`" for c in columns])
 
     first, _, third, _ = fixed.BOT_REPORT_LAYOUTS
-    unknown = t.envios.filter("canal = 'error'").selectExpr("evento AS otra", "valor AS cosa")
-    return layouts.harmonise([table("view", first), table("click", third), unknown])
+    unknown = t.envios.selectExpr("evento AS otra", "valor AS cosa")
+    return layouts.harmonise([table(first), table(third), unknown])
 
 
 @query(
     "s17_schema_inventory",
-    "SELECT titulos FROM (SELECT 'orden,cuenta,marca' AS titulos UNION ALL SELECT 'cuenta,plan')",
+    "SELECT 'orden,cuenta,' || marca AS titulos, CAST(1 AS BIGINT) AS archivos FROM base GROUP BY marca",
 )
 def inventory(t):
-    folder = new_path(t.spark, "s17")
-    stage_csv(t.base.select("orden", "cuenta", "marca").coalesce(1), folder)
-    stage_csv(t.base.select("cuenta", "plan").coalesce(1), folder, mode="append")
-    return folders.schema_inventory(t.spark, folder).select("titulos")
+    """One file a brand, with the brand in its header."""
+    path = new_path(t.spark, "s17")
+    rows = t.base.select("marca", F.concat_ws(";", F.col("orden").cast("string"), "cuenta", "plan").alias("line"), F.lit(1).alias("_at"))
+    heads = rows.select("marca", F.concat(F.lit("orden;cuenta;"), "marca").alias("line"), F.lit(0).alias("_at")).distinct()
+    lines = heads.unionByName(rows).repartition("marca").sortWithinPartitions("marca", "_at").select("marca", "line")
+    lines.write.partitionBy("marca").text(path)
+    found = folders.schema_inventory(t.spark, path, "*.txt", recursive=True)
+    return found.groupBy("titulos").agg(F.count("*").alias("archivos"))
 
 
 @query(
@@ -336,11 +355,12 @@ def merged_by_folder(t):
     return t.spark.read.options(header=True, sep=";").csv(target)
 
 
-@query(
-    "a14_file_counts",
-    "SELECT CAST(sum(filas) AS BIGINT) AS filas, true AS varios FROM (SELECT count(*) AS filas FROM base)",
-)
+@query("a14_file_counts", "SELECT lower(origen) AS carpeta, CAST(count(*) AS BIGINT) AS filas, CAST(1 AS BIGINT) AS archivos FROM base GROUP BY 1")
 def counted_files(t):
-    path = stage_csv(plain(t).repartition(3), new_path(t.spark, "a14"))
+    """Rows of each file; every folder holds a file of the same name."""
+    path = new_path(t.spark, "a14")
+    given = plain(t).withColumn("carpeta", F.lower("origen")).repartition("carpeta")
+    given.write.partitionBy("carpeta").options(header=True, sep=";").csv(path)
     counts = folders.file_row_counts(t.spark, path)
-    return counts.agg(F.sum("filas").alias("filas"), (F.count("*") == 3).alias("varios"))
+    folder = F.regexp_extract("archivo", "carpeta=([^/]*)/", 1).alias("carpeta")
+    return counts.groupBy(folder).agg(F.sum("filas").alias("filas"), F.count("*").alias("archivos"))

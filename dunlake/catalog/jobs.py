@@ -162,7 +162,8 @@ def _phone_cells(n: int) -> str:
     "b5_task_list",
     f"""
     WITH {_TREATED}, telefonos AS (SELECT *, UNNEST([{', '.join(PHONES)}]) AS dato FROM elegida WHERE {_IN_RANGE} AND
-      (fechagestion_contactodirecto IS NULL OR fechagestion_contactodirecto <> '2001-06-15')),
+      (fechagestion_contactodirecto IS NULL OR fechagestion_contactodirecto <> '2001-06-15') AND
+      CASE WHEN origen = 'RR' THEN cuenta ELSE referencia END <> ''),
     uno AS (SELECT * FROM telefonos WHERE {q.valid_phone('dato')} QUALIFY row_number() OVER (PARTITION BY dato ORDER BY identificacion, cuenta) = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY identificacion ORDER BY cuenta, dato) AS r FROM uno)
     SELECT identificacion, {', '.join(f'min_by({c}, r) AS {c}' for c in _KEPT)}, CAST(trunc(min_by(deuda, r)) AS BIGINT) AS "Mod_init_cta",
@@ -313,7 +314,7 @@ def assigned_rows(t):
 
 
 def _discount_rows(t):
-    return t.base.filter("orden % 2 = 0").select(
+    return t.base.select(
         F.translate("cuenta", ".-", "").alias("CUENTA"), F.translate("descuento", "%", "").alias("PORCENTAJE")
     )
 
@@ -331,7 +332,7 @@ _BRAND = q.assign_brand("origen", "marca5", "marca6", "marca7", "refinanciada",
       WHEN d.dia = ultimo + 1 AND d.dia <= (SELECT max(dia) FROM p) THEN 'Retirada' ELSE '' END AS estado FROM d LEFT JOIN p ON p.clave = d.clave AND p.dia = d.dia),
     s AS (SELECT clave, CAST(count(*) FILTER (estado = 'Asignada') AS INT) AS a, CAST(count(*) FILTER (estado IN ('Retirada', 'Sin reasignar')) AS INT) AS r,
       min(dia) FILTER (estado = 'Asignada') AS entra, max(dia) FILTER (estado = 'Retirada') AS sale, array_to_string(list(estado ORDER BY dia), ',') AS dias FROM e GROUP BY 1),
-    dcto AS (SELECT replace(replace(cuenta, '-', ''), '.', '') || '-' AS llave, replace(descuento, '%', '') AS pct FROM base WHERE orden % 2 = 0),
+    dcto AS (SELECT replace(replace(cuenta, '-', ''), '.', '') || '-' AS llave, replace(descuento, '%', '') AS pct FROM base),
     u AS (SELECT *, regexp_replace(documento, '[^0-9]', '', 'g') AS doc, {_BRAND} AS marca_final,
       replace(replace(cuenta, '-', ''), '.', '') || '-' AS cuenta_next FROM base WHERE cuenta IN (SELECT clave FROM s)),
     v AS (SELECT u.*, s.*, coalesce(pct, '0') AS pct, CASE WHEN coalesce(TRY_CAST(coalesce(pct, '0') AS DOUBLE), 0) = 0 THEN 0.0 ELSE
@@ -418,7 +419,7 @@ _MORA = f"date_diff('day', {q.slash_date('fecha_vencimiento')}, {q.slash_date('f
     "b11_wide_dataset",
     f"""
     WITH g AS ({MIX_SQL}), demo AS (SELECT cuenta2, CASE WHEN {q.mobile('celular1')} THEN 1 ELSE 0 END AS m, CASE WHEN TRY_CAST(fijo1 AS BIGINT)
-      BETWEEN 6000000009 AND 6599999999 THEN 1 ELSE 0 END AS x, CASE WHEN contains(coalesce(email1, ''), '@') THEN 1 ELSE 0 END AS c FROM base WHERE orden % 3 <> 0),
+      BETWEEN 6000000009 AND 6599999999 THEN 1 ELSE 0 END AS x, CASE WHEN contains(coalesce(email1, ''), '@') THEN 1 ELSE 0 END AS c FROM base),
     reporte AS (SELECT o_orderkey AS k, CAST(count(*) FILTER (l_returnflag = 'A') AS BIGINT) AS pagos FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
     w AS (SELECT b.*, m, x, c, pagos, contacto_directo, contacto_indirecto, no_contacto, mezcla, orden % 40 AS asignada, orden % 33 AS retirada, {_MORA} AS mora,
       CASE WHEN ciudad IS NULL OR trim(ciudad) = '' THEN 'VACIO' WHEN contains(ciudad, 'BOGOTA') THEN 'CUNDINAMARCA' WHEN contains(upper(split_part(ciudad, '/', 1)), 'CALI')
@@ -434,8 +435,8 @@ _MORA = f"date_diff('day', {q.slash_date('fecha_vencimiento')}, {q.slash_date('f
       ELSE 'No posee Demograficos' END AS "DS_VAR_filtro_demograficos", m + x + c AS "DS_VAR_cantidad_demograficos", mora AS "DS_VAR_dias_mora",
       contacto_directo AS "DS_VAR_contacto_directo", contacto_indirecto AS "DS_VAR_contacto_indirecto", no_contacto AS "DS_VAR_no_contacto",
       CASE WHEN TRY_CAST(replace(descuento, '%', '') AS DOUBLE) = 0 THEN 'No Aplica' ELSE 'Aplica' END AS "AD_filtro_descuento",
-      CASE WHEN pagos >= 1 THEN 'Aplica' ELSE '' END AS "AD_filtro_pagos_sin_aplicar", CASE WHEN orden % 5 = 0 AND orden % 10 <> 0 THEN 'Aplica' ELSE '' END AS "AD_filtro_no_gestion",
-      CASE WHEN CAST(identificacion AS BIGINT) % 7 = 0 THEN 'APLICA' END AS "AD_exclusion_documento"
+      CASE WHEN pagos >= 1 THEN 'Aplica' ELSE '' END AS "AD_filtro_pagos_sin_aplicar", CASE WHEN orden % 10 <> 0 THEN 'Aplica' ELSE '' END AS "AD_filtro_no_gestion",
+      CASE WHEN identificacion IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0) THEN 'APLICA' END AS "AD_exclusion_documento"
     FROM w WHERE fecha_asignacion IS NOT NULL
     """,
 )
@@ -448,7 +449,7 @@ def wide(t):
     )
     mobile = F.col("celular1").try_cast("bigint").between(*fixed.MOBILE_RANGE)
     fixed_line = F.col("fijo1").try_cast("bigint").between(*fixed.COUNTED_LANDLINE_RANGE)
-    contacts = t.base.filter("orden % 3 <> 0").select(
+    contacts = t.base.select(
         F.col("orden").cast("string").alias("CUENTA NEXT"),
         F.when(mobile, 1).otherwise(0).alias("NumMovil"),
         F.when(fixed_line, 1).otherwise(0).alias("NumFijo"),
@@ -456,11 +457,11 @@ def wide(t):
     )
     paid = t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("RECUENTO PAGOS"))
     paid = paid.select(F.concat(F.col("l_orderkey"), F.lit(".0")).alias("CUENTA NEXT"), "RECUENTO PAGOS")
-    unmanaged = t.base.filter("orden % 5 = 0").select(
+    unmanaged = t.base.select(
         F.col("orden").cast("string").alias("CUENTA NEXT"), (F.col("orden") % 10).alias("RECUENTO NO GESTION")
     )
     report = t.contactos.select(F.col("cuenta").alias("CUENTA NEXT"), "perfil")
-    documents = t.customer.filter("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("DOCUMENTO"))
+    documents = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("DOCUMENTO"))
     rules = t.spark.sql(_WIDE_RULES)
     satellites = {
         "contactos": (contacts, ["NumMovil", "NumFijo", "NumEmail"]),
@@ -508,14 +509,39 @@ _PAYMENTS = f"""
 
 @query(
     "b13_payment_load",
-    f"WITH {_PAYMENTS} SELECT obligacion, '' AS identificacion, CAST(fecha AS VARCHAR) AS fecha, CAST(trunc(valor_decimal) AS BIGINT) AS valor, "
-    "'' AS asesor FROM pagados WHERE trunc(valor_decimal) > 0 AND fecha >= DATE '2001-06-01'",
+    f"WITH {_PAYMENTS} SELECT obligacion, '' AS identificacion, CAST(fecha AS VARCHAR) AS fecha, CAST(trunc(valor_decimal) AS BIGINT) AS valor, '' AS asesor "
+    "FROM (SELECT DISTINCT * FROM pagados) WHERE trunc(valor_decimal) > 0 AND fecha >= DATE '2001-06-01'",
 )
 def payment_load(t):
-    loaded = payments.payment_load(payments.cleaned_payments(t.pagos), AS_OF)
+    """Every payment twice in its file: it is loaded once."""
+    loaded = payments.payment_load(payments.cleaned_payments(t.pagos.unionAll(t.pagos)), AS_OF)
     return loaded.withColumn("fecha", F.col("fecha").cast("string"))
 
 
+_PAYMENT_FILES = """
+    SELECT CAST(orden AS VARCHAR) AS obligacion, fecha_iso AS fecha FROM base
+    UNION ALL SELECT CAST(orden AS VARCHAR), fecha_iso FROM base WHERE origen = 'RR'
+"""
+
+
+@query(
+    "b13_payment_files",
+    f"SELECT obligacion, fecha, CAST(count(*) AS BIGINT) AS filas, 10.5 * count(*) AS valor FROM ({_PAYMENT_FILES}) GROUP BY 1, 2",
+)
+def payment_files(t):
+    """Three layouts, separators and folders; the third names collection houses and holds other campaigns too."""
+    folder = new_path(t.spark, "b13")
+    rows = t.base.select(F.col("orden").cast("string").alias("orden"), "marca", "origen", "fecha_iso", F.lit("10.5").alias("pago"))
+    first = rows.filter("marca <> 'churn'").selectExpr("orden AS Cuenta", "pago AS Pago", "fecha_iso AS Fecha")
+    second = rows.filter("marca = 'churn'").selectExpr("fecha_iso AS FECHA_INGRESO", "orden AS `Número de Cliente`", "pago AS MONTO")
+    code = F.when(F.col("origen") == "RR", fixed.OWN_CAMPAIGN_CODE).otherwise("UNIF - OTRA").alias(fixed.CAMPAIGN_CODE_COLUMN)
+    third = rows.select(F.col("orden").alias("CUENTA"), F.col("pago").alias("Fecha de Creación"), F.col("fecha_iso").alias(fixed.HOUSE_COLUMN), code)
+    for name, table, sep in (("a", first, ";"), ("b", second, ","), ("c", third, "\t")):
+        stage_csv(table, f"{folder}/{name}", sep=sep)
+    read = payments.read_payments(t.spark, folder)
+    return read.groupBy("obligacion", "fecha").agg(F.count("*").alias("filas"), F.sum(F.col("valor").cast("double")).alias("valor"))
+
+
 @query(
     "b13_payment_detail",
     f"WITH {_PAYMENTS} SELECT obligacion, CAST(fecha AS VARCHAR) AS fecha, valor_decimal, min(origen) AS origen FROM pagados GROUP BY 1, 2, 3",
@@ -736,7 +762,7 @@ def dialer(t):
 
 
 _CROSS_LAKE = """
-    SELECT DISTINCT telefono || cuenta AS llave, 'C' || cuenta AS c FROM contactos WHERE evento % 2 = 0 AND
+    SELECT DISTINCT telefono || cuenta AS llave, 'C' || cuenta AS c FROM contactos WHERE
       CASE evento % 3 WHEN 0 THEN '60' ELSE 'churn' END NOT IN ('60', '90', '120', '150', '180', '210', 'Castigo', 'Provision', 'Preprovision')
 """
 
@@ -750,7 +776,7 @@ _CROSS_LAKE = """
     """,
 )
 def crossed(t):
-    lake = t.contactos.filter("evento % 2 = 0").select(
+    lake = t.contactos.select(
         F.col("telefono").alias("dato"), F.col("cuenta").alias("identificacion"), F.concat(F.lit("C"), "cuenta").alias("cuenta"),
         F.when(F.col("evento") % 3 == 0, "60").otherwise("churn").alias("marca"),
     )

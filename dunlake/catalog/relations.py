@@ -102,11 +102,11 @@ def merged_contacts(t):
     """
     SELECT orden, cuenta2, coalesce(p.porcentaje, '0') AS porcentaje FROM base LEFT JOIN
       (SELECT CAST(l_orderkey AS VARCHAR) || '-' AS llave, CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR) || '%' AS porcentaje
-       FROM lineitem WHERE l_linenumber <= 2) p ON p.llave = cuenta2
+       FROM lineitem) p ON p.llave = cuenta2
     """,
 )
 def discounts(t):
-    table = t.lineitem.filter("l_linenumber <= 2").select(
+    table = t.lineitem.select(
         F.col("l_orderkey").alias("codigo"),
         F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")).alias("porcentaje"),
     )
@@ -137,16 +137,15 @@ def matches(t):
 @query(
     "j6_lookup_contacts",
     """
-    WITH d AS (SELECT DISTINCT identificacion AS document FROM base WHERE orden % 3 = 0), l AS (SELECT * FROM lago WHERE contains(demographic, '@'))
+    WITH d AS (SELECT DISTINCT identificacion AS document FROM base), l AS (SELECT * FROM lago)
     SELECT d.document, l.account, l.demographic FROM d JOIN l ON d.document = l.document
     UNION ALL SELECT document, NULL, NULL FROM d WHERE document NOT IN (SELECT document FROM l)
     """,
 )
 def looked_up(t):
-    documents = t.base.filter("orden % 3 = 0").select(F.col("identificacion").alias("document"))
-    lake = t.lago.filter(F.contains("demographic", F.lit("@")))
-    found = joins.lookup_contacts(documents, lake, "document")
-    return found.unionByName(joins.lookup_contacts(documents, lake, "document", want=False), allowMissingColumns=True)
+    documents = t.base.select(F.col("identificacion").alias("document"))
+    found = joins.lookup_contacts(documents, t.lago, "document")
+    return found.unionByName(joins.lookup_contacts(documents, t.lago, "document", want=False), allowMissingColumns=True)
 
 
 @query(

@@ -88,22 +88,19 @@ def signatures(t):
     return t.base.select("orden", contacts.slot_signature(["fijo1", "celular1", "celular3"]).alias("firma"))
 
 
-def _rank_sql(keys: str, order: str, n: int, source: str, columns: str) -> str:
-    return (
-        f"SELECT {columns}, r AS orden_contacto FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS r "
-        f"FROM ({source})) WHERE r <= {n}"
-    )
+def _rank_sql(keys: str, order: str, source: str, columns: str) -> str:
+    return f"SELECT {columns}, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS orden_contacto FROM ({source})"
 
 
-@query("w1_rank_contacts", _rank_sql("cuenta, identificacion", "dato", 20, _VALID, "cuenta, identificacion, dato"))
+@query("w1_rank_contacts", _rank_sql("cuenta, identificacion", "dato", _VALID, "cuenta, identificacion, dato"))
 def ranked_contacts(t):
-    rows = d.ranked(valid_contacts(t), ["cuenta", "identificacion"], ["dato"], "orden_contacto", fixed.PHONE_SLOTS)
+    rows = d.ranked(valid_contacts(t), ["cuenta", "identificacion"], ["dato"], "orden_contacto")
     return rows.select("cuenta", "identificacion", "dato", "orden_contacto")
 
 
-@query("w2_rank_document_contacts", _rank_sql("identificacion", "cuenta, dato", 9, _VALID, "cuenta, identificacion, dato"))
+@query("w2_rank_document_contacts", _rank_sql("identificacion", "cuenta, dato", _VALID, "cuenta, identificacion, dato"))
 def ranked_document_contacts(t):
-    rows = d.ranked(valid_contacts(t), ["identificacion"], ["cuenta", "dato"], "orden_contacto", fixed.TASK_SLOTS)
+    rows = d.ranked(valid_contacts(t), ["identificacion"], ["cuenta", "dato"], "orden_contacto")
     return rows.select("cuenta", "identificacion", "dato", "orden_contacto")
 
 
@@ -115,9 +112,9 @@ def ranked_document_contacts(t):
     """,
 )
 def ranked_dates(t):
-    """Dates of an account in calendar order; a month has at most 31."""
-    days = t.presencia.select("clave", "fecha").distinct()
-    return d.ranked(days, ["clave"], [dates.slash_date("fecha")], "orden_contacto", 31)
+    """Dates of an account in calendar order."""
+    days = t.presencia.select("clave", "fecha").distinct().withColumn("_dia", dates.slash_date("fecha"))
+    return d.ranked(days, ["clave"], ["_dia", "fecha"], "orden_contacto").drop("_dia")
 
 
 @query(

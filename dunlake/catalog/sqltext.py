@@ -80,9 +80,9 @@ def document_type(column: str) -> str:
     )
 
 
-def keyword_group(column: str) -> str:
+def keyword_group(column: str, rules=fixed.CAMPAIGN_KEYWORDS) -> str:
     arms = []
-    for group, words in reversed(fixed.CAMPAIGN_KEYWORDS):
+    for group, words in reversed(rules):
         hits = " OR ".join(f"contains(lower({column}), {quote(w)})" for w in words)
         arms.append(f"WHEN {hits} THEN {quote(group)}")
     return f"CASE {' '.join(arms)} ELSE {column} END"

@@ -26,13 +26,13 @@ def number(value: ColumnLike) -> Column:
 
 
 def whole(value: ColumnLike) -> Column:
-    """Long of a number text, its fraction cut off; null when the text is no number.
+    """Whole number of a number text of up to 38 digits, its fraction cut off; null when the text is no such number.
 
     The pattern keeps bad texts away from the cast, where each would cost an exception.
     """
     col = text(value)
-    is_number = col.rlike(r"^\s*[+-]?[0-9]{1,18}(\.[0-9]*)?\s*$")
-    return F.when(is_number, F.split_part(col, F.lit("."), F.lit(1)).cast("bigint"))
+    is_number = col.rlike(r"^\s*[+-]?[0-9]{1,38}(\.[0-9]*)?\s*$")
+    return F.when(is_number, F.split_part(col, F.lit("."), F.lit(1)).cast("decimal(38,0)"))
 
 
 def is_blank(value: ColumnLike) -> Column:

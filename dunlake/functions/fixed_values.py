@@ -280,6 +280,9 @@ LITERAL_ENYE_FORMS = ("\\ÃƒÂ‘", "\\Ã‚Â¦", "\\Ã‘", "Ñ", "ÃƒÂ‘"
 PAYMENT_DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy", "d/M/yy", "d-M-yy")
 
 # --- fixed values: payment, ranking and agency column aliases ------------------------------
+HOUSE_COLUMN = "Nombre Casa de Cobro"
+CAMPAIGN_CODE_COLUMN = "Codigo de Campaña"
+OWN_CAMPAIGN_CODE = "UNIF - RECUPERA SAS"
 PAYMENT_ALIASES = {
     "obligacion": ("Cuenta", "CUENTA", "Número de Cliente"),
     "valor": ("Pago", "PAGO", "MONTO", "Fecha de Creación"),
@@ -382,6 +385,21 @@ CAMPAIGN_KEYWORDS = (
     ("habi", ("habi",)),
     ("payjoy", ("payjoy", "pay joy")),
 )
+# Keywords of one group that differ by vendor.
+CLARO_KEYWORDS = {
+    "ivr_2": (
+        "210", "0_30", "rr", "ascard", "bscs", "prechurn", "churn", "potencial", "prepotencial",
+        "descuento", "esp", "30_", "prees", "preord",
+    ),
+    "sms_2": (
+        "210", "_30", "rr", "ascard", "bscs", "prechurn", "churn", "potencial", "prepotencial",
+        "especial",
+    ),
+}
+VENDOR_KEYWORDS = {"ivr_1": CAMPAIGN_KEYWORDS} | {
+    vendor: tuple((group, words if group == "claro" else given) for group, given in CAMPAIGN_KEYWORDS)
+    for vendor, words in CLARO_KEYWORDS.items()
+}
 UNIFIED_GROUPS = (
     ("claro", "CLARO"),
     ("chevrolet|gm|insoluto", "GMAC"),

@@ -150,18 +150,18 @@ class VolumeSpec:
     extra_group: ColumnLike | None = None
     cost: ColumnLike | None = None
     keep: Column | None = field(default=None, compare=False)
-    scale: int = 2
 
 
 def volume(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
     """Sums per day or hour and group.
 
     An invalid number counts as zero, a row without a valid time is dropped.
-    Sums are decimal: they do not depend on the order of the rows.
+    Sums are decimal with ten places, so small costs add up and the order of the
+    rows does not matter; only the sum becomes a double.
     """
 
     def amount(column: ColumnLike) -> Column:
-        return F.coalesce(number(column).try_cast(f"decimal(18,{spec.scale})"), F.lit(0))
+        return F.coalesce(number(column).try_cast("decimal(28,10)"), F.lit(0))
 
     rows = df if spec.keep is None else df.filter(spec.keep)
     moment = floor_to(spec.time, unit).alias("fecha_movimiento")
@@ -225,5 +225,5 @@ def agent_results(reports: Sequence[DataFrame]) -> DataFrame:
 
 
 def file_counts(df: DataFrame) -> DataFrame:
-    """Rows per file of a scanned folder."""
-    return df.groupBy(F.col("_metadata.file_name").alias("archivo")).agg(F.count("*").alias("filas"))
+    """Rows per file of a scanned folder; files of one name in different folders count apart."""
+    return df.groupBy(F.col("_metadata.file_path").alias("archivo")).agg(F.count("*").alias("filas"))

@@ -35,8 +35,8 @@ def ordered(df: DataFrame, columns: Sequence[ColumnLike], ascending: bool | list
     return df.orderBy(*_ascending(columns), ascending=ascending)
 
 
-def numbered(df: DataFrame, order: Sequence[ColumnLike], name: str = "fila") -> DataFrame:
-    """Global zero-based row number without a single-task window.
+def numbered(df: DataFrame, order: Sequence[ColumnLike], name: str = "fila", file: str | None = None) -> DataFrame:
+    """Global zero-based row number without a single-task window; ``file`` names a column for the number of the file.
 
     The range-sorted rows are written to the shared work folder. A row's number
     is the rows in earlier files plus its place in its own file; the window
@@ -48,16 +48,21 @@ def numbered(df: DataFrame, order: Sequence[ColumnLike], name: str = "fila") ->
     rows = spark.read.schema(df.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place")
     )
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # The number in a file's name is that of its range; as text it would not sort beyond five digits.
+    number = F.regexp_extract("_file", "^part-([0-9]+)", 1).cast("bigint")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     files = (
         spark.read.schema(df.schema).parquet(path)
         .groupBy(F.col("_metadata.file_name").alias("_file"))
         .agg(F.count("*").alias("_rows"))
-        .select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .withColumn("_part", number)
+        .select("_file", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
     # One row per written file, at most one file per shuffle partition: safe to broadcast.
     return rows.join(F.broadcast(files), "_file").select(
-        *[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place")).alias(name)
+        *[F.col(f"`{c}`") for c in df.columns],
+        (F.col("_before") + F.col("_place")).alias(name),
+        *([F.col("_part").alias(file)] if file else []),
     )
 
 
@@ -81,13 +86,16 @@ def ranked(
     """Rank inside a key. With ``n`` only the first ``n`` rows are kept and ranked.
 
     Without a bound a key may hold any number of rows, so the rank is the global
-    row number minus the first number of the key, and no group meets in one task.
+    row number minus the first number of the key. The rows of a key are sorted into
+    one or more files; first numbers are joined by key and file, so a key that spans
+    many files is spread over as many groups.
     """
     if n is not None:
         return top_rows(df, keys, order, n, rank)
-    rows = numbered(df, [*keys, *order], "_number")
-    first = rows.groupBy(*keys).agg(F.min("_number").alias("_first"))
-    return join_null_safe(rows, first, keys, "left").select(
+    rows = numbered(df, [*keys, *order], "_number", "_part")
+    by_file = rows.groupBy(*keys, "_part").agg(F.min("_number").alias("_first"))
+    first = by_file.withColumn("_first", F.min("_first").over(Window.partitionBy(*keys)))
+    return join_null_safe(rows, first, [*keys, "_part"], "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_number") - F.col("_first") + 1).alias(rank),
     )

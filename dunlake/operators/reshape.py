@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dunlake.functions.base import ColumnLike, as_column, text
 from dunlake.functions.contacts import trimmed_list_cell
-from dunlake.operators.dedup import top_rows
+from dunlake.operators.dedup import ranked, top_rows
 
 
 def unpivot_slots(
@@ -64,23 +64,16 @@ def explode_list(df: DataFrame, cell: str, value: str, separator: str = r"\|", d
 def items_per_key(
     df: DataFrame, key: str, item: ColumnLike, name: str, separator: str = ";", limit: int = 100_000
 ) -> DataFrame:
-    """Distinct items of a key as one text.
+    """Distinct items of a key as texts of up to ``limit`` items, in order: (key, parte, items), parts from 0.
 
-    A key with more than ``limit`` distinct items is spread over several rows,
-    told apart by ``parte``; nothing is dropped and no list outgrows a task.
+    An item's part follows from its rank in the key, so every key has the same form, whatever its size; nothing is
+    dropped and no list outgrows a task.
     """
-    pairs = df.select(key, text(as_column(item)).alias("_item")).distinct()
-    large = (
-        pairs.groupBy(key)
-        .agg(F.count("_item").alias("_items"))
-        .filter(F.col("_items") > limit)
-        .select(key, F.ceil(F.col("_items") / F.lit(limit)).alias("_parts"))
-    )
-    part = F.pmod(F.xxhash64("_item"), F.coalesce("_parts", F.lit(1)))
+    pairs = df.select(key, text(as_column(item)).alias("_item")).filter(F.col("_item").isNotNull()).distinct()
+    part = F.floor((F.col("_rank") - 1) / F.lit(limit)).cast("bigint")
     return (
-        pairs.join(large, key, "left")
+        ranked(pairs, [key], ["_item"], "_rank")
         .select(key, "_item", part.alias("parte"))
-        .repartition(key, "parte")
         .groupBy(key, "parte")
         .agg(F.concat_ws(separator, F.sort_array(F.collect_list("_item"))).alias(name))
     )

@@ -254,9 +254,10 @@ def bot_base(df: DataFrame, spec: CampaignSpec, layout: str = "full", phones: Se
 def task_base(
     df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_COLUMNS, slots: int = fixed.TASK_SLOTS
 ) -> DataFrame:
-    """Dialer task list: each phone once, up to nine phones per document on one row."""
+    """Dialer task list of accounts with a reference: each phone once, up to nine phones per document on one row."""
+    reference = F.when(F.col("origen") == "RR", F.col("cuenta")).otherwise(F.col("referencia"))
     base = chosen_accounts(with_defaults(df), spec).filter(
-        p.not_contacted_on("fechagestion_contactodirecto", spec.as_of)
+        p.not_contacted_on("fechagestion_contactodirecto", spec.as_of) & (reference != "")
     )
     rows = contact_rows(base, phones, spec)
     single = dedup(rows, [CONTACT], ["identificacion", "cuenta"])

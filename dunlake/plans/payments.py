@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunlake.functions import accounts, amounts, classes, dates
@@ -15,6 +15,7 @@ from dunlake.operators import projection as p
 from dunlake.operators.aggregates import account_counts, with_group_stats
 from dunlake.operators.dedup import dedup
 from dunlake.operators.unions import union_all
+from dunlake.sources.folders import read_text_files
 from dunlake.sources.sinks import write_by_key
 
 
@@ -31,8 +32,33 @@ def cleaned_payments(df: DataFrame, origin: str = "archivo", operation: str = "t
     )
 
 
+def own_campaign(df: DataFrame) -> DataFrame:
+    """Rows of our campaign where the layout names collection houses; other layouts hold only ours."""
+    if fixed.HOUSE_COLUMN not in df.columns:
+        return df
+    return df.filter(F.col(fixed.CAMPAIGN_CODE_COLUMN) == fixed.OWN_CAMPAIGN_CODE)
+
+
+def read_payments(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """Payment files of a folder: obligacion, fecha, valor, tipo_operacion and the file in ``archivo``.
+
+    Each layout is read with the separator of its header, without lines of a wrong number of fields, limited to our
+    campaign and renamed.
+    """
+
+    def renamed(table: DataFrame) -> DataFrame:
+        names = fixed.PAYMENT_ALIASES | {"tipo_operacion": ("tipo_operacion",), "archivo": ("archivo",)}
+        return p.resolve_aliases(own_campaign(table), names, optional=("tipo_operacion",))
+
+    rows = read_text_files(spark, folder, pattern, recursive=True, origin="archivo", each=renamed, malformed="DROPMALFORMED")
+    if rows is None:
+        raise FileNotFoundError(f"no payment file {pattern} in {folder}")
+    return rows
+
+
 def payment_load(payments: DataFrame, as_of: date) -> DataFrame:
-    """Load rows: whole values of the month of ``as_of`` or later."""
+    """Load rows: whole values of the month of ``as_of`` or later, each payment of a file once."""
+    payments = payments.dropDuplicates(["obligacion", "fecha", "valor_decimal", "origen"])
     whole = payments.withColumn("valor", F.col("valor_decimal").try_cast("bigint")).filter("valor > 0")
     return p.from_month(whole, "fecha", as_of).select(
         "obligacion", F.lit("").alias("identificacion"), "fecha", "valor", F.lit("").alias("asesor")
@@ -44,10 +70,10 @@ def payment_detail(payments: DataFrame) -> DataFrame:
     return dedup(payments, ["obligacion", "fecha", "valor_decimal"], ["origen"])
 
 
-def unapplied_payments(df: DataFrame, file_day: str = "fecha_archivo", least: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def unapplied_payments(df: DataFrame, file_day: str = "fecha_archivo", least: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Account counts, accounts to exclude and single payments of unapplied payments.
 
-    The outputs hold rows only when more than ``least`` rows remain.
+    With ``least`` the outputs hold rows only when more than so many rows remain.
     """
     rows = p.resolve_aliases(
         df, fixed.UNAPPLIED_ALIASES | {"ARCHIVO": ("archivo",), "FILE_DATE": (file_day,)}
@@ -58,7 +84,7 @@ def unapplied_payments(df: DataFrame, file_day: str = "fecha_archivo", least: in
         }
     ).filter(F.col("CUENTA").rlike("^[0-9]+$"))
     daily = dedup(rows, ["CUENTA", "FILE_DATE"], ["VALOR", "ARCHIVO"])
-    enough = daily.agg(F.count("*") > least).scalar()
+    enough = daily.agg(F.count("*") > least).scalar() if least else F.lit(True)
     counts = account_counts(daily, "CUENTA", "FILE_DATE").filter(enough)
     singles = dedup(daily, ["CUENTA", "VALOR"], ["FILE_DATE", "ARCHIVO"]).filter(enough)
     return counts, counts.select("CUENTA"), singles.select("CUENTA", "VALOR", "FILE_DATE")

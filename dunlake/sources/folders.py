@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +14,17 @@ from dunlake.sources.text import read_text_table
 
 
 def read_dynamic(spark: SparkSession, base: str, sep: str = ";") -> DataFrame:
-    """``base.parquet`` if it is there, else ``base.csv``; an error when neither is."""
-    try:
-        return spark.read.parquet(f"{base}.parquet")
-    except AnalysisException:
-        pass
-    try:
-        return read_text_table(spark, f"{base}.csv", sep)
-    except AnalysisException as error:
-        raise FileNotFoundError(f"no readable file for {base}") from error
+    """``base.parquet`` if it is there, else ``base.csv``; an error when neither is.
+
+    Only a missing path leads on; a file that is there but can't be read is an error.
+    """
+    for read in (lambda: spark.read.parquet(f"{base}.parquet"), lambda: read_text_table(spark, f"{base}.csv", sep)):
+        try:
+            return read()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"no file for {base}")
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -61,6 +63,8 @@ def read_text_files(
     sep: str | None = None,
     recursive: bool = False,
     origin: str | None = None,
+    parent: str | None = None,
+    each: Callable[[DataFrame], DataFrame] | None = None,
     **options: str,
 ) -> DataFrame | None:
     """All text files of a folder, united by column name.
@@ -69,7 +73,8 @@ def read_text_files(
     layouts, not the files; a folder of one layout is scanned as a whole. The
     driver sees one short row per file, as its own file listing does. Without
     ``sep`` each layout's separator is taken from its header. ``origin`` adds the
-    file name in a column of that name. Null when no file matches.
+    file name in a column of that name, ``parent`` that of its folder; ``each`` is
+    applied to the table of each layout. Null when no file matches.
     """
     files: dict[str, list[str]] = {}
     for row in file_headers(spark, folder, pattern, recursive).toLocalIterator():
@@ -82,25 +87,25 @@ def read_text_files(
             table = read_text_table(spark, folder, separator, **whole, **options)
         else:
             table = read_text_table(spark, paths, separator, **options)
-        if origin is not None:
-            table = table.select("*", F.col("_metadata.file_name").alias(origin))
-        parts.append(as_text(table))
+        if origin is not None or parent is not None:
+            places = {origin: F.col("_metadata.file_name"), parent: F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)}
+            table = table.select("*", *[place.alias(name) for name, place in places.items() if name is not None])
+        table = as_text(table)
+        parts.append(table if each is None else each(table))
     return union_all(parts) if parts else None
 
 
 def read_folder_any(spark: SparkSession, folder: str, sep: str = ";") -> DataFrame:
-    """CSV and Parquet files of a folder as text, united by name; unreadable files are skipped."""
+    """CSV and Parquet files of a folder as text, united by name; a file that can't be read fails the scan."""
     parts = []
     text_part = read_text_files(spark, folder, "*.csv", sep)
     if text_part is not None:
         parts.append(text_part)
     try:
-        parquet = spark.read.options(
-            pathGlobFilter="*.parquet", ignoreCorruptFiles="true", mergeSchema="true"
-        ).parquet(folder)
-        parts.append(as_text(parquet))
-    except AnalysisException:
-        pass
+        parts.append(as_text(spark.read.options(pathGlobFilter="*.parquet", mergeSchema="true").parquet(folder)))
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # no Parquet file in the folder
+            raise
     if not parts:
         raise FileNotFoundError(f"no CSV or Parquet file in {folder}")
     return union_all(parts)
@@ -141,15 +146,16 @@ def with_parent_folder(df: DataFrame, name: str = "carpeta") -> DataFrame:
 def merge_by_folder(
     spark: SparkSession, folder: str, sep: str = ";", pattern: str = "*.csv", columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Rows of all files below a folder with their parent folder, ready to be written by it."""
-    reader = spark.read.options(header=True, sep=sep, recursiveFileLookup="true", pathGlobFilter=pattern)
-    rows = with_parent_folder(reader.csv(folder))
+    """Rows of all files below a folder, united by column name, with their parent folder, ready to be written by it."""
+    rows = read_text_files(spark, folder, pattern, sep, recursive=True, parent="carpeta")
+    if rows is None:
+        raise FileNotFoundError(f"no file {pattern} below {folder}")
     return rows if columns is None else rows.select(*columns, "carpeta")
 
 
 def file_row_counts(spark: SparkSession, folder: str, pattern: str = "*.csv", sep: str = ";") -> DataFrame:
-    """Rows per file of a folder, header not counted."""
+    """Rows per file below a folder, header not counted; files of one name in different folders count apart."""
     rows = spark.read.options(
         header=True, sep=sep, recursiveFileLookup="true", pathGlobFilter=pattern
     ).csv(folder)
-    return rows.groupBy(F.col("_metadata.file_name").alias("archivo")).agg(F.count("*").alias("filas"))
+    return rows.groupBy(F.col("_metadata.file_path").alias("archivo")).agg(F.count("*").alias("filas"))

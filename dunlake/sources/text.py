@@ -100,12 +100,16 @@ def read_positional(spark: SparkSession, path: str, drop: Sequence[int] = (), se
 def read_after_preamble(spark: SparkSession, path: str, lines: int = 3, sep: str = ",") -> DataFrame:
     """Scan a file whose header follows ``lines`` lines of preamble.
 
-    Those lines are looked up once and removed from the first block of the file.
+    The first lines are dropped by their place in the file, so a later line equal to one of them stays.
     """
     head = [row[0] for row in spark.read.text(path).head(lines + 1)]
     schema = text_schema(unique_names(head[-1].split(sep)))
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"))
-    body = rows.filter((F.col("_start") > 0) | ~F.col("value").isin(*head))
+    rows = spark.read.text(path).select(
+        "value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")
+    )
+    # Lines of a block are numbered in order, from some number of the task on.
+    first = rows.agg(F.min(F.when(F.col("_start") == 0, F.col("_line")))).scalar()
+    body = rows.filter((F.col("_start") > 0) | (F.col("_line") > first + lines))
     return body.select(F.from_csv("value", _ddl(schema), {"sep": sep}).alias("row")).select("row.*")
 
 
