@@ -22,7 +22,7 @@ NEVER = np.int64(1) << np.int64(40)
 #: Longer words are merged one by one.
 SIDE_BY_SIDE_BYTES = 32
 #: Words kept by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _LETTER, _NUMBER, _SPACE, _OTHER, _EDGE = 0, 1, 2, 3, 4
 EDGE_POINT = 0x110000
 
@@ -417,17 +417,20 @@ class Tokenizer:
         self.number.update(zip(hashes, slots.tolist(), strict=True))
         return slots
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids; bytes that are no UTF-8 become U+FFFD, special tokens stay as their text."""
-        table = self._decoding()
-        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
-
-    def _decoding(self) -> list[bytes]:
-        if not hasattr(self, "_table"):
-            self._table = list(self.bytes_of)
-            for text, i in self.special.items():
-                self._table[i] = text.encode()
-        return self._table
+
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> list[bytes]:
+    """Bytes of every id of a tokenizer file; special tokens stay as their text."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = _byte_letters()
+    special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    table = [b""] * (max([*spec["model"]["vocab"].values(), *special]) + 1)
+    for text, i in spec["model"]["vocab"].items():
+        table[i] = bytes(letters[c] for c in text)
+    for i, text in special.items():
+        table[i] = text
+    return table
 
 
 @lru_cache(maxsize=2)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunlake.llm.chat import format_conversations, read_back
 from dunlake.llm.classifier import resample
-from dunlake.llm.common import rows, table
+from dunlake.llm.common import table
 from dunlake.llm.encoding import decode, encode
 from dunlake.llm.lines import dedup_lines
 from dunlake.llm.packing import pack
@@ -55,20 +52,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("text", pa.string())])
-
-
-def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("ids")
-        digests, sizes = [], []
-        for i in range(len(lists)):
-            ids = np.asarray(lists[i].values).astype("<u4")
-            sizes.append(len(ids))
-            digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
-        yield rows(_ENCODED, [batch.column("doc_id"), sizes, digests, batch.column("text")])
-
-
 @query("op1_jaccard_join")
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
@@ -89,8 +72,7 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary()
     there_and_back = decode(encode(table(spark, folder, "documents"), path), path)
-    digested = there_and_back.mapInArrow(_id_digests, "doc_id long, n_tokens long, ids_sha256 string, text string")
-    return digested.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    return there_and_back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 @query("op5_packing")
