@@ -130,7 +130,7 @@ def _gram_lists(buckets: int):
                     if len(owner):
                         found.append((hashes, part.ids[owner], (gram - part.offsets[owner] + base[owner]).astype(np.uint32)))
                         size += len(owner)
-            if size > BLOCK_BYTES:
+            if size > BLOCK_BYTES // 4:
                 yield from flush(found)
                 found, size = [], 0
         if size:
@@ -211,6 +211,29 @@ _CONTEXTS_DDL = "bucket int, sure boolean, grams binary, ids binary, versions bi
 _KINDS = (np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16)
 
 
+def _chunks(sizes: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces with about ``limit`` bytes, as arrays of places take eight times the bytes."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, stop
+        at = stop
+
+
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes of many pieces, one after the other."""
+    out = np.empty(int(sizes.sum()), np.uint8)
+    done = 0
+    for a, b in _chunks(sizes):
+        size = sizes[a:b]
+        before = np.cumsum(size) - size
+        part = data[np.repeat(starts[a:b] - before, size) + np.arange(int(size.sum()))]
+        out[done : done + len(part)] = part
+        done += len(part)
+    return out
+
+
 class Contexts:
     """Runs of windows with the bytes that they cover."""
 
@@ -223,16 +246,21 @@ class Contexts:
         return len(self.sizes)
 
     def take(self, at: np.ndarray) -> Contexts:
-        sizes = self.sizes[at]
-        before = np.cumsum(sizes) - sizes
-        index = np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))
-        return Contexts([c[at] for c in self.columns], self.data[index])
+        return Contexts([c[at] for c in self.columns], _gather(self.data, self.starts[at], self.sizes[at]))
+
+    def hashes(self) -> np.ndarray:
+        out = np.empty(len(self), np.uint64)
+        for a, b in _chunks(self.sizes):
+            low = self.starts[a]
+            sums = prefix_sums(BYTE_VALUES[self.data[low : self.starts[b]]])
+            begin = self.starts[a:b] - low
+            out[a:b] = (sums[self.starts[a + 1 : b + 1] - low] - sums[begin]) * powers(BASE_INVERSE, len(sums))[begin]
+        return mix(out)
 
     def copies(self) -> tuple[np.ndarray, np.ndarray]:
         """The earliest run of each distinct context, and the other runs. Equal contexts have equal gram, count, offset and bytes."""
         grams, ids, versions, windows, counts, offsets = self.columns
-        sums = prefix_sums(BYTE_VALUES[self.data])
-        whole = mix((sums[self.starts[1:]] - sums[self.starts[:-1]]) * powers(BASE_INVERSE, len(sums))[self.starts[:-1]])
+        whole = self.hashes()
         shape = counts.astype(np.int64) << 16 | offsets
         order = np.lexsort((windows, versions, ids, whole, shape, grams))
         head = np.ones(len(order), bool)
@@ -243,14 +271,17 @@ class Contexts:
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         doubt = np.flatnonzero(same)
         if len(doubt):
-            a, b = order[doubt], order[first[doubt]]
-            sizes = self.sizes[a]
-            before = np.cumsum(sizes) - sizes
-            steps = np.arange(int(sizes.sum()))
-            differ = self.data[np.repeat(self.starts[a] - before, sizes) + steps] != self.data[np.repeat(self.starts[b] - before, sizes) + steps]
-            wrong = np.add.reduceat(differ, before) > 0
+            sizes = self.sizes[order[doubt]]
+            wrong = np.zeros(len(doubt), bool)
+            for low, high in _chunks(sizes):
+                size = sizes[low:high]
+                mine, other = (_gather(self.data, self.starts[x[doubt[low:high]]], size) for x in (order, order[first]))
+                wrong[low:high] = np.add.reduceat(mine != other, np.cumsum(size) - size) > 0
             same[doubt[wrong]] = False  # a collision of hashes: its own context, compared in the sort
-        return order[~same], order[same]
+        # a repeated row is the first run itself and no copy of it
+        lead = order[first]
+        twin = same & (ids[order] == ids[lead]) & (versions[order] == versions[lead]) & (windows[order] == windows[lead])
+        return order[~same], order[same & ~twin]
 
 
 def _packed(found: Contexts, sure: bool, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -289,11 +320,9 @@ def _context_lists(buckets: int):
                     columns = [hashes[hit], np.full(n, id_.as_py()), np.full(n, version.as_py()), window[hit] + base[0], count[hit], (gram - window)[hit]]
                     columns = [c.astype(k) for c, k in zip(columns, _KINDS, strict=True)]
                     sizes = count[hit] + SPAN - 1
-                    before = np.cumsum(sizes) - sizes
-                    index = np.repeat(window[hit] - before, sizes) + np.arange(int(sizes.sum()))
-                    found.append(Contexts(columns, part.data[index]))
+                    found.append(Contexts(columns, _gather(part.data, window[hit], sizes)))
                     size += int(sizes.sum())
-                    if size >= 4 * BLOCK_BYTES:
+                    if size >= 2 * BLOCK_BYTES:
                         yield from flush(found)
                         found, size = [], 0
         if found:
