@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dunlake.catalog import sqltext as q
-from dunlake.catalog.aggregations import CALENDAR_SQL, MIX_SQL, VOLUME_FACT_SQL, _fact_sql, shown_time, volume_specs
+from dunlake.catalog.aggregations import _KEYWORDS, CALENDAR_SQL, MIX_SQL, VOLUME_FACT_SQL, _fact_sql, _volume_sql, shown_time, volume_specs
 from dunlake.catalog.classifications import BOT_SQL, EMAIL_QUALITY
 from dunlake.catalog.files import stage_csv
 from dunlake.catalog.registry import query
 from dunlake.catalog.relations import TOUCH_COUNT_SQL, channel_counts
 from dunlake.catalog.scalars import AS_OF
 from dunlake.functions import fixed_values as fixed
-from dunlake.plans import assignment, campaign, contactcenter, monthly, partners, payments
+from dunlake.plans import assignment, campaign, contactcenter, monthly, partners, payments, vendors
 from dunlake.session import new_path
 from dunlake.sources.text import text_schema
 
@@ -849,6 +849,47 @@ def campaign_fact(t):
     return shown_time(contactcenter.vendor_facts(tables, *_OWN)[1])
 
 
+_REPORTS = {
+    "sms_1": {"fecha de inicio": "momento", "nombre de usuario": "campana", "enviados": "valor"},
+    "ivr_1": {"fecha_inicio": "momento", "nombre_campana": "campana", "segundos": "valor", "audio": "tipo"},
+    "ivr_2": {"connect time": "momento", "account name": "campana", "tiempo facturado": "valor", "costo": "costo"},
+    "email": {"fecha de envío": "momento", "remitente": "remitente", "procesados": "valor"},
+    "sms_2": {"fecha programado": "momento", "campaña": "campana", "total procesados": "valor"},
+    "bot_base": {"fecha_llamada": "momento", "campaña": "campana", "tiempo_llamada": "valor", "estado_llamada": "estado_llamada"},
+}
+
+
+def _report_fact_sql(unit: str) -> str:
+    given = {
+        "sms_1": ("campana", "", "", ""), "ivr_1": (_KEYWORDS["ivr_1"], "", "tipo", ""), "ivr_2": (_KEYWORDS["ivr_2"], "", "", "costo"),
+        "email": ("remitente", "", "", ""), "sms_2": (_KEYWORDS["sms_2"], "", "", ""),
+        "bot_base": ("campana", "AND lower(coalesce(estado_llamada, 'nan')) <> 'contestadora'", "", ""),
+    }
+    parts = " UNION ALL ".join(_volume_sql(unit, s, g, w, e, c) for s, (g, w, e, c) in given.items())
+    return f"SELECT * REPLACE ({q.unified_group('agrupador')} AS agrupador) FROM ({parts})"
+
+
+def report_folder(t) -> str:
+    """All events as the reports of six vendors, each with its own header; a seventh layout is unknown."""
+    folder = new_path(t.spark, "b25")
+    layouts = dict(reversed(fixed.VENDOR_LAYOUTS)) | {"bot_base": fixed.BOT_BASE_BY_CALL}
+    for kind, given in _REPORTS.items():
+        rows = t.envios.selectExpr(*[f"{given.get(c, 'NULL')} AS `{c}`" for c in layouts[kind]])
+        stage_csv(rows.select([F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]), f"{folder}/{kind}", sep=";")
+    stage_csv(t.envios.selectExpr("evento AS otra", "valor AS cosa"), f"{folder}/otra", sep=";")
+    return folder
+
+
+@query("b25_report_folder_days", _report_fact_sql("day"))
+def report_days(t):
+    return shown_time(vendors.vendor_folder_facts(t.spark, report_folder(t))[0])
+
+
+@query("b25_report_folder_hours", f"SELECT *, valor_movimiento AS registros FROM ({_report_fact_sql('hour')})")
+def report_hours(t):
+    return shown_time(vendors.vendor_folder_facts(t.spark, report_folder(t))[1])
+
+
 @query(
     "b26_sent_buckets",
     """

@@ -352,6 +352,14 @@ VENDOR_LAYOUTS = (
         "connect time",
     )),
 )
+# Time, group, value and cost column of each vendor's reports.
+VENDOR_COLUMNS = {
+    "sms_1": ("fecha de inicio", "nombre de usuario", "enviados", None),
+    "ivr_1": ("fecha_inicio", "nombre_campana", "segundos", None),
+    "ivr_2": ("connect time", "account name", "tiempo facturado", "costo"),
+    "email": ("fecha de envío", "remitente", "procesados", None),
+    "sms_2": ("fecha programado", "campaña", "total procesados", None),
+}
 UNKNOWN_LAYOUT = "unknown"
 GROUPING_WORDS = "estandar|personalizado"
 MACHINE_ANSWER = "contestadora"

@@ -152,12 +152,14 @@ class VolumeSpec:
     keep: Column | None = field(default=None, compare=False)
 
 
-def volume(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
-    """Sums per day or hour and group.
+SUM_TYPE = "decimal(38,10)"
+
 
-    An invalid number counts as zero, a row without a valid time is dropped.
-    Sums are decimal with ten places, so small costs add up and the order of the
-    rows does not matter; only the sum becomes a double.
+def volume_sums(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
+    """Exact sums per day or hour and group, as decimals with ten places.
+
+    An invalid number counts as zero, a row without a valid time is dropped. Small
+    costs add up, and the order of the rows does not matter.
     """
 
     def amount(column: ColumnLike) -> Column:
@@ -168,9 +170,9 @@ def volume(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
     keys = [moment, as_column(spec.group).alias("agrupador")]
     if spec.extra_group is not None:
         keys.append(as_column(spec.extra_group).alias("tipo"))
-    sums = [F.sum(amount(spec.value)).cast("double").alias("valor_movimiento")]
+    sums = [F.sum(amount(spec.value)).cast(SUM_TYPE).alias("valor_movimiento")]
     if spec.cost is not None:
-        sums.append(F.sum(amount(spec.cost)).cast("double").alias("costo"))
+        sums.append(F.sum(amount(spec.cost)).cast(SUM_TYPE).alias("costo"))
     return (
         rows.filter(floor_to(spec.time, unit).isNotNull())
         .groupBy(*keys)
@@ -179,6 +181,15 @@ def volume(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
     )
 
 
+def as_double(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({c: F.col(c).cast("double") for c in ("valor_movimiento", "costo") if c in sums.columns})
+
+
+def volume(df: DataFrame, spec: VolumeSpec, unit: str = "DAY") -> DataFrame:
+    """Sums per day or hour and group; only the exact sum becomes a double."""
+    return as_double(volume_sums(df, spec, unit))
+
+
 def daily_volume(df: DataFrame, spec: VolumeSpec) -> DataFrame:
     return volume(df, spec, "DAY")
 
