@@ -12,6 +12,7 @@ from dunlake.catalog.registry import query
 from dunlake.catalog.relations import TOUCH_COUNT_SQL, channel_counts
 from dunlake.catalog.scalars import AS_OF
 from dunlake.functions import fixed_values as fixed
+from dunlake.functions.messages import MessageText
 from dunlake.plans import assignment, campaign, contactcenter, monthly, partners, payments, vendors
 from dunlake.session import new_path
 from dunlake.sources.text import text_schema
@@ -26,7 +27,7 @@ _TREATED = f"""
     previos AS (SELECT *, {_RANKING} AS rk FROM base),
     tratada AS (SELECT orden, identificacion, replace(cuenta, '-', '') AS cuenta, replace(cuenta2, '-', '') AS cuenta2, marca, origen, Mod_init_cta,
       TRY_CAST(Mod_init_cta AS DOUBLE) AS deuda, {q.plain_discount('descuento')} AS descuento, {q.clean_name('nombrecompleto')} AS nombrecompleto,
-      referencia, fecha_vencimiento, fechagestion_contactodirecto, plan, {', '.join(PHONES)}, email1, email2,
+      referencia, fecha_vencimiento, fechagestion_contactodirecto, fecha_asignacion, customer_type_id, mejorperfil_mes, cant_servicios, plan, {', '.join(PHONES)}, email1, email2,
       date_diff('day', {q.slash_date('fecha_vencimiento')}, DATE '2001-06-15') AS dias,
       CASE WHEN ciudad = 'ASIGNACION_MANUAL_APPLE' THEN 'Apple Manual' ELSE marca END AS marca2,
       CASE WHEN tipo_pago IS NULL OR tipo_pago = '' THEN 'Sin Pago' ELSE tipo_pago END AS tipo_pago, {q.base_type('nombre_campana')} AS tipo_base,
@@ -50,6 +51,8 @@ def _contacts_sql(slots, valid: str, where: str = _IN_RANGE) -> str:
     f"""
     WITH {_TREATED}, {_contacts_sql(PHONES, q.mobile('dato'))}
     SELECT identificacion, cuenta || '-' AS cuenta, cuenta2 || '-' AS cuenta2, marca, marca2, origen, neto AS "Mod_init_cta",
+      fecha_asignacion, customer_type_id, fecha_vencimiento, CAST(NULL AS VARCHAR) AS fechapromesa, mejorperfil_mes, cant_servicios, '08' AS "Hora_Envio",
+      '08:00' AS "Hora_Real", 'Hola ' || coalesce({q.short_name('nombrecompleto')}, '') || ', crm ' || origen || '.' AS aviso,
       {q.money_text('neto')} AS "Form_Moneda", nombrecompleto, {q.debt_band('Mod_init_cta')} AS "Rango",
       CASE WHEN origen = 'RR' THEN cuenta ELSE referencia END AS referencia, dato AS "Dato_Contacto", descuento,
       CAST(trunc(deuda) AS BIGINT) AS "DEUDA_REAL", {q.case_map('origen', fixed.ORIGIN_LABELS['sms'], 'origen')} AS "PRODUCTO", tipo_pago,
@@ -59,7 +62,7 @@ def _contacts_sql(slots, valid: str, where: str = _IN_RANGE) -> str:
     """,
 )
 def sms(t):
-    return campaign.sms_base(t.base, SPEC, PHONES)
+    return campaign.sms_base(t.base, SPEC, PHONES, [MessageText("aviso", "Hola (NOMBRE CORTO), crm (origen).")])
 
 
 _REF = "CASE WHEN origen = 'RR' THEN cuenta ELSE referencia END"
@@ -196,14 +199,16 @@ def reorder(t):
     return campaign.reorder_base(t.base, PHONES)
 
 
-def _partner_sql(source: str, account: str, document: str, name: str, price: str, entry: str | None, where: str, slots: str) -> str:
+def _partner_sql(
+    source: str, account: str, document: str, name: str, price: str, entry: str | None, where: str, slots: str, valid: str | None = None
+) -> str:
     days = f"date_diff('day', {q.payment_date(entry)}, DATE '2001-06-15')" if entry else "CAST(NULL AS BIGINT)"
     return f"""
     SELECT DISTINCT ON (cuenta, "Dato_Contacto") * FROM (
     SELECT {account} AS cuenta, {document} AS identificacion, dato AS "Dato_Contacto", {q.debt_band(price)} AS "Rango",
       CAST(trunc(TRY_CAST({price} AS DOUBLE)) AS BIGINT) AS precio, {q.money_text(f'CAST(trunc(TRY_CAST({price} AS DOUBLE)) AS BIGINT)')} AS "Form_Moneda",
       {q.short_name(q.clean_name(name))} AS "NOMBRE CORTO", {days} AS dias_transcurridos
-    FROM (SELECT *, {slots} AS dato FROM {source} {where}) WHERE {q.valid_phone('dato')}) ORDER BY cuenta, "Dato_Contacto", identificacion
+    FROM (SELECT *, {slots} AS dato FROM {source} {where}) WHERE {valid or q.valid_phone('dato')}) ORDER BY cuenta, "Dato_Contacto", identificacion
     """
 
 
@@ -234,6 +239,15 @@ def partner_list(t):
     return partners.partner_base(t.base, spec, AS_OF)
 
 
+@query(
+    "b7_partner_emails",
+    _partner_sql("base", "cuenta2", "identificacion", "nombrecompleto", "Mod_init_cta", "fecha_corta", "", "UNNEST([email1, email2])", "contains(dato, '@')"),
+)
+def partner_emails(t):
+    spec = partners.PartnerSpec("cuenta2", "identificacion", "nombrecompleto", "Mod_init_cta", "fecha_corta", PHONES, emails=("email1", "email2"))
+    return partners.partner_base(t.base, spec, AS_OF, emails=True)
+
+
 # Columns of the stand-in base under the names of each partner file.
 _PARTNER_SLOTS = ("celular1", "celular2", "fijo1")
 _PARTNER_FILES = {

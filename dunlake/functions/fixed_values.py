@@ -444,3 +444,110 @@ AGENT_TIME_RENAMES = {
     "identificación": "identificacion",
     "tiempo de inicio de sesión": "tiempo de inicio de sesion",
 }
+
+
+# Columns of the message dashboard and where they come from.
+DASHBOARD_TARGET = (
+    "Identificacion", "Cuenta_Next", "Cuenta", "Fecha_Asignacion", "Edad_Mora", "CRM", "Saldo_Asignado", "Segmento",
+    "Form_Moneda", "Nombre_Completo", "Rango", "Referencia", "Dato_Contacto", "Hora_Envio", "Hora_Real",
+    "Fecha_Envio", "marca2", "DCTO", "DEUDA_REAL", "FLP", "PRODUCTO", "fechapromesa", "TIPO_PAGO", "MEJOR PERFIL",
+    "DIAS DE MORA", "RANKING STATUS", "CANTIDAD SERVICIOS", "NOMBRE CORTO", "TIPO BASE", "SMS", "REQUEST ID",
+)
+DASHBOARD_SOURCES = {
+    "Identificacion": "IDENTIFICACION",
+    "Edad_Mora": "MORA",
+    "Form_Moneda": "VALOR_PAGO",
+    "Nombre_Completo": "NOMBRE_CORREGIDO",
+    "Rango": "RANGO_DEUDA",
+    "Referencia": "REFERENCIA",
+    "Dato_Contacto": "TELEFONOS",
+    "Hora_Real": "HORA_EJECUCION",
+    "Fecha_Envio": "FECHA_EJECUCION",
+    "marca2": "MORA",
+    "DCTO": "DESCUENTO",
+    "FLP": "FLP",
+    "PRODUCTO": "PRODUCTO",
+    "TIPO_PAGO": "TIPO_PAGO",
+    "MEJOR PERFIL": "MEJOR_PERFIL",
+    "DIAS DE MORA": "DIASMORA",
+    "NOMBRE CORTO": "NOMBRE_CORTO",
+    "TIPO BASE": "TIPO_DE_BASE",
+    "SMS": "OUTPUT_DATA",
+    "REQUEST ID": "REQUEST_ID",
+}
+
+
+# Account columns that the text message base carries along.
+SMS_ACCOUNT_COLUMNS = (
+    "fecha_asignacion", "customer_type_id", "fecha_vencimiento", "fechapromesa", "mejorperfil_mes", "cant_servicios",
+)
+
+
+# Output columns of the voice bases.
+IVR_LAYOUTS = {
+    "standard": {
+        "Dato_Contacto": "TELEFONO 1",
+        "identificacion": "DOCUMENTO",
+        "cuenta": "IDENTI",
+        "Mod_init_cta": "MONTO_INICIAL",
+        "origen": "CRM_ORIGEN",
+        "marca": "MARCA_ASIGNADA",
+        "dias": "DIAS DE MORA",
+        "linea": "Tipo de Linea",
+        "corto": "NOMBRE CORTO",
+        "descuento": "DESCUENTO",
+        "tipo_pago": "tipo_pago",
+        "Tipo Base": "TIPO BASE",
+    },
+    "mailed": {
+        "identificacion": "identificacion",
+        "corto": "nombre",
+        "Dato_Contacto": "telefono",
+        "cuenta": "cuenta",
+        "Mod_init_cta": "saldo",
+        "origen": "CRM",
+        "marca": "MARCA",
+        "dias": "DIAS DE MORA",
+        "linea": "Tipo de Linea",
+        "estado_ranking": "RANKING STATUS",
+        "Tipo Base": "TIPO BASE",
+    },
+}
+
+
+# Columns of the partner files.
+PARTNER_EMAILS = ("email1", "email2", "email3", "email4", "email5")
+PARTNER_FILES = {
+    "slots_with_dialed": {
+        "account": "id_usuario", "document": "identificacion", "name": "titular", "price": "por_pagar_total",
+        "entry_date": "fecha_ingreso",
+        "contacts": (*[f"celular{i}" for i in range(1, 11)], *[f"fijo{i}" for i in range(1, 5)], "numeromarcado", "celular"),
+        "emails": PARTNER_EMAILS,
+    },
+    "slots_mobile": {
+        "account": "cuenta", "document": "identificacion", "name": "nombrecompleto", "price": "saldo_total",
+        "entry_date": "fecha_ingreso",
+        "contacts": (*[f"celular{i}" for i in range(1, 11)], *[f"fijo{i}" for i in range(1, 5)]),
+        "emails": PARTNER_EMAILS,
+    },
+    "slots_network": {
+        "account": "cuenta", "document": "identificacion", "name": "nombrecompleto", "price": "valor_a_pagar",
+        "entry_date": "fecha_ingreso",
+        "contacts": (*[f"celular{i}" for i in range(1, 11)], *[f"fijo{i}" for i in range(1, 4)]),
+        "emails": PARTNER_EMAILS,
+    },
+    "list_cell_comma": {
+        "account": "cuenta", "document": "identificacion", "name": "nombrecompleto", "price": "saldo_total",
+        "list_cell": "telefonos", "list_separator": ",",
+    },
+    "list_cell_pipe": {
+        "account": "account", "document": "identifitation", "name": "nombrecompleto", "price": "pago_minimo",
+        "entry_date": "fechagestion", "contacts": ("telefono",), "list_cell": "telefonos",
+        "email_cell": "correos_agregados", "profiles": ("mejorperfil", "ultimoperfil"), "unpaid_column": "valor_pago",
+    },
+    "repeated_headers": {
+        "account": "cuenta", "document": "identificacion", "name": "nombrecompleto", "price": "valor_a_pagar",
+        "entry_date": "fecha_ingreso", "contacts": ("numeromarcado", "celular", "celular_1", "segundo_celular"),
+        "emails": PARTNER_EMAILS, "profiles": ("mejorperfil", "ultimoperfil", "mejorperfil_mes", "ultimoperfil_mes"),
+    },
+}

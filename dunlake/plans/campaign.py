@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlake.functions import accounts, amounts, bands, classes, contacts, dates, names
 from dunlake.functions import fixed_values as fixed
+from dunlake.functions.messages import MessageText, message_columns
 from dunlake.operators import projection as p
 from dunlake.operators.aggregates import brand_retire_flag
 from dunlake.operators.dedup import dedup, join_null_safe
@@ -33,6 +34,7 @@ class CampaignSpec:
     contact: str = "both"
     low: float = 0
     high: float = 1e15
+    at: time = time(8, 0)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -74,8 +76,13 @@ def one_per_contact(df: DataFrame) -> DataFrame:
     return dedup(df, ["cuenta", CONTACT], ["identificacion", "cuenta2"])
 
 
-def sms_base(df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_COLUMNS) -> DataFrame:
-    """Mobile contacts with amount texts and message fields. The band uses the amount before discount."""
+def sms_base(
+    df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_COLUMNS, texts: Sequence[MessageText] = ()
+) -> DataFrame:
+    """Mobile contacts with amount texts, message fields and one column per message text.
+
+    The band uses the amount before discount. Account columns that ``df`` lacks are null.
+    """
     base = chosen_accounts(with_defaults(df), spec)
     # Derived columns come after the dedup: they need not be shuffled with every contact.
     rows = one_per_contact(contact_rows(base, phones, spec, "mobile")).withColumns(
@@ -89,10 +96,13 @@ def sms_base(df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_CO
             "dias_transcurridos": dates.days_past_due(dates.slash_date("fecha_vencimiento"), spec.as_of),
         }
     )
-    return rows.select(
+    base_rows = rows.select(
         "identificacion",
         accounts.guarded("cuenta").alias("cuenta"),
         accounts.guarded("cuenta2").alias("cuenta2"),
+        *[p.pick(rows, [c], required=False).alias(c) for c in fixed.SMS_ACCOUNT_COLUMNS],
+        F.lit(spec.at.strftime("%H")).alias("Hora_Envio"),
+        F.lit(spec.at.strftime("%H:%M")).alias("Hora_Real"),
         "marca",
         "marca2",
         "origen",
@@ -113,6 +123,7 @@ def sms_base(df: DataFrame, spec: CampaignSpec, phones: Sequence[str] = PHONE_CO
         accounts.reference_flag("referencia").alias("FILTRO_REFERENCIA"),
         F.lit(spec.as_of.strftime("%d/%m/%Y")).alias("Fecha_Hoy"),
     )
+    return base_rows.withColumns(message_columns(texts, "origen", base_rows.columns)) if texts else base_rows
 
 
 def email_base(df: DataFrame, spec: CampaignSpec, emails: Sequence[str] = EMAIL_COLUMNS) -> DataFrame:
@@ -155,37 +166,6 @@ def email_base(df: DataFrame, spec: CampaignSpec, emails: Sequence[str] = EMAIL_
     )
 
 
-IVR_LAYOUTS = {
-    "standard": {
-        CONTACT: "TELEFONO 1",
-        "identificacion": "DOCUMENTO",
-        "cuenta": "IDENTI",
-        "Mod_init_cta": "MONTO_INICIAL",
-        "origen": "CRM_ORIGEN",
-        "marca": "MARCA_ASIGNADA",
-        "dias": "DIAS DE MORA",
-        "linea": "Tipo de Linea",
-        "corto": "NOMBRE CORTO",
-        "descuento": "DESCUENTO",
-        "tipo_pago": "tipo_pago",
-        "Tipo Base": "TIPO BASE",
-    },
-    "mailed": {
-        "identificacion": "identificacion",
-        "corto": "nombre",
-        CONTACT: "telefono",
-        "cuenta": "cuenta",
-        "Mod_init_cta": "saldo",
-        "origen": "CRM",
-        "marca": "MARCA",
-        "dias": "DIAS DE MORA",
-        "linea": "Tipo de Linea",
-        "estado_ranking": "RANKING STATUS",
-        "Tipo Base": "TIPO BASE",
-    },
-}
-
-
 def ivr_base(df: DataFrame, spec: CampaignSpec, layout: str = "standard", phones: Sequence[str] = PHONE_COLUMNS) -> DataFrame:
     """Phone contacts for the voice dialer; partial payers are left out."""
     base = chosen_accounts(with_defaults(df), spec, allow_partial=False)
@@ -197,7 +177,7 @@ def ivr_base(df: DataFrame, spec: CampaignSpec, layout: str = "standard", phones
             "linea": contacts.line_type(CONTACT),
         }
     )
-    return p.rename(rows, IVR_LAYOUTS[layout], only_mapped=True)
+    return p.rename(rows, fixed.IVR_LAYOUTS[layout], only_mapped=True)
 
 
 BOT_LAYOUTS = ("full", "short", "personal")

@@ -155,36 +155,6 @@ def agent_time(df: DataFrame, as_of: date) -> DataFrame:
     return p.rename(complete, names).withColumn("Fecha", F.lit(stamp))
 
 
-DASHBOARD_TARGET = (
-    "Identificacion", "Cuenta_Next", "Cuenta", "Fecha_Asignacion", "Edad_Mora", "CRM", "Saldo_Asignado", "Segmento",
-    "Form_Moneda", "Nombre_Completo", "Rango", "Referencia", "Dato_Contacto", "Hora_Envio", "Hora_Real",
-    "Fecha_Envio", "marca2", "DCTO", "DEUDA_REAL", "FLP", "PRODUCTO", "fechapromesa", "TIPO_PAGO", "MEJOR PERFIL",
-    "DIAS DE MORA", "RANKING STATUS", "CANTIDAD SERVICIOS", "NOMBRE CORTO", "TIPO BASE", "SMS", "REQUEST ID",
-)
-DASHBOARD_SOURCES = {
-    "Identificacion": "IDENTIFICACION",
-    "Edad_Mora": "MORA",
-    "Form_Moneda": "VALOR_PAGO",
-    "Nombre_Completo": "NOMBRE_CORREGIDO",
-    "Rango": "RANGO_DEUDA",
-    "Referencia": "REFERENCIA",
-    "Dato_Contacto": "TELEFONOS",
-    "Hora_Real": "HORA_EJECUCION",
-    "Fecha_Envio": "FECHA_EJECUCION",
-    "marca2": "MORA",
-    "DCTO": "DESCUENTO",
-    "FLP": "FLP",
-    "PRODUCTO": "PRODUCTO",
-    "TIPO_PAGO": "TIPO_PAGO",
-    "MEJOR PERFIL": "MEJOR_PERFIL",
-    "DIAS DE MORA": "DIASMORA",
-    "NOMBRE CORTO": "NOMBRE_CORTO",
-    "TIPO BASE": "TIPO_DE_BASE",
-    "SMS": "OUTPUT_DATA",
-    "REQUEST ID": "REQUEST_ID",
-}
-
-
 def dashboard(df: DataFrame, as_of: date) -> DataFrame:
     """Sent messages in the dashboard schema.
 
@@ -207,7 +177,7 @@ def dashboard(df: DataFrame, as_of: date) -> DataFrame:
         "RANKING STATUS": "Dinámico",
         "CANTIDAD SERVICIOS": "0",
     }
-    return p.map_schema(df, DASHBOARD_TARGET, DASHBOARD_SOURCES, literals, derived)
+    return p.map_schema(df, fixed.DASHBOARD_TARGET, fixed.DASHBOARD_SOURCES, literals, derived)
 
 
 def demographics_union(tables: Sequence[DataFrame], order: Sequence[ColumnLike] = ("identificacion",)) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlake.functions import amounts, bands, contacts, dates, names
+from dunlake.functions import fixed_values as fixed
 from dunlake.operators import projection as p
 from dunlake.operators.dedup import dedup
 from dunlake.operators.reshape import explode_list, unpivot_slots
@@ -30,16 +31,20 @@ class PartnerSpec:
     list_cell: str | None = None
     list_separator: str = r"\|"
     kind: str = "both"
+    emails: Sequence[str] = ()
+    email_cell: str | None = None
     profiles: Sequence[str] = ()
     unpaid_column: str | None = None
     kept: Sequence[str] = ()
 
 
-def partner_base(df: DataFrame, spec: PartnerSpec, as_of: date) -> DataFrame:
-    """Contacts of a partner's accounts with band, money text, days since entry and short name.
+def partner_base(df: DataFrame, spec: PartnerSpec, as_of: date, emails: bool = False) -> DataFrame:
+    """Phones or e-mails of a partner's accounts with band, money text, days since entry and short name.
 
     Contacts come from slot columns, from a delimited list cell, or from both.
     """
+    if emails:
+        spec = replace(spec, contacts=spec.emails, list_cell=spec.email_cell, list_separator=r"\|", kind="email")
     base = p.exclude_profiles(df, spec.profiles) if spec.profiles else df
     if spec.unpaid_column is not None:
         base = base.filter(F.col(spec.unpaid_column).isNull())
@@ -76,30 +81,5 @@ def partner_base(df: DataFrame, spec: PartnerSpec, as_of: date) -> DataFrame:
     )
 
 
-# The six partner layouts; column names are those of their files.
-PARTNERS = {
-    "slots_with_dialed": PartnerSpec(
-        "id_usuario", "identificacion", "titular", "por_pagar_total", "fecha_ingreso",
-        (*[f"celular{i}" for i in range(1, 11)], *[f"fijo{i}" for i in range(1, 5)], "numeromarcado", "celular"),
-    ),
-    "slots_mobile": PartnerSpec(
-        "cuenta", "identificacion", "nombrecompleto", "saldo_total", "fecha_ingreso",
-        (*[f"celular{i}" for i in range(1, 11)], *[f"fijo{i}" for i in range(1, 5)]),
-    ),
-    "slots_network": PartnerSpec(
-        "cuenta", "identificacion", "nombrecompleto", "valor_a_pagar", "fecha_ingreso",
-        (*[f"celular{i}" for i in range(1, 11)], *[f"fijo{i}" for i in range(1, 4)]),
-    ),
-    "list_cell_comma": PartnerSpec(
-        "cuenta", "identificacion", "nombrecompleto", "saldo_total", None, (), "telefonos", ",",
-    ),
-    "list_cell_pipe": PartnerSpec(
-        "account", "identifitation", "nombrecompleto", "pago_minimo", "fechagestion", ("telefono",), "telefonos",
-        profiles=("mejorperfil", "ultimoperfil"), unpaid_column="valor_pago",
-    ),
-    "repeated_headers": PartnerSpec(
-        "cuenta", "identificacion", "nombrecompleto", "valor_a_pagar", "fecha_ingreso",
-        ("numeromarcado", "celular", "celular_1", "segundo_celular"),
-        profiles=("mejorperfil", "ultimoperfil", "mejorperfil_mes", "ultimoperfil_mes"),
-    ),
-}
+#: One record a partner; column names are those of their files.
+PARTNERS = {name: PartnerSpec(**columns) for name, columns in fixed.PARTNER_FILES.items()}
