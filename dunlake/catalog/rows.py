@@ -23,7 +23,7 @@ def unpivoted(t):
 
 def valid_contacts(t):
     rows = unpivoted(t).filter(contacts.contact_filter("dato", landline=fixed.REORDER_LANDLINE_RANGE))
-    return d.dedup(rows, ["cuenta", "dato"], ["orden"])
+    return d.dedup(rows.repartition("cuenta"), ["cuenta", "dato"], ["orden"])
 
 
 @query("r1_unpivot_slots", _UNPIVOT)

@@ -37,13 +37,14 @@ class CampaignSpec:
     at: time = time(8, 0)
 
 
-def with_defaults(df: DataFrame) -> DataFrame:
+def with_defaults(df: DataFrame, clean_names: bool = True) -> DataFrame:
     """Cleaned names and defaults of a campaign base, with special brands flagged for retirement."""
+    name = {"nombrecompleto": names.clean_name("nombrecompleto")} if clean_names else {}
     treated = df.withColumns(
         {
             "cuenta": accounts.without_dashes("cuenta"),
             "cuenta2": accounts.without_dashes("cuenta2"),
-            "nombrecompleto": names.clean_name("nombrecompleto"),
+            **name,
             "descuento": amounts.plain_discount("descuento"),
             "marca2": classes.second_brand("ciudad", "marca"),
             "tipo_pago": classes.known_payment("tipo_pago"),
@@ -255,18 +256,19 @@ def reorder_base(
     df: DataFrame, phones: Sequence[str], slots: int = fixed.REORDER_SLOTS, excluded_brand: str = "castigo"
 ) -> DataFrame:
     """Wide contact table per account with counts, ordered by the kind of contact in each slot."""
-    base = with_defaults(df).filter(F.col("marca") != excluded_brand)
+    base = with_defaults(df, clean_names=False).filter(F.col("marca") != excluded_brand)
     keys = ["cuenta", "identificacion"]
     slot_columns = [c for c in phones if c in df.columns]
     rows = unpivot_slots(base.select(*keys, *slot_columns), slot_columns, CONTACT, keep_nulls=False, distinct=True)
+    # An account has few contacts, so one shuffle by account serves the dedup and the slots.
     valid = dedup(
-        rows.filter(contacts.contact_filter(CONTACT, landline=fixed.REORDER_LANDLINE_RANGE)),
+        rows.filter(contacts.contact_filter(CONTACT, landline=fixed.REORDER_LANDLINE_RANGE)).repartition("cuenta"),
         ["cuenta", CONTACT],
         ["identificacion"],
     )
     # Only keys and contacts are multiplied and shuffled; the account fields join back once.
     kept = ["cuenta2", "marca", "marca2", "origen", "Mod_init_cta", "nombrecompleto", "referencia", "descuento", "Tipo Base"]
-    fields = dedup(base.select(*keys, *kept), keys, kept)
+    fields = dedup(base.select(*keys, *kept), keys, kept).withColumn("nombrecompleto", names.clean_name("nombrecompleto"))
     wide = join_null_safe(pivot_slots(valid, keys, [CONTACT], CONTACT, slots, "phone"), fields, keys, "left")
     columns = slot_names("phone", slots)
     counted = wide.withColumns(

@@ -18,7 +18,8 @@ from dunlake.operators.reshape import filled_slots, pivot_slots, slot_names
 
 
 def _slots(rows: DataFrame, n: int, prefix: str) -> DataFrame:
-    single = dedup(rows, ["cuenta", "dato"], ["identificacion"])
+    # An account has few contacts, so one shuffle by account serves the dedup and the slots.
+    single = dedup(rows.repartition("cuenta"), ["cuenta", "dato"], ["identificacion"])
     return pivot_slots(single, ["cuenta", "identificacion"], ["dato"], "dato", n, prefix)
 
 
