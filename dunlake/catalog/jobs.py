@@ -11,8 +11,10 @@ from dunlake.catalog.files import stage_csv
 from dunlake.catalog.registry import query
 from dunlake.catalog.relations import TOUCH_COUNT_SQL, channel_counts
 from dunlake.catalog.scalars import AS_OF
+from dunlake.functions import classes
 from dunlake.functions import fixed_values as fixed
 from dunlake.functions.messages import MessageText
+from dunlake.operators.aggregates import multi_flags
 from dunlake.plans import assignment, campaign, contactcenter, monthly, partners, payments, vendors
 from dunlake.session import new_path
 from dunlake.sources.text import text_schema
@@ -434,13 +436,23 @@ _MORA = f"date_diff('day', {q.slash_date('fecha_vencimiento')}, {q.slash_date('f
     f"""
     WITH g AS ({MIX_SQL}), demo AS (SELECT cuenta2, CASE WHEN {q.mobile('celular1')} THEN 1 ELSE 0 END AS m, CASE WHEN TRY_CAST(fijo1 AS BIGINT)
       BETWEEN 6000000009 AND 6599999999 THEN 1 ELSE 0 END AS x, CASE WHEN contains(coalesce(email1, ''), '@') THEN 1 ELSE 0 END AS c FROM base),
+    toques AS (SELECT cuenta, CAST(count(*) FILTER (canal = 'click') AS BIGINT) AS sms, CAST(count(*) FILTER (canal = 'view') AS BIGINT) AS mail,
+      CAST(count(*) FILTER (canal = 'signup') AS BIGINT) AS bot, CAST(count(*) FILTER (canal = 'error') AS BIGINT) AS ivr FROM contactos GROUP BY 1),
+    multi AS (SELECT identificacion AS doc, count(*) > 1 AS varias, count(DISTINCT origen) > 1 AS origenes, count(DISTINCT marca) > 1 AS marcas FROM base GROUP BY 1),
     reporte AS (SELECT o_orderkey AS k, CAST(count(*) FILTER (l_returnflag = 'A') AS BIGINT) AS pagos FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
-    w AS (SELECT b.*, m, x, c, pagos, contacto_directo, contacto_indirecto, no_contacto, mezcla, orden % 40 AS asignada, orden % 33 AS retirada, {_MORA} AS mora,
+    w AS (SELECT b.*, m, x, c, pagos, toques.* EXCLUDE (cuenta), varias, origenes, marcas, contacto_directo, contacto_indirecto, no_contacto, mezcla, orden % 40 AS asignada, orden % 33 AS retirada, {_MORA} AS mora,
       CASE WHEN ciudad IS NULL OR trim(ciudad) = '' THEN 'VACIO' WHEN contains(ciudad, 'BOGOTA') THEN 'CUNDINAMARCA' WHEN contains(upper(split_part(ciudad, '/', 1)), 'CALI')
       THEN 'VALLE DEL CAUCA' WHEN contains(ciudad, 'QUILICHAO') THEN 'CAUCA' WHEN contains(ciudad, 'MEDELLIN') THEN 'ANTIOQUIA' WHEN ciudad = 'CALDAS' THEN 'CALDAS'
       WHEN ciudad = 'HUILA/NEIVA' THEN 'HUILA' ELSE 'NO IDENTIFICADO' END AS depto
-      FROM base b LEFT JOIN demo d ON d.cuenta2 = b.cuenta2 LEFT JOIN reporte ON k = b.orden LEFT JOIN g ON g.cuenta || '-' = b.cuenta2)
-    SELECT cuenta2 AS "BG_cuenta_next", identificacion AS "BG_documento", marca AS "BG_marca", origen AS "BG_crm", Mod_init_cta AS "BG_saldo",
+      FROM base b LEFT JOIN demo d ON d.cuenta2 = b.cuenta2 LEFT JOIN reporte ON k = b.orden LEFT JOIN g ON g.cuenta || '-' = b.cuenta2
+      LEFT JOIN toques ON toques.cuenta || '-' = b.cuenta2 JOIN multi ON doc = b.identificacion)
+    SELECT CASE WHEN varias THEN 'Aplica' ELSE 'No aplica' END AS "DS_VAR_multicuenta", CASE WHEN origenes THEN 'Aplica' ELSE 'No aplica' END AS "DS_VAR_multiproducto",
+      CASE WHEN marcas THEN 'Aplica' ELSE 'No aplica' END AS "DS_VAR_multimora", {q.document_type('documento')} AS "DS_VAR_tipo_de_documento", customer_type_id AS "DS_VAR_customer_type",
+      m AS "DS_VAR_cantidad_moviles", x AS "DS_VAR_cantidad_fijos", c AS "DS_VAR_cantidad_emails", asignada AS "DS_VAR_dias_asignada", retirada AS "DS_VAR_dias_retirada",
+      CASE WHEN origen = 'RR' THEN 'APLICA' END AS "AD_exclusion_cuenta", estado_ranking AS "AD_estado_ranking", cant_servicios AS "AD_servicios_ranking",
+      pagos AS "AD_recuento_pagos", orden % 10 AS "AD_recuento_no_gestion", sms AS "AD_toques_por_sms", mail AS "AD_toques_por_email", bot AS "AD_toques_por_bot",
+      ivr AS "AD_toques_por_ivr", celular1 AS "FLT_phone1", celular2 AS "FLT_phone2", fijo1 AS "FLT_phone3", email1 AS "FLT_email1", email2 AS "FLT_email2",
+      cuenta2 AS "BG_cuenta_next", identificacion AS "BG_documento", marca AS "BG_marca", origen AS "BG_crm", Mod_init_cta AS "BG_saldo",
       fecha_asignacion AS "BG_fecha_ingreso", fecha_vencimiento AS "BG_fecha_vencimiento", {q.debt_band('Mod_init_cta')} AS "DS_VAR_rango_deuda", depto AS "DS_VAR_departamento",
       {q.day_band('asignada')} AS "DS_VAR_rango_de_dias_asignada", {q.day_band('retirada')} AS "DS_VAR_rango_de_dias_retirada",
       {q.day_band('mora', (fixed.NOT_YET_DUE_BAND, *fixed.DAY_BANDS, fixed.LONG_OVERDUE_BAND), "CASE WHEN mora IS NULL THEN 'Nulo' ELSE 'Fuera de rango' END")} AS "DS_VAR_rango_de_dias_mora",
@@ -468,7 +480,20 @@ def wide(t):
         F.when(mobile, 1).otherwise(0).alias("NumMovil"),
         F.when(fixed_line, 1).otherwise(0).alias("NumFijo"),
         F.when(F.contains("email1", F.lit("@")), 1).otherwise(0).alias("NumEmail"),
+        F.col("celular1").alias("phone1"), F.col("celular2").alias("phone2"), F.col("fijo1").alias("phone3"), "email1", "email2",
     )
+    channels = {"SMS": "click", "EMAIL": "view", "BOT": "signup", "IVR": "error"}
+    touches = t.contactos.groupBy(F.col("cuenta").alias("CUENTA NEXT")).agg(
+        *[F.count_if(F.col("canal") == channel).alias(f"Toques por {name}") for name, channel in channels.items()]
+    )
+    number = F.col("orden").cast("string").alias("CUENTA NEXT")
+    flags = multi_flags(t.base.select("orden", "identificacion", "origen", "marca", "documento", "customer_type_id"), "identificacion", "origen", "marca")
+    assigned = flags.select(
+        number, "MULTICUENTA", "MULTIPRODUCTO", "MULTIMORA", classes.document_type("documento").alias("TIPO DE DOCUMENTO"), F.col("customer_type_id").alias("CUSTOMER TYPE")
+    )
+    queues = t.base.select(number, F.col("fecha_iso").alias("FECHA PAGO DE COLA"))
+    ranked = t.base.select(number, F.col("estado_ranking").alias("ESTADO RANKING"), F.col("cant_servicios").alias("SERVICIOS RANKING"))
+    excluded = t.base.filter(F.col("origen") == "RR").select(number, F.lit("APLICA").alias("EXCLUSION CUENTA"))
     paid = t.lineitem.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("RECUENTO PAGOS"))
     paid = paid.select(F.concat(F.col("l_orderkey"), F.lit(".0")).alias("CUENTA NEXT"), "RECUENTO PAGOS")
     unmanaged = t.base.select(
@@ -479,6 +504,11 @@ def wide(t):
     rules = t.spark.sql(_WIDE_RULES)
     satellites = {
         "contactos": (contacts, ["NumMovil", "NumFijo", "NumEmail"]),
+        "toques": (touches, ["Toques por SMS"]),
+        "asignacion": (assigned, ["MULTICUENTA"]),
+        "colas": (queues, ["FECHA PAGO DE COLA"]),
+        "ranking": (ranked, ["ESTADO RANKING"]),
+        "cuentas_excluidas": (excluded, ["EXCLUSION CUENTA"]),
         "pagos": (paid, ["RECUENTO PAGOS"]),
         "no_gestion": (unmanaged, ["RECUENTO NO GESTION"]),
     }

@@ -551,3 +551,24 @@ PARTNER_FILES = {
         "emails": PARTNER_EMAILS, "profiles": ("mejorperfil", "ultimoperfil", "mejorperfil_mes", "ultimoperfil_mes"),
     },
 }
+
+
+# Columns of the wide monthly dataset by the prefix of their group.
+WIDE_GROUPS = {
+    "BG_": ("CUENTA NEXT", "DOCUMENTO", "MARCA", "CRM", "SALDO", "FECHA INGRESO", "FECHA VENCIMIENTO"),
+    "DS_VAR_": (
+        "MULTIPRODUCTO", "MULTIMORA", "MULTICUENTA", "RANGO DEUDA", "RANGO CON DESCUENTO", "TIPO DE DOCUMENTO",
+        "DEPARTAMENTO", "RANGO DE DIAS ASIGNADA", "RANGO DE DIAS RETIRADA", "RANGO DE DIAS MORA",
+        "FILTRO REPORTE GESTION", "FILTRO REFERENCIA", "FILTRO DEMOGRAFICOS", "CANTIDAD DEMOGRAFICOS",
+        "CANTIDAD MOVILES", "CANTIDAD FIJOS", "CANTIDAD EMAILS", "contacto directo", "contacto indirecto",
+        "no contacto", "CUSTOMER TYPE", "DIAS ASIGNADA", "DIAS RETIRADA", "DIAS MORA",
+    ),
+    "AD_": (
+        "ESTADO CUENTA", "FILTRO DESCUENTO", "FILTRO PAGOS SIN APLICAR", "FILTRO NO GESTION", "EXCLUSION CUENTA",
+        "EXCLUSION DOCUMENTO", "ESTADO RANKING", "SERVICIOS RANKING", "RECUENTO PAGOS", "RECUENTO NO GESTION",
+        "Toques por SMS", "Toques por EMAIL", "Toques por BOT", "Toques por IVR",
+    ),
+    "FLT_": (
+        *[f"Dia_{i}" for i in range(1, 32)], *[f"phone{i}" for i in range(1, 21)], *[f"email{i}" for i in range(1, 6)],
+    ),
+}

@@ -78,18 +78,6 @@ def monthly_touches(channels: Mapping[str, DataFrame], month: str, year: str) ->
     return p.with_constants(touch_matrix(channels), {"MES DE ASIGNACION": month, "PERIODO DE ASIGNACION": year})
 
 
-PREFIX_GROUPS = {
-    "BG_": ("CUENTA NEXT", "DOCUMENTO", "MARCA", "CRM", "SALDO", "FECHA INGRESO", "FECHA VENCIMIENTO"),
-    "DS_VAR_": (
-        "RANGO DEUDA", "DEPARTAMENTO", "RANGO DE DIAS ASIGNADA", "RANGO DE DIAS RETIRADA", "RANGO DE DIAS MORA",
-        "FILTRO REPORTE GESTION", "FILTRO DEMOGRAFICOS", "CANTIDAD DEMOGRAFICOS", "DIAS MORA",
-        "contacto directo", "contacto indirecto", "no contacto",
-    ),
-    "AD_": ("FILTRO DESCUENTO", "FILTRO PAGOS SIN APLICAR", "FILTRO NO GESTION", "EXCLUSION CUENTA",
-            "EXCLUSION DOCUMENTO", "ESTADO RANKING", "TOQUES"),
-}
-
-
 def wide_dataset(
     base: DataFrame,
     satellites: Mapping[str, tuple[DataFrame, Sequence[str]]],
@@ -101,7 +89,9 @@ def wide_dataset(
     """One wide row per account.
 
     ``satellites`` are tables keyed by 'CUENTA NEXT' with the order that picks a
-    survivor; ``report`` has 'CUENTA NEXT' and perfil. All joins but the last use
+    survivor: contacts, touches, assignment data, queues, ranking, excluded accounts,
+    unapplied payments, unmanaged days. Their columns reach the result if they are
+    named in ``WIDE_GROUPS``. ``report`` has 'CUENTA NEXT' and perfil. All joins but the last use
     the account, so the base is shuffled for them once.
     """
     # The places are mapped first: their distinct values come from the base alone.
@@ -137,9 +127,12 @@ def wide_dataset(
             "DIAS MORA": dates.days_between("FECHA INGRESO", "FECHA VENCIMIENTO"),
             "FILTRO DEMOGRAFICOS": classes.contact_profile("NumMovil", "NumFijo", "NumEmail"),
             "CANTIDAD DEMOGRAFICOS": F.col("NumMovil") + F.col("NumFijo") + F.col("NumEmail"),
+            "CANTIDAD MOVILES": F.col("NumMovil"),
+            "CANTIDAD FIJOS": F.col("NumFijo"),
+            "CANTIDAD EMAILS": F.col("NumEmail"),
             "FILTRO DESCUENTO": amounts.discount_flag("PORCENTAJE"),
             "FILTRO PAGOS SIN APLICAR": amounts.counted_flag("RECUENTO PAGOS"),
             "FILTRO NO GESTION": amounts.counted_flag("RECUENTO NO GESTION"),
         }
     ).withColumn("RANGO DE DIAS MORA", bands.overdue_band("DIAS MORA"))
-    return p.prefix_groups(p.without_text(built, "FECHA INGRESO", "Manual"), PREFIX_GROUPS)
+    return p.prefix_groups(p.without_text(built, "FECHA INGRESO", "Manual"), fixed.WIDE_GROUPS)
