@@ -1,4 +1,4 @@
-"""Session defaults, the shared work folder and the size check for broadcasts."""
+"""Session defaults and the shared work folder."""
 
 from __future__ import annotations
 
