@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dunlake.llm.common import ship_package
+
 #: Marks each turn; texts and roles are escaped, so no text can close or open a turn.
 CHAT_TEMPLATE = (
     "{% for message in messages %}<|im_start|>{{ message.role | escape_line }}\n"
@@ -355,6 +357,7 @@ def format_conversations(turns: DataFrame, template: str = CHAT_TEMPLATE) -> Dat
     Rows are dealt by conversation and sorted; the task reads them as a stream and holds one piece, so a conversation
     may be larger than memory.
     """
+    ship_package(turns)
     render = compile_template(template)
     ordered = (
         turns.select(
@@ -426,4 +429,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DIGEST_SCHEMA, strict=True)], schema=DIGEST_SCHEMA)
 
+    ship_package(formatted)
     return formatted.mapInArrow(run, DIGEST_DDL)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,23 +22,57 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_SHIPPED = "_dunlake_package"
+
+
+def ship_package(df: DataFrame) -> None:
+    """Send this package to the executors, once for each Spark context.
+
+    The tasks' functions are pickled by name, and workers need not have the package on their path. Spark's own file server
+    hands the archive out, so nothing is read from a folder of the driver.
+    """
+    context = df.sparkSession.sparkContext
+    if getattr(context, _SHIPPED, False):
+        return
+    setattr(context, _SHIPPED, True)
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(top):
+        return  # imported from an archive, which is on the workers' path already
+    archive = os.path.join(tempfile.mkdtemp(prefix="dunlake-code-"), "dunlake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that a kernel needs, as ``id`` long and ``text`` string; null text is empty."""
+    ship_package(df)
     return df.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
 
 
+#: Spark's setting to delete shuffle files when a query ends, instead of when the driver collects its objects.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, so that lost executors cost no recomputation.
 
-    Spark deletes the shuffle files behind the table once the driver's objects are collected. That is asked for here, as
-    a driver with little garbage would keep them for the whole job.
+    The shuffle files behind the table are of no more use then; Spark is told to delete them, so that a job of many
+    stages needs the disk of one.
     """
-    table_ = store(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return table_
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return store(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

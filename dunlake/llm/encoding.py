@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlake.llm.bpe import byte_table, tokenizer
-from dunlake.llm.common import rows, slices, texts
+from dunlake.llm.common import rows, ship_package, slices, texts
 from dunlake.llm.packing import TOKEN_SLICE_BYTES
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -61,5 +61,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 digests = [hashlib.sha256(ids.tobytes()).hexdigest() for ids in lists]
                 yield rows(_DECODED, [batch.column("doc_id").slice(low, high - low), [len(ids) for ids in lists], digests, said])
 
+    ship_package(encoded)
     filled = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return filled.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunlake.llm.common import Slice, binary, blobs, rows, slices, stored
+from dunlake.llm.common import Slice, binary, blobs, rows, ship_package, slices, stored
 from dunlake.llm.hashing import BYTE_VALUES, IS_SPACE, gram_hashes, prefix_sums, range_hashes
 
 #: Lines in a fingerprint, and fingerprints in a window: any repeated run of GRAM_LINES + WINDOW - 1 lines has one in common.
@@ -20,6 +20,7 @@ WINDOW = 2
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(id, version, text): rows with equal ids are told apart by a hash of their text; null text is empty."""
+    ship_package(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
 

@@ -27,6 +27,8 @@ PERCENT = 75
 #: Bytes of a shingle's number within its bucket. Buckets grow with the partitions, so numbers have 40 bits and more.
 TOKEN_BYTES = 5
 BLOCK_TOKENS = 1 << 21
+#: Shingles of a bucket are sorted in so many shares, one after the other.
+SHARES = 16
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,17 +132,12 @@ def _shared_tokens(parts: int):
             found = lists.pop(bucket)
             ids, versions, counts = (np.concatenate([f[k] for f in found]) for k in range(3))
             tokens = _long(b"".join(f[3] for f in found))
-            owner = np.repeat(np.arange(len(ids)), counts)
-            order = np.argsort(tokens, kind="stable")
-            ordered = tokens[order]
-            edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            sets = np.diff(np.append(edge, len(ordered)))
-            shared = np.repeat(sets, sets)
-            chosen = np.flatnonzero(shared > 1)
-            if not len(chosen):
+            owner = np.repeat(np.arange(len(ids), dtype=np.uint32), counts)
+            del found
+            kept = [_several(tokens, owner, k) for k in range(SHARES)]
+            tokens, owner, shared = (np.concatenate(c) for c in zip(*kept, strict=True))
+            if not len(tokens):
                 continue
-            tokens, owner = ordered[chosen], owner[order][chosen]
-            shared = np.minimum(shared[chosen], 65535).astype(np.uint16)
             part = _parts(ids, parts)[owner]
             by = np.lexsort((owner, part))
             keys, bounds = cut(by, part)
@@ -159,6 +156,20 @@ def _shared_tokens(parts: int):
     return run
 
 
+def _several(tokens: np.ndarray, owner: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one share of the shingle numbers: those of several sets, each with its set and the number of sets."""
+    here = np.flatnonzero(tokens % np.uint64(SHARES) == share)
+    here = here[np.argsort(tokens[here], kind="stable")]
+    ordered = tokens[here]
+    if not len(ordered):
+        return ordered, owner[here], np.zeros(0, np.uint16)
+    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    sets = np.diff(np.append(edge, len(ordered)))
+    shared = np.repeat(sets, sets)
+    chosen = np.flatnonzero(shared > 1)
+    return ordered[chosen], owner[here[chosen]], np.minimum(shared[chosen], 65535).astype(np.uint16)
+
+
 def _meta_rows(ids: np.ndarray, versions: np.ndarray, sizes: np.ndarray, other: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     part = _parts(ids, parts)
     by = np.argsort(part, kind="stable")
@@ -368,7 +379,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    buckets = 16 * n
+    # Few buckets, so that a set has several shingles in each and its id is sent with all of them.
+    buckets = n
     given = texts(docs)
     dealt = given.where("id is not null").mapInArrow(_set_lists(buckets), _SETS_DDL).repartition(n, "bucket")
     common = dealt.mapInArrow(_shared_tokens(4 * n), _SHARED_DDL).repartition(n, "part")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlake.llm.common import binary, blobs, rows, shuffle_partitions, stored
+from dunlake.llm.common import binary, blobs, rows, ship_package, shuffle_partitions, stored
 from dunlake.llm.graph import components
 
 MIN_COSINE = 0.93
@@ -238,6 +238,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     read, so a large cell is work for many tasks; no pair is written, only counts, and a link a vector and block.
     """
     spark = vectors.sparkSession
+    ship_package(vectors)
     given = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")
     )
