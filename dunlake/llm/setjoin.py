@@ -47,6 +47,38 @@ def _long(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as a first one and steps of two bytes where they ascend in small steps, as they mostly do in a scan; else as they are."""
+    steps = np.diff(ids)
+    if len(ids) and len(steps) == np.count_nonzero((steps >= 0) & (steps < 65536)):
+        return b"\1" + binary(ids[:1]) + binary(steps.astype(np.uint16))
+    return b"\0" + binary(ids)
+
+
+def _unpack_ids(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\0":
+        return np.frombuffer(blob[1:], np.int64)
+    first = np.frombuffer(blob[1:9], np.int64)
+    return np.concatenate((first, first + np.cumsum(np.frombuffer(blob[9:], np.uint16).astype(np.int64))))
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    small = len(counts) == 0 or counts.max() < 65536
+    return (b"\1" if small else b"\0") + binary(counts.astype(np.uint16 if small else np.uint32))
+
+
+def _unpack_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[1:], np.uint16 if blob[:1] == b"\1" else np.uint32)
+
+
+def _pack_versions(versions: np.ndarray) -> bytes:
+    return binary(versions.astype(np.uint32))
+
+
+def _unpack_versions(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32).astype(np.int64)
+
+
 def distinct_sets(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles by text, the size of each set, and a hash of each set."""
     order = np.lexsort((values, owner))
@@ -75,7 +107,8 @@ def _set_lists(buckets: int):
             for part in slices(batch):
                 words, first = word_hashes(part, lower=True)
                 values, sizes, marks = distinct_sets(*shingles(words, first, SHINGLE_WORDS), len(part))
-                versions = marks.view(np.int64)
+                # 32 bits tell sets of one id apart
+                versions = (marks & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 # equal sets seen by this task go on as a link to the first one, which stands for them
                 leaders = np.array([first_of.setdefault(m, i) for m, i in zip(marks.tolist(), part.ids.tolist(), strict=True)], np.int64)
                 leaders = np.where(sizes > 0, leaders, part.ids)
@@ -83,7 +116,7 @@ def _set_lists(buckets: int):
                 fresh[np.unique(marks, return_index=True)[1]] = True
                 fresh &= (leaders == part.ids) & (sizes > 0)
                 turn += 1
-                sent = [turn % buckets], [0], [binary(part.ids)], [binary(versions)], [binary(sizes.astype(np.int64))], [binary(leaders)], [b""]
+                sent = [turn % buckets], [0], [_pack_ids(part.ids)], [_pack_versions(versions)], [binary(sizes.astype(np.int64))], [binary(leaders)], [b""]
                 yield rows(_SETS, [pa.array(c, f.type) for c, f in zip(sent, _SETS, strict=True)])
                 owner = np.repeat(np.arange(len(part)), sizes)
                 chosen = fresh[owner]
@@ -98,8 +131,9 @@ def _set_lists(buckets: int):
                     here = owner[a:b]
                     edge = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
                     sets = here[edge]
-                    counts = np.diff(np.append(edge, len(here))).astype(np.uint32)
-                    for column, value in zip(out, (key, 1, binary(part.ids[sets]), binary(versions[sets]), binary(counts), b"", _short(short[a:b])), strict=True):
+                    counts = np.diff(np.append(edge, len(here)))
+                    values = (key, 1, _pack_ids(part.ids[sets]), _pack_versions(versions[sets]), _pack_counts(counts), b"", _short(short[a:b]))
+                    for column, value in zip(out, values, strict=True):
                         column.append(value)
                 if keys.size:
                     yield rows(_SETS, [pa.array(c, f.type) for c, f in zip(out, _SETS, strict=True)])
@@ -123,11 +157,11 @@ def _shared_tokens(parts: int):
         lists: dict[int, list[tuple]] = {}
         for batch in batches:
             for bucket, kind, ids, versions, sizes, other, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, versions = np.frombuffer(ids, np.int64), np.frombuffer(versions, np.int64)
+                ids, versions = _unpack_ids(ids), _unpack_versions(versions)
                 if kind == 0:
                     yield from _meta_rows(ids, versions, np.frombuffer(sizes, np.int64), np.frombuffer(other, np.int64), parts)
                 else:
-                    lists.setdefault(bucket, []).append((ids, versions, np.frombuffer(sizes, np.uint32), tokens))
+                    lists.setdefault(bucket, []).append((ids, versions, _unpack_counts(sizes), tokens))
         for bucket in list(lists):
             found = lists.pop(bucket)
             ids, versions, counts = (np.concatenate([f[k] for f in found]) for k in range(3))
@@ -146,9 +180,9 @@ def _shared_tokens(parts: int):
             for key, a, b in zip(keys.tolist(), bounds[:-1], bounds[1:], strict=True):
                 here = owner[a:b]
                 edge = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
-                counts = np.diff(np.append(edge, len(here))).astype(np.uint32)
+                counts = np.diff(np.append(edge, len(here)))
                 of = here[edge]
-                values = (key, 1, bucket, binary(ids[of]), binary(versions[of]), binary(counts), binary(shared[a:b]), _short(tokens[a:b]))
+                values = (key, 1, bucket, _pack_ids(ids[of]), _pack_versions(versions[of]), _pack_counts(counts), binary(shared[a:b]), _short(tokens[a:b]))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield rows(_SHARED, [pa.array(c, f.type) for c, f in zip(out, _SHARED, strict=True)])
@@ -175,7 +209,8 @@ def _meta_rows(ids: np.ndarray, versions: np.ndarray, sizes: np.ndarray, other:
     by = np.argsort(part, kind="stable")
     keys, bounds = cut(by, part)
     spans = [by[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    columns = [[binary(c[s]) for s in spans] for c in (ids, versions, sizes, other)]
+    packers = ((ids, _pack_ids), (versions, _pack_versions), (sizes, binary), (other, binary))
+    columns = [[pack(c[s]) for s in spans] for c, pack in packers]
     yield rows(_SHARED, [keys, [0] * len(keys), [0] * len(keys), *map(blobs, columns), blobs([b""] * len(keys))])
 
 
@@ -190,11 +225,11 @@ def _assembled(buckets: int):
         meta, found = [], []
         for batch in batches:
             for _, kind, bucket, ids, versions, sizes, other, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, versions = np.frombuffer(ids, np.int64), np.frombuffer(versions, np.int64)
+                ids, versions = _unpack_ids(ids), _unpack_versions(versions)
                 if kind == 0:
                     meta.append((ids, versions, np.frombuffer(sizes, np.int64), np.frombuffer(other, np.int64)))
                 else:
-                    counts = np.frombuffer(sizes, np.uint32)
+                    counts = _unpack_counts(sizes)
                     full = _long(tokens) * np.uint64(buckets) + np.uint64(bucket)
                     found.append((np.repeat(ids, counts), np.repeat(versions, counts), np.frombuffer(other, np.uint16), full))
         if not meta:
