@@ -27,6 +27,9 @@ PERCENT = 75
 #: Bytes of a shingle's number within its bucket. Buckets grow with the partitions, so numbers have 40 bits and more.
 TOKEN_BYTES = 5
 BLOCK_TOKENS = 1 << 21
+#: Open pairs are compared in turns by a hash of the pair: a share of 2^-8 first, then 2^-4, then all. In a large group of near
+#: copies the first pairs join nearly all sets, so that few pairs are open in the later turns.
+TURNS = (8, 4, 0)
 #: Shingles of a bucket are sorted in so many shares, one after the other.
 SHARES = 16
 
@@ -338,13 +341,18 @@ def _least_other(a: np.ndarray, av: np.ndarray, b: np.ndarray, bv: np.ndarray) -
     return a[head], av[head], b[head], bv[head]
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list that are in different components and that no bound rules out."""
+def _open_pairs(low: int, high: int):
+    """Pairs of a list with a hash from ``low`` up to ``high`` that are in different components and that no bound rules out."""
+    return lambda batches: _open_batches(batches, np.uint64(low), np.uint64(high))
+
+
+def _open_batches(batches: Iterator[pa.RecordBatch], low: np.uint64, high: np.uint64) -> Iterator[pa.RecordBatch]:
     limit = 1 - PERCENT / 100 + 1e-9
     for tokens, ids, versions, sizes, rests, labels, leaders, distances in _lists(batches):
         edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         ends = np.append(edge[1:], len(tokens))
         mixed = np.minimum.reduceat(labels, edge) != np.maximum.reduceat(labels, edge) if len(edge) else np.zeros(0, bool)
+        marks = mix(ids.astype(np.uint64) * MULTIPLIERS[7] + versions.astype(np.uint64))
         found, size = [], 0
         for start, end in zip(edge[mixed].tolist(), ends[mixed].tolist(), strict=True):
             n = sizes[start:end].astype(np.int64)
@@ -353,6 +361,8 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(start, end - 1):
                 j = np.arange(i + 1, stop[i - start])
                 j = j[labels[j] != labels[i]]
+                turn = mix(marks[j] + marks[i])
+                j = j[(turn >= low) & (turn <= high)]
                 need = least_overlap(n[j - start], n[i - start])
                 j = j[np.minimum(rests[j], rests[i]) >= need]
                 apart = (leaders[j] == leaders[i]) & (np.abs(distances[j] - distances[i]) > limit)
@@ -409,8 +419,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows without id link with nothing and have a null component. Other columns don't matter.
 
     No group is brought together: equal sets reach a bucket once per task, a shingle's list gives one pair per set, and
-    pairs inside a component are never formed. Open pairs are only those between components that share a listed
-    shingle. Stored are the sets that may link, with their shared shingles.
+    pairs inside a component are never formed. Open pairs are those between components that share a listed shingle; they
+    are compared in turns, and links of one turn close pairs of the next. Stored are the sets that may link, with their shared shingles.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -435,20 +445,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     label = F.coalesce("component_id", "id").alias("label")
     prefix = F.expr(f"substring(tokens, 1, 8 * (length(tokens) div 8 - (n * {PERCENT} + 99) div 100 + 1))")
-    told = (
-        sets.select("id", "version", "n", shared, prefix.alias("tokens"))
-        .join(found, "id", "left").join(checked.select("id", "version", F.col("other_id").alias("leader"), "distance"), ["id", "version"], "left")
-        .select("id", "version", "n", "shared", "tokens", label, F.coalesce("leader", F.lit(-1 << 62)).alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    )
-    lists = told.mapInArrow(_postings(buckets), _POSTINGS_DDL).repartition(n, "bucket")
-    open_ = stored(lists.mapInArrow(_open_pairs, _PAIRS_DDL).distinct(), "open-pairs")
-    more = stored(_check(open_, sets).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")), "open-links")
-    # stars of the first components and the links between them
-    stars = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-    last = components(more.unionByName(stars)) if more.head(1) else found
+    near = checked.select("id", "version", F.col("other_id").alias("leader"), "distance")
+    low = 0
+    for bits in TURNS:
+        high = (1 << 64 - bits) - 1
+        told = (
+            sets.select("id", "version", "n", shared, prefix.alias("tokens"))
+            .join(found, "id", "left").join(near, ["id", "version"], "left")
+            .select("id", "version", "n", "shared", "tokens", label, F.coalesce("leader", F.lit(-1 << 62)).alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+        )
+        lists = told.mapInArrow(_postings(buckets), _POSTINGS_DDL).repartition(n, "bucket")
+        open_ = stored(lists.mapInArrow(_open_pairs(low, high), _PAIRS_DDL).distinct(), "open-pairs")
+        more = stored(_check(open_, sets).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")), "open-links")
+        if more.head(1):
+            # stars of the components so far and the links between them
+            stars = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            found = stored(components(more.unionByName(stars)), "components")
+        low = high + 1
 
     sized = table.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
-    labelled = sized.join(last.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labelled = sized.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = given.where("id is null").mapInArrow(_sizes, "n_shingles long")
     return labelled.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
