@@ -22,7 +22,7 @@ MIN_COSINE = 0.93
 #: Vectors that a cell should have; a label gets that many fewer pivots than vectors, MAX_PIVOTS at most.
 CELL_VECTORS = 2048
 #: Pivots of all labels are in every task, so their number is bounded; larger cells are cut into blocks.
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 1024
 #: Vectors of a cell whose neighbours one task looks for.
 BLOCK_VECTORS = 4096
 #: Slack of the bounds against rounding; the threshold itself has none.
