@@ -115,11 +115,12 @@ def open_payments(t):
 
 @query(
     "p7_due_on",
-    "SELECT fecha_vencimiento, CAST(count(*) AS BIGINT) AS filas FROM base WHERE fecha_vencimiento = '03/10/1998' GROUP BY 1",
+    "SELECT coalesce(fecha_vencimiento = '19/06/1995', false) AS vence, CAST(count(*) AS BIGINT) AS filas FROM base GROUP BY 1",
 )
 def due_on(t):
-    rows = t.base.filter(p.is_due_on("fecha_vencimiento", "03/10/1998")).filter(p.is_due_on("fecha_vencimiento", None))
-    return rows.groupBy("fecha_vencimiento").agg(F.count("*").alias("filas"))
+    due = F.coalesce(p.is_due_on("fecha_vencimiento", "19/06/1995"), F.lit(False))
+    rows = t.base.filter(p.is_due_on("fecha_vencimiento", None))
+    return rows.groupBy(due.alias("vence")).agg(F.count("*").alias("filas"))
 
 
 @query(
