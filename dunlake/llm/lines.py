@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: window minima over hashed line pairs are fingerprints; matches are extended both ways."""
+"""Line dedup by winnowing: window minima over hashed runs of lines are fingerprints; matches are extended both ways."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from dunlake.llm.common import Slice, binary, blobs, rows, ship_package, slices, stored
 from dunlake.llm.hashing import BYTE_VALUES, IS_SPACE, gram_hashes, prefix_sums, range_hashes
 
-#: Lines in a fingerprint, and fingerprints in a window: any repeated run of GRAM_LINES + WINDOW - 1 lines has one in common.
-GRAM_LINES = 2
-WINDOW = 2
+#: Lines in a fingerprint, and fingerprints in a window. A fingerprint is as long as the shortest run that counts, so its first
+#: occurrence is a match by itself, and every repeated run is found whatever else its first lines begin with elsewhere.
+GRAM_LINES = 3
+WINDOW = 1
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -140,7 +141,8 @@ def repeated_runs(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = W
 
     Fingerprints are hashes of ``gram_lines`` consecutive lines that are the smallest of ``window`` neighbours. Each one
     is compared with its first occurrence (smallest id, version and place), the match is extended both ways while lines
-    are equal, and it counts from ``gram_lines + window - 1`` lines on. Rows without id neither give nor lose lines.
+    are equal, and it counts from ``gram_lines + window - 1`` lines on. With a window of one every repeated run is found; a
+    wider one misses runs whose fingerprints occur first in a shorter match. Rows without id neither give nor lose lines.
 
     Only line hashes are shuffled. First occurrences are pre-aggregated; a fingerprint of very many texts is joined with
     one row, which skew handling splits.

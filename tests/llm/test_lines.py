@@ -119,3 +119,34 @@ def test_empty_table_and_columns(spark, rng):
     assert kept.columns == schema.replace(" long", "").replace(" string", "").split(", ")
     rows = {r.doc_id: r for r in kept.collect()}
     assert set(rows) == {1, 3, None} and rows[3].text == "x" and rows[3].n_chars == 1 and rows[None].text is None
+
+
+def repeated_lines(texts, counts):
+    """Places of the lines in runs for which ``counts`` holds and that begin earlier anywhere, by (id, place); texts by id."""
+    seen, gone = set(), set()
+    for doc_id in sorted(texts):
+        lines = wordy(texts[doc_id])
+        for at in range(len(lines)):
+            for size in (1, 2, 3):
+                run = tuple(lines[at : at + size])
+                if len(run) == size and counts(run):
+                    if run in seen:
+                        gone |= {(doc_id, at + k) for k in range(size)}
+                    seen.add(run)
+    return gone
+
+
+def left_lines(texts, gone):
+    return {i: [line for at, line in enumerate(wordy(text)) if (i, at) not in gone] for i, text in texts.items()}
+
+
+def test_run_is_found_when_its_pairs_occur_earlier_elsewhere(spark, rng):
+    # the pairs A B and B C of each case begin earlier in other documents than the run A B C
+    cases = [[["A", "B", "x"], ["y", "B", "C"], ["a", "A", "B", "C", "b"], ["c", "A", "B", "C", "d"]] for _ in range(20)]
+    texts = {4 * k + i: "\n".join(f"{line} {k}" for line in lines) for k, case in enumerate(cases) for i, lines in enumerate(case)}
+    rows = dedup_lines(spark.createDataFrame([(i, text, "x", 1) for i, text in texts.items()], SCHEMA).repartition(4)).collect()
+    assert all(r.n_removed == (3 if r.doc_id % 4 == 3 else 0) for r in rows)
+    texts = {i: text for i, text, *_ in corpus(rng, 300)[:300] if i is not None}
+    rows = dedup_lines(spark.createDataFrame([(i, text, "x", 1) for i, text in texts.items()], SCHEMA).repartition(4)).collect()
+    expected = left_lines(texts, repeated_lines(texts, lambda run: len(run) == 3))
+    assert {r.doc_id: wordy(r.text) for r in rows} == expected
