@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dunlake.llm.common import Slice, binary, blobs, rows, ship_package, slices, stored
-from dunlake.llm.hashing import BYTE_VALUES, IS_SPACE, gram_hashes, prefix_sums, range_hashes
+from dunlake.llm.hashing import BYTE_VALUES, IS_SPACE, gram_hashes, prefix_sums, range_hashes, word_bounds
 
 #: Lines in a fingerprint, and fingerprints in a window. A fingerprint is as long as the shortest run that counts, so its first
 #: occurrence is a match by itself, and every repeated run is found whatever else its first lines begin with elsewhere.
 GRAM_LINES = 3
 WINDOW = 1
+#: A run of fewer lines counts from so many words on.
+LONG_WORDS = 50
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -39,19 +41,27 @@ def line_bounds(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[wordy], ends[wordy], owner[wordy]
 
 
-_LINES = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("lines", pa.binary())])
+_LINES = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("lines", pa.binary()), ("words", pa.binary())])
 
 
-def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = 0
-        for part in slices(batch):
-            starts, ends, owner = line_bounds(part)
-            hashes = range_hashes(prefix_sums(BYTE_VALUES[part.data]), starts, ends)
-            at = np.searchsorted(owner, np.arange(len(part) + 1))
-            versions = batch.column("version").slice(done, len(part))
-            done += len(part)
-            yield rows(_LINES, [part.ids, versions, blobs([binary(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])])
+def _line_hashes(long_words: int):
+    """Hash of each line of a text, and its number of words, cut at ``long_words``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in slices(batch):
+                starts, ends, owner = line_bounds(part)
+                hashes = range_hashes(prefix_sums(BYTE_VALUES[part.data]), starts, ends)
+                first, _, _ = word_bounds(part)
+                words = np.minimum(np.searchsorted(first, ends) - np.searchsorted(first, starts), long_words).astype(np.uint16)
+                at = np.searchsorted(owner, np.arange(len(part) + 1))
+                versions = batch.column("version").slice(done, len(part))
+                done += len(part)
+                packed = (blobs([binary(c[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]) for c in (hashes, words))
+                yield rows(_LINES, [part.ids, versions, *packed])
+
+    return run
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -67,22 +77,43 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(place)
 
 
-_PRINTS = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("at", pa.int32())])
+def fingerprints(lines: np.ndarray, words: np.ndarray, gram_lines: int, window: int, long_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes, places and lines of the fingerprints: runs of ``gram_lines`` lines, and shorter ones of ``long_words`` words or more.
 
-
-def _fingerprints(gram_lines: int, window: int):
+    A run is left out if both runs of one line less inside it are long: where it repeats, so do they, and they cover it.
+    """
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(words.astype(np.int64))))
+    covered = np.zeros(len(lines), bool)
+    for size in range(1, gram_lines + 1):
+        grams = gram_hashes(lines, size)
+        if size < gram_lines:
+            long = total[size:] - total[:-size] >= long_words
+            at = np.flatnonzero(long & ~covered)
+        else:
+            at = winnow(grams, window)
+            at = at[~covered[at]]
+        yield grams[at].view(np.int64), at, size
+        if size < gram_lines:
+            covered = long[:-1] & long[1:]
+
+
+_PRINTS = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("version", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+_PRINTS_DDL = "gram long, id long, version long, at int, size int"
+
+
+def _fingerprints(gram_lines: int, window: int, long_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, counts = [], []
-            for blob in batch.column("lines"):
-                grams = gram_hashes(np.frombuffer(blob.as_buffer(), np.uint64), gram_lines)
-                at = winnow(grams, window)
-                counts.append(len(at))
-                found.append((grams[at].view(np.int64), at))
-            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-            grams = np.concatenate([g for g, _ in found]) if found else np.zeros(0, np.int64)
-            at = np.concatenate([a for _, a in found]) if found else np.zeros(0, np.int64)
-            yield rows(_PRINTS, [grams, batch.column("id").take(owner), batch.column("version").take(owner), at.astype(np.int32)])
+            found = [], [], [], []
+            for i, (lines, words) in enumerate(zip(batch.column("lines"), batch.column("words"), strict=True)):
+                lines, words = np.frombuffer(lines.as_buffer(), np.uint64), np.frombuffer(words.as_buffer(), np.uint16)
+                for grams, at, size in fingerprints(lines, words, gram_lines, window, long_words):
+                    if len(at):
+                        for column, value in zip(found, (grams, at, np.full(len(at), size), np.full(len(at), i)), strict=True):
+                            column.append(value)
+            grams, at, sizes, owner = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
+            owner = pa.array(owner)
+            yield rows(_PRINTS, [grams, batch.column("id").take(owner), batch.column("version").take(owner), at.astype(np.int32), sizes.astype(np.int32)])
 
     return run
 
@@ -124,10 +155,13 @@ def _extended(gram_lines: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [], [], [], []
-            columns = (batch.column(c) for c in ("id", "version", "at", "source_at", "lines", "source_lines"))
-            for id_, version, at, source_at, lines, source in zip(*columns, strict=True):
-                places = list(zip(at.as_py(), source_at.as_py(), strict=True))
-                runs = extend(np.frombuffer(lines.as_buffer(), np.uint64), np.frombuffer(source.as_buffer(), np.uint64), places, gram_lines, least)
+            columns = (batch.column(c) for c in ("id", "version", "at", "source_at", "size", "lines", "source_lines"))
+            for id_, version, at, source_at, sizes, lines, source in zip(*columns, strict=True):
+                lines, source = np.frombuffer(lines.as_buffer(), np.uint64), np.frombuffer(source.as_buffer(), np.uint64)
+                places = {}
+                for size, *place in zip(sizes.as_py(), at.as_py(), source_at.as_py(), strict=True):
+                    places.setdefault(size, []).append(tuple(place))
+                runs = [run for size, of in places.items() for run in extend(lines, source, of, size, least if size == gram_lines else size)]
                 if runs:
                     for column, value in zip(out, (id_.as_py(), version.as_py(), [a for a, _ in runs], [b for _, b in runs]), strict=True):
                         column.append(value)
@@ -136,32 +170,34 @@ def _extended(gram_lines: int, least: int):
     return run
 
 
-def repeated_runs(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
+def repeated_runs(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """Later repeated runs of lines: (id, version, starts, ends), numbered among the lines with a word, one row per text.
 
-    Fingerprints are hashes of ``gram_lines`` consecutive lines that are the smallest of ``window`` neighbours. Each one
-    is compared with its first occurrence (smallest id, version and place), the match is extended both ways while lines
-    are equal, and it counts from ``gram_lines + window - 1`` lines on. With a window of one every repeated run is found; a
+    Fingerprints are hashes of ``gram_lines`` consecutive lines that are the smallest of ``window`` neighbours, and of fewer
+    lines with ``long_words`` words or more. Each one is compared with its first occurrence (smallest id, version and place),
+    and the match is extended both ways while lines are equal. It counts from ``long_words`` words of a fingerprint on, else
+    from ``gram_lines + window - 1`` lines on. With a window of one every repeated run is found; a
     wider one misses runs whose fingerprints occur first in a shorter match. Rows without id neither give nor lose lines.
 
     Only line hashes are shuffled. First occurrences are pre-aggregated; a fingerprint of very many texts is joined with
     one row, which skew handling splits.
     """
-    hashed = keyed_texts(docs.where("doc_id is not null")).mapInArrow(_line_hashes, "id long, version long, lines binary")
+    hashed = keyed_texts(docs.where("doc_id is not null")).mapInArrow(_line_hashes(long_words), "id long, version long, lines binary, words binary")
     lines = stored(hashed.dropDuplicates(["id", "version"]), "line-hashes")
-    prints = stored(lines.mapInArrow(_fingerprints(gram_lines, window), "gram long, id long, version long, at int"), "line-fingerprints")
+    prints = stored(lines.mapInArrow(_fingerprints(gram_lines, window, long_words), _PRINTS_DDL), "line-fingerprints")
     first = F.min(F.struct("id", "version", "at")).alias("source")
     firsts = prints.groupBy("gram").agg(F.count("*").alias("n"), first).where("n > 1").select(
         "gram", F.col("source.id").alias("source_id"), F.col("source.version").alias("source_version"), F.col("source.at").alias("source_at")
     )
     matches = prints.join(firsts, "gram").where("id != source_id or version != source_version or at != source_at")
     pairs = matches.groupBy("id", "version", "source_id", "source_version").agg(
-        F.collect_list(F.struct("at", "source_at")).alias("places")
+        F.collect_list(F.struct("at", "source_at", "size")).alias("places")
     )
+    lines = lines.drop("words")
     source = lines.select(F.col("id").alias("source_id"), F.col("version").alias("source_version"), F.col("lines").alias("source_lines"))
     sided = pairs.join(lines, ["id", "version"]).join(source, ["source_id", "source_version"])
     runs = sided.select(
-        "id", "version", F.col("places.at").alias("at"), F.col("places.source_at").alias("source_at"), "lines", "source_lines"
+        "id", "version", F.col("places.at").alias("at"), F.col("places.source_at").alias("source_at"), F.col("places.size").alias("size"), "lines", "source_lines"
     ).mapInArrow(_extended(gram_lines, gram_lines + window - 1), "id long, version long, starts array<int>, ends array<int>")
     return runs.groupBy("id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
@@ -214,8 +250,8 @@ def _with_clean_text(docs: DataFrame, gram_lines: int, window: int) -> DataFrame
 def dedup_lines(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
     """``docs`` with (doc_id, text) without later repeated runs of lines: (doc_id, text, n_lines, n_removed, n_spans).
 
-    A run is deleted where ``repeated_runs`` finds it: three lines with a word or more, equal to lines that begin earlier
-    (smaller id, or the same text further up). One row per row of ``docs``; rows of equal id and text are one text.
+    A run is deleted where ``repeated_runs`` finds it: three lines with a word or more, or fewer with LONG_WORDS words or
+    more, equal to lines that begin earlier (smaller id, or the same text further up). One row per row of ``docs``; rows of equal id and text are one text.
     Null text stays null and has no lines, rows without id stay as they are; other columns don't matter.
     """
     return _with_clean_text(docs, gram_lines, window).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "n_lines", "n_removed", "n_spans")

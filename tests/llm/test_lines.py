@@ -150,3 +150,26 @@ def test_run_is_found_when_its_pairs_occur_earlier_elsewhere(spark, rng):
     rows = dedup_lines(spark.createDataFrame([(i, text, "x", 1) for i, text in texts.items()], SCHEMA).repartition(4)).collect()
     expected = left_lines(texts, repeated_lines(texts, lambda run: len(run) == 3))
     assert {r.doc_id: wordy(r.text) for r in rows} == expected
+
+
+def test_long_runs_of_one_or_two_lines_go(spark, rng):
+    def words(n, key):
+        return " ".join(f"w{i}{key}" for i in range(n))
+
+    docs = [
+        (1, f"{words(60, 'a')}\n{words(30, 'b')}\n\n{words(20, 'c')}\n{words(49, 'd')}"),
+        (2, words(60, "a")),
+        (3, f"own\n{words(30, 'b')}\n{words(20, 'c')}\nown too"),
+        (4, words(49, "d")),
+        (5, f"{words(60, 'a')}\n{words(30, 'b')}"),
+        (6, f"{words(60, 'a')}\nshort"),
+        (7, f"{words(60, 'a')}\nshort"),
+    ]
+    rows = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA).repartition(4)).collect()}
+    assert [rows[i].n_removed for i in range(1, 8)] == [0, 1, 2, 0, 2, 1, 2]
+    assert rows[2].text == "" and rows[3].text == "own\nown too" and rows[6].text == "short" and rows[7].text == ""
+    pool = [words(n, f"p{n}") for n in (1, 2, 15, 20, 24, 25, 26, 35, 49, 50, 51, 80)]
+    texts = {i: "\n".join(rng.choice(pool) if rng.random() < 0.6 else f"own {rng.random()}" for _ in range(rng.randrange(9))) for i in range(300)}
+    found = dedup_lines(spark.createDataFrame([(i, text, "x", 1) for i, text in texts.items()], SCHEMA).repartition(4)).collect()
+    gone = repeated_lines(texts, lambda run: len(run) == 3 or sum(len(line.split()) for line in run) >= 50)
+    assert {r.doc_id: wordy(r.text) for r in found} == left_lines(texts, gone)
