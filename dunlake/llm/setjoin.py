@@ -341,6 +341,11 @@ def _least_other(a: np.ndarray, av: np.ndarray, b: np.ndarray, bv: np.ndarray) -
     return a[head], av[head], b[head], bv[head]
 
 
+def _marks(ids: np.ndarray, versions: np.ndarray) -> np.ndarray:
+    """Hash of each set's id and version; leaders are told apart by it, as an id may have several sets."""
+    return mix(ids.astype(np.uint64) * MULTIPLIERS[7] + versions.astype(np.uint64))
+
+
 def _open_pairs(low: int, high: int):
     """Pairs of a list with a hash from ``low`` up to ``high`` that are in different components and that no bound rules out."""
     return lambda batches: _open_batches(batches, np.uint64(low), np.uint64(high))
@@ -352,7 +357,8 @@ def _open_batches(batches: Iterator[pa.RecordBatch], low: np.uint64, high: np.ui
         edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         ends = np.append(edge[1:], len(tokens))
         mixed = np.minimum.reduceat(labels, edge) != np.maximum.reduceat(labels, edge) if len(edge) else np.zeros(0, bool)
-        marks = mix(ids.astype(np.uint64) * MULTIPLIERS[7] + versions.astype(np.uint64))
+        marks = _marks(ids, versions)
+        own = marks.view(np.int64)
         found, size = [], 0
         for start, end in zip(edge[mixed].tolist(), ends[mixed].tolist(), strict=True):
             n = sizes[start:end].astype(np.int64)
@@ -366,7 +372,7 @@ def _open_batches(batches: Iterator[pa.RecordBatch], low: np.uint64, high: np.ui
                 need = least_overlap(n[j - start], n[i - start])
                 j = j[np.minimum(rests[j], rests[i]) >= need]
                 apart = (leaders[j] == leaders[i]) & (np.abs(distances[j] - distances[i]) > limit)
-                j = j[~apart & ~((leaders[j] == ids[i]) | (leaders[i] == ids[j]))]
+                j = j[~apart & ~((leaders[j] == own[i]) | (leaders[i] == own[j]))]
                 if len(j):
                     found.append((np.full(len(j), ids[i]), np.full(len(j), versions[i]), ids[j], versions[j]))
                     size += len(j)
@@ -388,8 +394,8 @@ def _distinct_pairs(found: list[tuple]) -> pa.RecordBatch:
     return rows(_PAIRS, [a[head], av[head], b[head], bv[head]])
 
 
-_CHECKED = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("other_id", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
-_CHECKED_DDL = "id long, version long, other_id long, distance double, linked boolean"
+_CHECKED = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("other_id", pa.int64()), ("other_mark", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
+_CHECKED_DDL = "id long, version long, other_id long, other_mark long, distance double, linked boolean"
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,14 +406,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both[i] = np.count_nonzero(x[1:] == x[:-1])
         total = batch.column("n").to_numpy() + batch.column("other_n").to_numpy() - both
         linked = 100 * both >= PERCENT * total
-        yield rows(_CHECKED, [batch.column("id"), batch.column("version"), batch.column("other_id"), 1 - both / total, linked])
+        mark = _marks(batch.column("other_id").to_numpy(), batch.column("other_version").to_numpy()).view(np.int64)
+        yield rows(_CHECKED, [batch.column("id"), batch.column("version"), batch.column("other_id"), mark, 1 - both / total, linked])
 
 
 def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlap of each pair of sets."""
     other = sets.select(F.col("id").alias("other_id"), F.col("version").alias("other_version"), F.col("n").alias("other_n"), F.col("tokens").alias("other_tokens"))
     sided = pairs.join(sets.select("id", "version", "n", "tokens"), ["id", "version"]).join(other, ["other_id", "other_version"])
-    return sided.select("id", "version", "other_id", "n", "other_n", "tokens", "other_tokens").mapInArrow(_compared, _CHECKED_DDL)
+    return sided.select("id", "version", "other_id", "other_version", "n", "other_n", "tokens", "other_tokens").mapInArrow(_compared, _CHECKED_DDL)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -445,7 +452,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     label = F.coalesce("component_id", "id").alias("label")
     prefix = F.expr(f"substring(tokens, 1, 8 * (length(tokens) div 8 - (n * {PERCENT} + 99) div 100 + 1))")
-    near = checked.select("id", "version", F.col("other_id").alias("leader"), "distance")
+    near = checked.select("id", "version", F.col("other_mark").alias("leader"), "distance")
     low = 0
     for bits in TURNS:
         high = (1 << 64 - bits) - 1

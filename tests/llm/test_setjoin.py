@@ -104,3 +104,16 @@ def test_least_overlap_is_exact(n, m):
     least = int(setjoin.least_overlap(n, m))
     assert 100 * least >= 75 * (n + m - least)
     assert 100 * (least - 1) < 75 * (n + m - (least - 1))
+
+
+def test_leader_of_another_text_of_an_id(spark):
+    """The first set of an id is compared as leader and doesn't link; the other one does."""
+    docs = []
+    for case in range(40):
+        words = [f"c{case}w{k}" for k in range(104)]
+        extra = [f"c{case}e{k}" for k in range(24)]
+        rest = [f"c{case}r{k}" for k in range(300)]
+        docs += [(10 * case + 7, " ".join(words[:80] + extra), "x", 1), (10 * case + 7, " ".join(words[10:]), "x", 1)]
+        docs += [(10 * case + 9, " ".join(words), "x", 1), (5000 + case, " ".join(extra + rest), "x", 1)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(6)
+    assert plain(tuple(r) for r in jaccard_components(df).collect()) == plain(brute_force(docs))
