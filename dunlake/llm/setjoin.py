@@ -238,7 +238,8 @@ def _assembled(buckets: int):
         if not meta:
             return
         ids, versions, sizes, same = (np.concatenate(c) for c in zip(*meta, strict=True))
-        order = np.lexsort((versions, ids))
+        # of the rows of a set, one that stands for itself comes first and takes the shingles
+        order = np.lexsort((same, same != ids, versions, ids))
         ids, versions, sizes, same = (c[order] for c in (ids, versions, sizes, same))
         packed: list[bytes | None] = [None] * len(ids)
         if found:

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from dunlake.llm import setjoin
@@ -117,3 +118,14 @@ def test_leader_of_another_text_of_an_id(spark):
         docs += [(10 * case + 9, " ".join(words), "x", 1), (5000 + case, " ".join(extra + rest), "x", 1)]
     df = spark.createDataFrame(docs, SCHEMA).repartition(6)
     assert plain(tuple(r) for r in jaccard_components(df).collect()) == plain(brute_force(docs))
+
+
+def test_shingles_go_to_the_row_that_stands_for_itself():
+    """Set 3 is a copy of 2 in the task whose rows arrive first, and stands for itself in another one."""
+    ids, versions, sizes = np.array([3]), np.array([9]), np.array([4])
+    metas = [batch for other in (2, 3) for batch in setjoin._meta_rows(ids, versions, sizes, np.array([other]), 1)]
+    tokens, counts = np.arange(4, dtype=np.uint64), np.array([4])
+    packed = setjoin._pack_ids(ids), setjoin._pack_versions(versions), setjoin._pack_counts(counts), np.full(4, 2, np.uint16).tobytes(), setjoin._short(tokens)
+    found = setjoin.rows(setjoin._SHARED, [[0], [1], [0], *([c] for c in packed)])
+    rows = [row for batch in setjoin._assembled(1)(iter([*metas, found])) for row in batch.to_pylist()]
+    assert sorted((row["same_as"], row["tokens"] is not None) for row in rows) == [(2, False), (3, True)]
