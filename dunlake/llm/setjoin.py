@@ -478,11 +478,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return labelled.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component, with all columns; one row an id, and all rows without id."""
+def one_per_group(docs: DataFrame, every_text: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id is the smallest of its component, with all columns, and all rows without id.
+
+    One row an id, or with ``every_text`` one row for each different text of an id. An id is one document, as in
+    ``jaccard_components``: it stays or goes with all its texts.
+    """
     others = jaccard_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("dropped")).distinct()
     stays = docs.where("doc_id is not null").join(others, F.col("doc_id").cast("long") == F.col("dropped"), "left_anti")
-    version = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    keys = ["doc_id", F.xxhash64("text")] if every_text else ["doc_id"]
+    version = Window.partitionBy(*keys).orderBy(F.xxhash64("text"))
     stays = stays.select(F.struct(*[stays[c] for c in docs.columns]).alias("row"), F.row_number().over(version).alias("place")).where("place = 1")
     return stays.select("row.*").unionByName(docs.where("doc_id is null"))
 

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from dunlake.llm import setjoin
 from dunlake.llm.setjoin import jaccard_components, one_per_group
 
@@ -129,3 +130,9 @@ def test_shingles_go_to_the_row_that_stands_for_itself():
     found = setjoin.rows(setjoin._SHARED, [[0], [1], [0], *([c] for c in packed)])
     rows = [row for batch in setjoin._assembled(1)(iter([*metas, found])) for row in batch.to_pylist()]
     assert sorted((row["same_as"], row["tokens"] is not None) for row in rows) == [(2, False), (3, True)]
+
+
+def test_stage_keeps_different_texts_of_an_id(spark):
+    docs = [(1, "a b c d e f", "x", 1), (1, "p q r s t u", "x", 1), (1, "a b c d e f", "x", 1), (2, "p q r s t u", "x", 1), (3, None, "x", 1), (3, "v", "x", 1)]
+    kept = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, "a b c d e f"), (1, "p q r s t u"), (3, ""), (3, "v")]
