@@ -234,7 +234,3 @@ def agent_results(reports: Sequence[DataFrame]) -> DataFrame:
         result = part if result is None else result.unionByName(part, allowMissingColumns=True)
     return result
 
-
-def file_counts(df: DataFrame) -> DataFrame:
-    """Rows per file of a scanned folder; files of one name in different folders count apart."""
-    return df.groupBy(F.col("_metadata.file_path").alias("archivo")).agg(F.count("*").alias("filas"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,21 +39,27 @@ def own_campaign(df: DataFrame) -> DataFrame:
     return df.filter(F.col(fixed.CAMPAIGN_CODE_COLUMN) == fixed.OWN_CAMPAIGN_CODE)
 
 
-def read_payments(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Payment files of a folder: obligacion, fecha, valor, tipo_operacion and the file in ``archivo``.
+def read_payments(spark: SparkSession, folder: str, separators: Mapping[str, str | None] = fixed.PAYMENT_SEPARATORS) -> DataFrame:
+    """Payment files below a folder: obligacion, fecha, valor, tipo_operacion and the file in ``archivo``.
 
-    Each layout is read with the separator of its header, without lines of a wrong number of fields, limited to our
-    campaign and renamed.
+    ``separators`` gives each extension's separator; with None each layout's is the first of tab, pipe, semicolon, comma
+    and blank in its header. Lines of a wrong number of fields are left out, layouts with collection houses limited to our
+    campaign, and columns renamed.
     """
 
     def renamed(table: DataFrame) -> DataFrame:
         names = fixed.PAYMENT_ALIASES | {"tipo_operacion": ("tipo_operacion",), "archivo": ("archivo",)}
         return p.resolve_aliases(own_campaign(table), names, optional=("tipo_operacion",))
 
-    rows = read_text_files(spark, folder, pattern, recursive=True, origin="archivo", each=renamed, malformed="DROPMALFORMED")
-    if rows is None:
-        raise FileNotFoundError(f"no payment file {pattern} in {folder}")
-    return rows
+    common = {"recursive": True, "origin": "archivo", "each": renamed, "order": "payments", "malformed": "DROPMALFORMED"}
+    read = [
+        read_text_files(spark, folder, f"*.{extension}", sep, ignoreLeadingWhiteSpace=str(extension == "csv").lower(), **common)
+        for extension, sep in separators.items()
+    ]
+    parts = [part for part in read if part is not None]
+    if not parts:
+        raise FileNotFoundError(f"no payment file below {folder}")
+    return union_all(parts)
 
 
 def payment_load(payments: DataFrame, as_of: date) -> DataFrame:

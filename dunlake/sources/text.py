@@ -14,8 +14,8 @@ from dunlake.operators.projection import unique_names
 ASSIGNMENT_COLUMNS = tuple(f"{i}_" for i in range(1, 63))
 # Windows-1252 is latin-1 with printable signs in place of these control characters;
 # Spark reads latin-1, the signs are put in afterwards.
-_UNUSED_CONTROLS = "\x81\x8d\x8f\x90\x9d"
-_LATIN_CONTROLS = "".join(c for c in map(chr, range(0x80, 0xA0)) if c not in _UNUSED_CONTROLS)
+UNUSED_CONTROLS = "\x81\x8d\x8f\x90\x9d"
+_LATIN_CONTROLS = "".join(c for c in map(chr, range(0x80, 0xA0)) if c not in UNUSED_CONTROLS)
 _WINDOWS_SIGNS = _LATIN_CONTROLS.encode("latin-1").decode("windows-1252")
 SEPARATOR_ORDERS = {
     "union": (",", ";", "\t"),
@@ -40,8 +40,11 @@ def read_text_table(
 
     ``malformed="DROPMALFORMED"`` drops ragged lines, the default pads or cuts them.
     Give ``schema`` (all columns present, in file order) to skip reading the header.
+    A UTF-16 file is one task's work, as its lines can't be told apart by single bytes.
     """
     windows = encoding.lower() in ("windows-1252", "cp1252")
+    if encoding.upper().startswith("UTF-16"):
+        options = {"multiLine": "true", **options}
     reader = spark.read.options(
         header=True, sep=sep, encoding="ISO-8859-1" if windows else encoding, mode=malformed, **options
     )
@@ -76,17 +79,6 @@ def sniff_separator(spark: SparkSession, path: str, order: str | Sequence[str] =
     return candidates[-1]
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid, else Windows-1252, else latin-1, which fits any bytes."""
-    lines = spark.read.text(path)
-    if lines.filter(~F.is_valid_utf8("value")).isEmpty():
-        return "UTF-8"
-    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    if lines.filter(latin.rlike(f"[{_UNUSED_CONTROLS}]")).isEmpty():
-        return "windows-1252"
-    return "ISO-8859-1"
-
-
 def read_positional(spark: SparkSession, path: str, drop: Sequence[int] = (), sep: str = ";") -> DataFrame:
     """Scan by position: repeated header names get a suffix, columns in ``drop`` are left out.
 
