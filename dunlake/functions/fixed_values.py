@@ -302,6 +302,11 @@ RANKING_ALIASES = {
     "estado": ("gestion", "recuperada"),
 }
 ADJUSTMENT = "AJUSTE"
+# Separators of payment files by extension, the first that occurs in the header line counts.
+PAYMENT_SEPARATORS = {
+    "csv": (";", "\t", "|", ",", " "),
+    "txt": ("\t", "|", ";", ",", " "),
+}
 SMALLEST_PAYMENT = 0.01
 ROWS_PER_PAYMENT_FILE = 1_040_000
 

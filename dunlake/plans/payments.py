@@ -39,22 +39,21 @@ def own_campaign(df: DataFrame) -> DataFrame:
     return df.filter(F.col(fixed.CAMPAIGN_CODE_COLUMN) == fixed.OWN_CAMPAIGN_CODE)
 
 
-def read_payments(spark: SparkSession, folder: str, separators: Mapping[str, str | None] = fixed.PAYMENT_SEPARATORS) -> DataFrame:
+def read_payments(spark: SparkSession, folder: str, separators: Mapping[str, Sequence[str]] = fixed.PAYMENT_SEPARATORS) -> DataFrame:
     """Payment files below a folder: obligacion, fecha, valor, tipo_operacion and the file in ``archivo``.
 
-    ``separators`` gives each extension's separator; with None each layout's is the first of tab, pipe, semicolon, comma
-    and blank in its header. Lines of a wrong number of fields are left out, layouts with collection houses limited to our
-    campaign, and columns renamed.
+    ``separators`` gives each extension's separators; a layout's is the first of them that occurs in its header. Lines of a
+    wrong number of fields are left out, layouts with collection houses limited to our campaign, and columns renamed.
     """
 
     def renamed(table: DataFrame) -> DataFrame:
         names = fixed.PAYMENT_ALIASES | {"tipo_operacion": ("tipo_operacion",), "archivo": ("archivo",)}
         return p.resolve_aliases(own_campaign(table), names, optional=("tipo_operacion",))
 
-    common = {"recursive": True, "origin": "archivo", "each": renamed, "order": "payments", "malformed": "DROPMALFORMED"}
+    common = {"recursive": True, "origin": "archivo", "each": renamed, "malformed": "DROPMALFORMED"}
     read = [
-        read_text_files(spark, folder, f"*.{extension}", sep, ignoreLeadingWhiteSpace=str(extension == "csv").lower(), **common)
-        for extension, sep in separators.items()
+        read_text_files(spark, folder, f"*.{extension}", order=order, ignoreLeadingWhiteSpace=str(extension == "csv").lower(), **common)
+        for extension, order in separators.items()
     ]
     parts = [part for part in read if part is not None]
     if not parts:

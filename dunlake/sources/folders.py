@@ -125,8 +125,8 @@ def read_parquet_files(spark: SparkSession, folder: str, states: DataFrame) -> D
     return union_all(parts) if parts else None
 
 
-def read_folder_any(spark: SparkSession, folder: str, sep: str = ";", encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """CSV and Parquet files of a folder as text, united by name, and the files that were skipped as (archivo, estado).
+def read_folder_any(spark: SparkSession, folder: str, sep: str = ";", encoding: str | None = None) -> DataFrame:
+    """CSV and Parquet files of a folder as text, united by name; ``skipped_files`` tells which are left out.
 
     Each file is in or out as a whole, judged by its beginning or its footer: text files without a line or with binary
     content, files that can't be opened and Parquet files with a broken footer are skipped.
@@ -137,8 +137,13 @@ def read_folder_any(spark: SparkSession, folder: str, sep: str = ";", encoding:
     parts = [part for part in found if part is not None]
     if not parts:
         raise FileNotFoundError(f"no readable CSV or Parquet file in {folder}")
-    skipped = texts.unionByName(parquets).where(F.col("estado") != READABLE).select("archivo", "estado")
-    return union_all(parts), skipped
+    return union_all(parts)
+
+
+def skipped_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(archivo, estado) of the CSV and Parquet files that ``read_folder_any`` leaves out."""
+    states = file_states(spark, folder, "*.csv").unionByName(file_states(spark, folder, "*.parquet"))
+    return states.where(F.col("estado") != READABLE).select("archivo", "estado")
 
 
 def read_tree(

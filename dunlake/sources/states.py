@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunlake.sources.text import UNUSED_CONTROLS
-
 HEAD_BYTES = 1 << 16
 READABLE, EMPTY, BINARY, BROKEN = "legible", "vacio", "binario", "ilegible"
 #: Encodings are tried in this order; latin-1 fits any bytes.
 ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+#: Control characters of latin-1 that Windows-1252 has no sign for.
+UNUSED_CONTROLS = "\x81\x8d\x8f\x90\x9d"
 
 
 def plain_path(uri: Column) -> Column:
@@ -47,15 +47,17 @@ def listing(spark: SparkSession, folder: str, pattern: str, recursive: bool = Fa
     return found.load(folder).select(F.col("path").alias("ruta"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modificado"))
 
 
-def opens_in_tasks(folder: str) -> bool:
-    """Whether Python can open files there by itself; other stores are left to Spark's readers."""
+def opens_in_tasks(files: DataFrame) -> bool:
+    """Whether Python can open the listed files by itself, as the first of them tells; other stores are left to Spark's readers."""
     from pyarrow import fs
 
-    if "://" not in folder and not folder.startswith("file:"):
+    first = files.select("ruta").head()
+    if first is None or first[0].startswith("file:"):
         return True
+    authority, inner = re.fullmatch(r"(\w+://[^/]*)?(.*)", first[0], re.DOTALL).groups()
     try:
-        system, path = fs.FileSystem.from_uri(folder)
-        return system.get_file_info(path).type != fs.FileType.NotFound
+        system, root = fs.FileSystem.from_uri(f"{authority}/" if authority else "file:///")
+        return system.get_file_info(root.rstrip("/") + inner).type != fs.FileType.NotFound
     except (OSError, pa.ArrowException):
         return False
 
@@ -115,7 +117,11 @@ def _head_reader(head_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     return ",".join(schema.names), None, json.dumps([[f.name, str(f.type)] for f in schema]), readable
                 with system.open_input_stream(inner, compression=None) as file:
                     return text_state(file.read(head_bytes))
-            except (OSError, arrow.ArrowException):
+            except (PermissionError, FileNotFoundError, arrow.ArrowException):
+                return None, None, None, broken
+            except OSError as error:  # a store that fails for now has a code: the task is tried again, the file not skipped
+                if error.errno is not None:
+                    raise
                 return None, None, None, broken
 
         for batch in batches:
@@ -131,13 +137,13 @@ def file_states(spark: SparkSession, folder: str, pattern: str = "*.csv", recurs
 
     ``encabezado`` is the first line that is not blank (of Parquet files the column names, joined by commas),
     ``codificacion`` what the first HEAD_BYTES bytes are in, ``columnas`` the types of a Parquet file. ``estado`` is
-    "vacio" without any line, "binario" with zero bytes that no mark of UTF-16 explains, "ilegible" when the file can't
+    "vacio" without any line (a file of no byte has no row here), "binario" with zero bytes that no mark of UTF-16 explains, "ilegible" when the file can't
     be opened or a Parquet footer is broken, and else "legible".
 
     Where only Spark's readers reach the files, headers of text files come from a scan, and all files count as readable.
     """
     files = listing(spark, folder, pattern, recursive)
-    if opens_in_tasks(folder):
+    if opens_in_tasks(files):
         states = files.mapInArrow(_head_reader(HEAD_BYTES), _DDL)
     else:
         states = _scanned_states(spark, folder, pattern, recursive, files)

@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 from dunlake.functions import fixed_values as fixed
 from dunlake.operators.projection import unique_names
+from dunlake.sources.states import UNUSED_CONTROLS, detect_encoding  # noqa: F401
 
 ASSIGNMENT_COLUMNS = tuple(f"{i}_" for i in range(1, 63))
 # Windows-1252 is latin-1 with printable signs in place of these control characters;
 # Spark reads latin-1, the signs are put in afterwards.
-UNUSED_CONTROLS = "\x81\x8d\x8f\x90\x9d"
 _LATIN_CONTROLS = "".join(c for c in map(chr, range(0x80, 0xA0)) if c not in UNUSED_CONTROLS)
 _WINDOWS_SIGNS = _LATIN_CONTROLS.encode("latin-1").decode("windows-1252")
 SEPARATOR_ORDERS = {
