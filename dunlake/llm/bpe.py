@@ -84,6 +84,49 @@ class IntMap:
         return found
 
 
+class WordTable:
+    """Slots of word hashes, none of which is 0, by open addressing in arrays with at most two cells in five in use."""
+
+    def __init__(self, words: int):
+        bits = int(np.ceil(np.log2(2.5 * words + 1)))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hashes, self.slots = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.count = 0
+
+    def _cells(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        return (hashes + np.uint64(k) & self.mask).astype(np.int64)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it is not known."""
+        cells = self._cells(hashes, 0)
+        here = self.hashes[cells]
+        found = np.where(here == hashes, self.slots[cells], -1).astype(np.int64)
+        open_ = np.flatnonzero((here != hashes) & (here != 0))
+        k = 1
+        while len(open_):
+            wanted = hashes[open_]
+            cells = self._cells(wanted, k)
+            here = self.hashes[cells]
+            hit = here == wanted
+            found[open_[hit]] = self.slots[cells[hit]]
+            open_ = open_[~hit & (here != 0)]
+            k += 1
+        return found
+
+    def put(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        """Add different hashes that are not known yet."""
+        self.count += len(hashes)
+        k = 0
+        while len(hashes):
+            cells = self._cells(hashes, k)
+            free = self.hashes[cells] == 0
+            self.hashes[cells[free]] = hashes[free]  # of two hashes with one cell one stays, the other goes on
+            won = self.hashes[cells] == hashes
+            self.slots[cells[won]] = slots[won]
+            hashes, slots = hashes[~won], slots[~won]
+            k += 1
+
+
 class Tokenizer:
     """Encoder and decoder made from a tokenizer file; one is kept by each worker."""
 
@@ -118,11 +161,13 @@ class Tokenizer:
         self.longest = max(map(len, self.proposals))
         self._plant()
         self.classes = _point_classes()
+        self.point_values = mix(np.arange(EDGE_POINT + 1, dtype=np.uint64) + MULTIPLIERS[2])
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, words: int = 0) -> None:
+        """Forget all words, and make room for the cache's, or for so many if one slice has more."""
         self.pair_fits: dict[int, bool] = {}
-        self.number: dict[int, int] = {}
+        self.known = WordTable(max(CACHE_WORDS, words))
         self.lengths = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.flat = np.zeros(8192, np.uint32)
@@ -363,38 +408,34 @@ class Tokenizer:
 
     def _encode_plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"\0".join(texts) + b"\0"
-        points = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
-        # code points before each text, by counting the bytes that start one
         raw = np.frombuffer(joined, np.uint8)
+        points = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), np.uint32).copy()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends_at = np.cumsum(sizes + 1) - 1
-        leading = np.flatnonzero((raw & 0xC0) != 0x80)
-        edges = np.searchsorted(leading, ends_at)
+        edges = np.cumsum(sizes + 1) - 1
+        # the bytes that start a code point; where all do, a place among code points is one among bytes
+        leading = None if len(points) == len(raw) else np.flatnonzero((raw & 0xC0) != 0x80)
+        if leading is not None:
+            edges = np.searchsorted(leading, edges)
         points[edges] = EDGE_POINT
         starts = np.flatnonzero(self._word_starts(points))
         lengths = np.diff(np.append(starts, len(points)))
-        idx = np.arange(len(points)) - np.repeat(starts, lengths)
-        steps = mix((np.arange(int(lengths.max()) if len(lengths) else 0, dtype=np.uint64) + np.uint64(1)) * MULTIPLIERS[1]) | np.uint64(1)
-        values = mix(points.astype(np.uint64) + MULTIPLIERS[2]) * steps[idx]
-        hashes = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
-        hashes = mix(hashes + lengths.astype(np.uint64) * MULTIPLIERS[3])
         is_edge = points[starts] == EDGE_POINT
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.number) + len(unique) > CACHE_WORDS:
-            self.reset()
-        number = self.number
-        slots = np.fromiter((number.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            where = starts[first[new]]
-            byte_from = leading[where]
-            stop = where + lengths[first[new]]
-            byte_to = np.append(leading, len(raw))[stop]
-            words = [joined[a:b] for a, b in zip(byte_from.tolist(), byte_to.tolist(), strict=True)]
-            edge_word = is_edge[first[new]]
-            coded = self.encode_words([b"" if e else w for w, e in zip(words, edge_word.tolist(), strict=True)])
-            slots[new] = self._keep(unique[new].tolist(), coded)
-        slots = slots[inverse]
+        hashes = self._hashes(points, starts, lengths)
+        slots = self.known.get(hashes)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            unique, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            if self.known.count and self.known.count + len(unique) > CACHE_WORDS:
+                missing = np.arange(len(hashes))
+                unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                self.reset(len(unique))
+            new = missing[first]
+            low, high = starts[new], starts[new] + lengths[new]
+            if leading is not None:
+                bounds = np.append(leading, len(raw))
+                low, high = bounds[low], bounds[high]
+            words = [b"" if e else joined[a:b] for a, b, e in zip(low.tolist(), high.tolist(), is_edge[new].tolist(), strict=True)]
+            slots[missing] = self._keep(unique, self.encode_words(words))[inverse]
         counts = self.lengths[slots]
         total = int(counts.sum())
         before = np.cumsum(counts) - counts
@@ -402,8 +443,19 @@ class Tokenizer:
         ends = np.append(before, total)[np.flatnonzero(is_edge)]
         return ids, np.concatenate(([0], ends))
 
-    def _keep(self, hashes: list[int], coded: list[list[int]]) -> np.ndarray:
-        base, counts = len(self.number), np.fromiter(map(len, coded), np.int64, len(coded))
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hash of each word: the sum over its places of a random value of the code point times a random factor of the place."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
+        values = mix((np.arange(int(lengths.max()), dtype=np.uint64) + np.uint64(1)) * MULTIPLIERS[1] | np.uint64(1))[place]
+        values |= np.uint64(1)
+        values *= self.point_values[points]
+        sums = np.add.reduceat(values, starts)
+        return np.maximum(mix(sums + lengths.astype(np.uint64) * MULTIPLIERS[3]), np.uint64(1))
+
+    def _keep(self, hashes: np.ndarray, coded: list[list[int]]) -> np.ndarray:
+        base, counts = self.known.count, np.fromiter(map(len, coded), np.int64, len(coded))
         flat = np.fromiter((t for c in coded for t in c), np.uint32, int(counts.sum()))
         while base + len(coded) > len(self.lengths):
             self.lengths, self.starts = np.resize(self.lengths, 2 * len(self.lengths)), np.resize(self.starts, 2 * len(self.starts))
@@ -414,7 +466,7 @@ class Tokenizer:
         self.starts[slots] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.number.update(zip(hashes, slots.tolist(), strict=True))
+        self.known.put(hashes, slots)
         return slots
 
 

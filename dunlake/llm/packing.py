@@ -16,8 +16,8 @@ from dunlake.llm.common import rows, shuffle_partitions, slices, stored, texts
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: Text that is tokenized at once: words repeat in a larger slice, but arrays take about 80 bytes a byte.
-TOKEN_SLICE_BYTES = 1 << 21
+#: Text that is tokenized at once: unknown words are encoded together, but arrays take about 40 bytes a byte.
+TOKEN_SLICE_BYTES = 1 << 20
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
