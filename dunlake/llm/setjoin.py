@@ -482,13 +482,16 @@ def one_per_group(docs: DataFrame, every_text: bool = False) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of its component, with all columns, and all rows without id.
 
     One row an id, or with ``every_text`` one row for each different text of an id. An id is one document, as in
-    ``jaccard_components``: it stays or goes with all its texts.
+    ``jaccard_components``: it stays or goes with all its texts. Null and empty texts are linked with nothing and stay;
+    an empty table gives no rows; other columns are kept, whatever their names.
     """
     others = jaccard_components(docs.select("doc_id", "text")).where("doc_id != component_id").select(F.col("doc_id").alias("dropped")).distinct()
-    stays = docs.where("doc_id is not null").join(others, F.col("doc_id").cast("long") == F.col("dropped"), "left_anti")
-    keys = ["doc_id", F.xxhash64("text")] if every_text else ["doc_id"]
-    version = Window.partitionBy(*keys).orderBy(F.xxhash64("text"))
-    stays = stays.select(F.struct(*[stays[c] for c in docs.columns]).alias("row"), F.row_number().over(version).alias("place")).where("place = 1")
+    # the row is one column from here on, so that no column of it clashes with those of the work
+    whole = docs.where("doc_id is not null").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    stays = whole.join(others, F.col("row.doc_id").cast("long") == F.col("dropped"), "left_anti")
+    keys = ["row.doc_id", F.xxhash64("row.text")] if every_text else ["row.doc_id"]
+    version = Window.partitionBy(*keys).orderBy(F.xxhash64("row.text"))
+    stays = stays.select("row", F.row_number().over(version).alias("place")).where("place = 1")
     return stays.select("row.*").unionByName(docs.where("doc_id is null"))
 
 

@@ -136,3 +136,11 @@ def test_stage_keeps_different_texts_of_an_id(spark):
     docs = [(1, "a b c d e f", "x", 1), (1, "p q r s t u", "x", 1), (1, "a b c d e f", "x", 1), (2, "p q r s t u", "x", 1), (3, None, "x", 1), (3, "v", "x", 1)]
     kept = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), "").collect()
     assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, "a b c d e f"), (1, "p q r s t u"), (3, ""), (3, "v")]
+
+
+def test_columns_named_like_those_of_the_work(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "a", 1, "r"), (2, text, "b", 2, "s"), (3, None, "c", 3, "t"), (None, text, "d", 4, "u")], "doc_id long, text string, dropped string, place int, row string")
+    kept = one_per_group(df, every_text=True)
+    assert kept.columns == df.columns
+    assert sorted(r["dropped"] for r in kept.collect()) == ["a", "c", "d"]
