@@ -320,19 +320,23 @@ def compile_template(template: str) -> Callable[[Iterable[dict]], Iterator[Fragm
     return lambda messages: body({"messages": messages})
 
 
-def pieces(fragments: Iterable[Fragment], limit: int = PIECE_CHARS) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Join fragments into pieces of whole loop passes: text and the generated spans, as offsets in the piece."""
-    texts, spans, size = [], [], 0
+def pieces(fragments: Iterable[Fragment], limit: int = PIECE_CHARS) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+    """Join fragments into pieces of whole loop passes: text, the generated spans as offsets in the piece, and passes so far.
+
+    A piece ends with the pass in which it reaches ``limit`` characters. Fragments without text give no piece.
+    """
+    texts, spans, size, passes = [], [], 0, 0
     for text, marked, ends in fragments:
         if marked and text:
             spans.append((size, size + len(text)))
         texts.append(text)
         size += len(text)
+        passes += ends
         if ends and size >= limit:
-            yield "".join(texts), spans
+            yield "".join(texts), spans, passes
             texts, spans, size = [], [], 0
     if size:
-        yield "".join(texts), spans
+        yield "".join(texts), spans, passes
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -371,15 +375,9 @@ def format_conversations(turns: DataFrame, template: str = CHAT_TEMPLATE) -> Dat
         out: list[tuple] = []
         size = 0
         for conv_id, group in groupby(_stream(batches), key=lambda row: row[0]):
-            seen = [0]
-
-            def messages(group=group, seen=seen):
-                for _, role, text in group:
-                    seen[0] += 1
-                    yield {"role": role, "text": text}
-
-            for piece, (text, spans) in enumerate(pieces(render(messages()))):
-                out.append((conv_id, piece, seen[0], text, [a for a, _ in spans], [b for _, b in spans]))
+            messages = ({"role": role, "text": text} for _, role, text in group)
+            for piece, (text, spans, n_turns) in enumerate(pieces(render(messages))):
+                out.append((conv_id, piece, n_turns, text, [a for a, _ in spans], [b for _, b in spans]))
                 size += len(text)
                 if size >= 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PIECE_SCHEMA, strict=True)], schema=PIECE_SCHEMA)

@@ -1,11 +1,14 @@
 """Vectorised hashing of words, shingles and byte windows.
 
 A text is hashed by the prefix sums of a polynomial modulo 2^64 with random byte values, so the hash of any
-substring is one subtraction and one product. Results are mixed before use.
+substring is one subtraction and one product. Results are mixed before use. Long words and lines are hashed by BLAKE2
+instead, as such a polynomial gives some long texts equal hashes whatever its base.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from dunlake.llm.common import Slice
@@ -16,6 +19,8 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
 MULTIPLIERS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
@@ -57,6 +62,23 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(raw + (ends - starts).astype(np.uint64) * MULTIPLIERS[63])
 
 
+#: Ranges of more bytes are hashed one by one. Few words are as long, and the calls are at most one for so many bytes.
+LONG_BYTES = 32
+
+
+def text_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of ranges of a byte array, by which words and lines are told apart; ``lower`` takes A-Z as a-z."""
+    hashes = range_hashes(prefix_sums((LOWER_VALUES if lower else BYTE_VALUES)[data]), starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_BYTES)
+    if len(long):
+        whole = memoryview(np.ascontiguousarray(LOWER_BYTES[data] if lower else data))
+        digests = b"".join(
+            hashlib.blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        )
+        hashes[long] = np.frombuffer(digests, "<u8")
+    return hashes
+
+
 def word_bounds(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words of a slice, and for each text the number of words before it."""
     n = len(part.data)
@@ -79,8 +101,7 @@ def word_bounds(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(part: Slice, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and for each text the number of words before it."""
     starts, ends, first = word_bounds(part)
-    sums = prefix_sums((LOWER_VALUES if lower else BYTE_VALUES)[part.data])
-    return range_hashes(sums, starts, ends), first
+    return text_hashes(part.data, starts, ends, lower), first
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

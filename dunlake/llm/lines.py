@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dunlake.llm.common import Slice, binary, blobs, rows, ship_package, slices, stored
-from dunlake.llm.hashing import BYTE_VALUES, IS_SPACE, gram_hashes, prefix_sums, range_hashes, word_bounds
+from dunlake.llm.hashing import IS_SPACE, gram_hashes, text_hashes, word_bounds
 
 #: Lines in a fingerprint, and fingerprints in a window. A fingerprint is as long as the shortest run that counts, so its first
 #: occurrence is a match by itself, and every repeated run is found whatever else its first lines begin with elsewhere.
@@ -52,7 +52,7 @@ def _line_hashes(long_words: int):
             done = 0
             for part in slices(batch):
                 starts, ends, owner = line_bounds(part)
-                hashes = range_hashes(prefix_sums(BYTE_VALUES[part.data]), starts, ends)
+                hashes = text_hashes(part.data, starts, ends)
                 first, _, _ = word_bounds(part)
                 words = np.minimum(np.searchsorted(first, ends) - np.searchsorted(first, starts), long_words).astype(np.uint16)
                 at = np.searchsorted(owner, np.arange(len(part) + 1))

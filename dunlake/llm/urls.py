@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from dunlake.llm.common import shuffle_partitions, stored
 
-#: Parts of a host and a path are told apart by a byte that no UTF-8 text holds as its own character.
-_SEP = "\u0001"
+
+def _sep() -> Column:
+    """Parts of a host and a path are told apart by a byte that no UTF-8 text has."""
+    return F.unhex(F.lit("FE"))
 
 
 def host_of(url: Column) -> Column:
@@ -23,13 +25,13 @@ def path_of(url: Column) -> Column:
 
 
 def _reversed(labels: Column) -> Column:
-    """Host labels from the last to the first, each ended by the separator, as bytes that sort like the labels."""
-    return F.concat_ws("", F.transform(F.reverse(labels), lambda x: F.concat(x, F.lit(_SEP))))
+    """Bytes of the host labels from the last to the first, each ended by the separator."""
+    return F.aggregate(F.reverse(labels), F.unhex(F.lit("")), lambda key, x: F.concat(key, F.encode(x, "UTF-8"), _sep()))
 
 
 def _key(labels: Column, path: Column) -> Column:
     """Key of (host labels, path): equal for a rule and an address on the same host, then the path decides."""
-    return F.encode(F.concat(_reversed(labels), F.lit(_SEP), path), "UTF-8")
+    return F.concat(_reversed(labels), _sep(), F.encode(path, "UTF-8"))
 
 
 def breakpoints(rules: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def filter_urls(
     spark = pages.sparkSession
     known = (
         rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.min("verdict").alias("rule_verdict"))
-        .withColumn("rule_id", F.xxhash64("host", F.lit(_SEP), "path"))
+        .withColumn("rule_id", F.xxhash64("host", "path"))
         .withColumn("rule_size", F.length("host") + F.length("path"))
     )
     known = stored(known, "url-rules")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from dunlake.llm import chat
@@ -90,3 +91,13 @@ def test_hot_conversation_and_long_text(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert format_conversations(df).collect() == [] and read_back(format_conversations(df)).collect() == []
+
+
+def test_turns_up_to_the_end_of_each_piece(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "x" * (chat.PIECE_CHARS // c), 1) for c in (1, 2, 100) for t in range(6)]
+    out = format_conversations(spark.createDataFrame(rows, SCHEMA).repartition(2)).orderBy("conv_id", "piece").collect()
+    found = {c: [r for r in out if r.conv_id == c] for c in (1, 2, 100)}
+    assert [len(found[c]) for c in (1, 2, 100)] == [6, 3, 1]
+    for pieces in found.values():
+        turns = np.cumsum([r.text.count("<|im_start|>") for r in pieces]).tolist()
+        assert [r.n_turns for r in pieces] == turns and turns[-1] == 6 and [r.piece for r in pieces] == list(range(len(pieces)))

@@ -173,3 +173,11 @@ def test_long_runs_of_one_or_two_lines_go(spark, rng):
     found = dedup_lines(spark.createDataFrame([(i, text, "x", 1) for i, text in texts.items()], SCHEMA).repartition(4)).collect()
     gone = repeated_lines(texts, lambda run: len(run) == 3 or sum(len(line.split()) for line in run) >= 50)
     assert {r.doc_id: wordy(r.text) for r in found} == left_lines(texts, gone)
+
+
+def test_lines_built_to_collide(spark):
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = [(1, f"{one}\ns\nt", "x", 1), (2, f"{other}\ns\nt", "x", 1), (3, f"{one}\ns\nt", "x", 1)]
+    rows = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()}
+    assert rows == {1: 0, 2: 0, 3: 3}

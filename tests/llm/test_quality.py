@@ -1,14 +1,19 @@
 """Counts of the quality rules against plain Python, and both judges on held-out labels."""
 
+import math
 import random
 import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from dunlake.llm.classifier import keep_quality, kth_largest, resample
+from dunlake.llm import ngrams
+from dunlake.llm.classifier import SEED, TEMPERATURE, keep_quality, kth_largest, resample, target_share
 from dunlake.llm.common import table
-from dunlake.llm.quality import quality_rules
+from dunlake.llm.quality import THRESHOLD, quality_rules
 
 SCHEMA = "doc_id long, text string, kept string, score int"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -91,3 +96,61 @@ def test_kth_largest(spark):
     for k in (1, 2, 17, 250, 499, 500, 600):
         assert kth_largest(df, "v", k) == sorted(values, reverse=True)[min(k, 500) - 1]
     assert kth_largest(df, "v", 0) is None
+
+
+def ngrams_of(text):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return [(w,) for w in words] + list(zip(words, words[1:]))
+
+
+def mean_log_ratios(docs, trusted):
+    """Mean log ratio of the n-grams of each text, over n-grams themselves instead of buckets; null without words."""
+    target, raw = Counter(), Counter()
+    for doc_id, text in docs:
+        raw.update(ngrams_of(text))
+        if doc_id in trusted:
+            target.update(ngrams_of(text))
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + ngrams.PRIOR) / (n * share + ngrams.PRIOR)) for g, n in raw.items()}
+    return [sum(ratio[g] for g in grams) / len(grams) if (grams := ngrams_of(text)) else None for _, text in docs]
+
+
+def gumbel(doc_id):
+    """Noise of an id: 64-bit xxHash of the id, then of the seed, as a number between 0 and 1."""
+    first = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    number = xxhash.xxh64_intdigest(struct.pack("<i", SEED), first)
+    return -math.log(-math.log(((number >> 11) + 0.5) / (1 << 53)))
+
+
+def scored_corpus(rng):
+    """Texts of few different n-grams, so that hardly any share a bucket; nulls, empty and repeated rows, ties."""
+    good, bad = [f"good{i}" for i in range(6)], [f"Bad{i}" for i in range(6)]
+    docs = [(i, " ".join(rng.choice(good if i % 3 else bad) for _ in range(rng.randrange(1, 120)))) for i in range(120)]
+    docs += [docs[4], docs[4], (None, docs[7][1]), (None, None), (200, None), (201, ""), (202, " \n"), (203, docs[5][1]), (204, docs[5][1])]
+    labels = [(i, int(i % 3 > 0), int(i % 10 == 0), "t") for i in range(0, 60)] + [(3, 1, 0, "t"), (None, 1, 0, "t"), (5, None, None, "t")]
+    trusted = {i for i in range(60) if i % 3 and i % 10 and i != 5} | {5}
+    return docs, labels, trusted
+
+
+def test_scores_and_draw_against_brute_force(spark, rng):
+    docs, labels, trusted = scored_corpus(rng)
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA).repartition(4)
+    labelled = spark.createDataFrame(labels, LABELS)
+    assert set(ngrams.trusted_ids(labelled).tolist()) == trusted
+    means = mean_log_ratios(docs, trusted)
+    order = lambda r: tuple((v is not None, v or 0) for v in r)
+
+    got = sorted(((r.doc_id, r.score, r.kept) for r in quality_rules(df, labelled).collect()), key=order)
+    expected = sorted(((d[0], m or 0.0, not counts(d[1])[5] and (m or 0.0) >= THRESHOLD) for d, m in zip(docs, means, strict=True)), key=order)
+    assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in expected]
+    assert [r[1] for r in got] == pytest.approx([r[1] for r in expected], abs=1e-9)
+
+    keys = [None if m is None else m / TEMPERATURE + gumbel(d[0]) for d, m in zip(docs, means, strict=True)]
+    for k in (None, 1, 17, len(docs)):
+        n = round(len(docs) * target_share(labelled)) if k is None else k
+        weighted = sorted((key for key in keys if key is not None), reverse=True)
+        least = weighted[min(n, len(weighted)) - 1]
+        rows = sorted(((r.doc_id, r.gumbel_key, r.kept) for r in resample(df, labelled, k).collect()), key=order)
+        whole = sorted(((d[0], key, key is not None and key >= least) for d, key in zip(docs, keys, strict=True)), key=order)
+        assert [(r[0], r[2]) for r in rows] == [(r[0], r[2]) for r in whole]
+        assert [r[1] or 0 for r in rows] == pytest.approx([r[1] or 0 for r in whole], abs=1e-6)

@@ -144,3 +144,31 @@ def test_columns_named_like_those_of_the_work(spark):
     kept = one_per_group(df, every_text=True)
     assert kept.columns == df.columns
     assert sorted(r["dropped"] for r in kept.collect()) == ["a", "c", "d"]
+
+
+def thue_morse(n, pair="ab"):
+    """A text and its complement, which polynomials modulo 2^64 don't tell apart from 1 KB on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(pair[b] for b in bits), "".join(pair[1 - b] for b in bits)
+
+
+def test_words_built_to_collide(spark):
+    one, other = thue_morse(4096)
+    docs = [(1, one, "x", 1), (2, other, "x", 1), (3, one.upper(), "x", 1), (4, f"a b c d {one}", "x", 1), (5, f"a b c d {other}", "x", 1)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    assert plain(tuple(r) for r in jaccard_components(df).collect()) == plain(brute_force(docs))
+
+
+def test_hashes_of_ranges_depend_on_their_bytes_alone(rng):
+    from dunlake.llm.hashing import text_hashes
+
+    words = ["".join(rng.choice("aAbB") for _ in range(rng.choice([1, 2, 31, 32, 33, 64, 65, 200]))) for _ in range(300)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for lower in (False, True):
+        hashes = text_hashes(data, starts, ends, lower)
+        texts = [w.lower() if lower else w for w in words]
+        assert len(set(zip(texts, hashes.tolist(), strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
+        alone = [text_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), lower)[0] for w in words]
+        assert hashes.tolist() == alone

@@ -58,3 +58,16 @@ def test_rules_with_nulls_and_repeats(spark):
     rules = rules_table(spark, [("org", "/", "block"), ("org", "/", "allow"), (None, "/", "block"), ("org", "/x", None), ("org", "/", "block")])
     assert [tuple(r) for r in filter_urls(pages, rules).collect()] == [(1, "a.org", "/x", "org/", "allow")]
     assert filter_urls(spark.createDataFrame([], SCHEMA), rules).collect() == []
+
+
+def test_control_characters_are_text(spark):
+    rules = [("com", "", "block"), ("x.com", "\x01", "allow"), ("org\x01", "", "block"), ("", "/a", "block"), (".com", "/a", "allow")]
+    urls = ["http://com\x01", "http://a.com\x01/", "http://com", "http://x.com\x01", "http://x.com/\x01", "http://org", "http://org\x01", "http://a.org\x01/p\x01",
+            "http://.com\x01", "http://.com/a", "http://com/a", "http:///a", "http://com./a", "http://\x01.com/a", "http://..com/a"]
+    check(spark, urls, rules)
+
+
+def test_rules_under_one_top_label(spark, rng):
+    rules = [(f"h{i % 40}.com", f"/p{i // 40}", rng.choice(["allow", "block"])) for i in range(400)] + [("com", "/", "allow")]
+    urls = [f"http://{rng.choice(['', 'w.'])}h{rng.randrange(45)}.com/p{rng.randrange(12)}{rng.choice(['', '/x'])}" for _ in range(300)]
+    check(spark, urls, rules)
