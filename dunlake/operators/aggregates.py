@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dunlake.functions import fixed_values as fixed
 from dunlake.functions.base import ColumnLike, as_column, number
@@ -15,14 +16,38 @@ from dunlake.functions.dates import floor_to
 from dunlake.operators.dedup import dedup, join_null_safe
 
 
+#: A key with at least this share of the rows, as one in so many, is hot. There are at most as many hot keys.
+HOT_SHARE = 1000
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
-    """Aggregates of a key joined back to its rows.
+    """Aggregates of a key joined back to its rows; null is a key like any other.
 
-    An aggregate combines on the map side and its result is small; an unordered
-    window would bring all rows of a key into one task.
+    An aggregate combines on the map side and its result is small; an unordered window would bring all rows of a key
+    into one task. So would the join back, for a key that holds much of the table. Hot keys are therefore at most
+    ``HOT_SHARE`` rows by definition and are broadcast; their rows go to the join on the key with a salt of their own,
+    which spreads them and meets nothing there. The salt is a hash of the row and its partition, so that a task that runs
+    again deals its rows as before.
     """
-    grouped = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in stats.items()])
-    return join_null_safe(df, grouped, keys, "left")
+    grouped = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.count("*").alias("_size"), F.struct(*[expr.alias(name) for name, expr in stats.items()]).alias("_stats")
+    )
+    total = grouped.agg(F.sum("_size")).scalar()
+    hot = grouped.filter(F.col("_size") * HOT_SHARE >= total).select(*[F.col(f"`{k}`") for k in keys], F.col("_stats").alias("_hot"))
+    rows = join_null_safe(df, F.broadcast(hot), keys, "left")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if not _holds_map(f.dataType)]
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*hashed, F.spark_partition_id()).bitwiseOR(F.lit(1).cast("bigint")))
+    rows = rows.withColumn("_salt", salt)
+    joined = join_null_safe(rows, grouped.drop("_size").withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.coalesce("_hot", "_stats")[name].alias(name) for name in stats],
+    )
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether a type holds a map, or another type without a hash."""
+    return any(word in kind.simpleString() for word in ("map<", "variant"))
 
 
 def touch_count(df: DataFrame, account: ColumnLike, brand: ColumnLike, resource: str, drop_zero: bool = False) -> DataFrame:

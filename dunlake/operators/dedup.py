@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunlake.functions.base import ColumnLike, as_column
-from dunlake.session import new_path
+from dunlake.session import new_path, store
 
 
 def _ascending(order: Sequence[ColumnLike]) -> list[Column]:
@@ -80,21 +80,45 @@ def split_rows(df: DataFrame, n: int, order: Sequence[ColumnLike], column: str =
     return rows.withColumn(column, part.cast("int")).drop("_number")
 
 
+#: A key of more rows is ranked over many tasks; the rows of any other key are sorted by one.
+HEAVY_ROWS = 1_000_000
+
+
 def ranked(
-    df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], rank: str = "orden", n: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[ColumnLike],
+    rank: str = "orden",
+    n: int | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Rank inside a key. With ``n`` only the first ``n`` rows are kept and ranked.
 
-    Without a bound a key may hold any number of rows, so the rank is the global
-    row number minus the first number of the key. The rows of a key are sorted into
-    one or more files; first numbers are joined by key and file, so a key that spans
-    many files is spread over as many groups.
+    Without a bound a key may hold any number of rows. The rows of each key are counted first, combined on the map side.
+    If no key has more than ``heavy_rows``, the result is one window behind one shuffle. Else the heavy keys are stored,
+    and only their rows are ranked over many tasks.
     """
     if n is not None:
         return top_rows(df, keys, order, n, rank)
-    rows = numbered(df, [*keys, *order], "_number", "_part")
-    by_file = rows.groupBy(*keys, "_part").agg(F.min("_number").alias("_first"))
-    first = by_file.withColumn("_first", F.min("_first").over(Window.partitionBy(*keys)))
+    key_columns = [F.col(f"`{k}`") for k in keys]
+    heavy = df.groupBy(*key_columns).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > heavy_rows).select(*key_columns)
+    heavy = store(heavy, "heavy-keys")
+    window = F.row_number().over(Window.partitionBy(*key_columns).orderBy(*_ascending(order))).cast("bigint")
+    if heavy.isEmpty():
+        return df.withColumn(rank, window)
+    light = join_null_safe(df, heavy, keys, "left_anti").withColumn(rank, window)
+    return light.unionByName(ranked_by_number(join_null_safe(df, heavy, keys, "left_semi"), keys, order, rank))
+
+
+def ranked_by_number(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], rank: str) -> DataFrame:
+    """Rank inside keys that each may outgrow a task: the global row number minus the first number of the key.
+
+    The rows of a key are sorted into one or more files; first numbers are joined by key and file, so a key that spans
+    many files is spread over as many groups.
+    """
+    rows = numbered(df, [*[F.col(f"`{k}`") for k in keys], *order], "_number", "_part")
+    by_file = rows.groupBy(*[F.col(f"`{k}`") for k in keys], "_part").agg(F.min("_number").alias("_first"))
+    first = by_file.withColumn("_first", F.min("_first").over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys])))
     return join_null_safe(rows, first, [*keys, "_part"], "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_number") - F.col("_first") + 1).alias(rank),
@@ -106,5 +130,5 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     named = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(named[f"_right_{key}"])
+        condition = condition & left[f"`{key}`"].eqNullSafe(named[f"`_right_{key}`"])
     return left.join(named, condition, how).drop(*[f"_right_{key}" for key in keys])

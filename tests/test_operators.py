@@ -66,15 +66,51 @@ def test_split_rows_covers_every_row_once(spark, count, parts):
     assert found == [(i, parts - 1 if count < parts else min(parts - 1, i // size)) for i in range(count)]
 
 
-def test_unbounded_rank_with_a_hot_key(spark):
-    data = [("hot", i) for i in range(500)] + [(f"k{i % 20}", i) for i in range(200)] + [(None, 1), (None, 2)]
-    df = spark.createDataFrame(data, "k string, v int").repartition(6)
-    found = dedup.ranked(df, ["k"], ["v"], "r").collect()
+@pytest.mark.parametrize("heavy_rows", [0, 1, 100, 10**6])
+def test_unbounded_rank_with_a_hot_key(spark, heavy_rows):
+    data = [("hot", i) for i in range(500)] + [(f"k{i % 20}", i) for i in range(200)] + [(None, 1), (None, 2), ("one", 1)]
+    df = spark.createDataFrame(data, "`the.key` string, v int").repartition(6)
+    found = dedup.ranked(df, ["the.key"], ["v"], "r", heavy_rows=heavy_rows).collect()
     expected = {}
     for key in {k for k, _ in data}:
         for rank, value in enumerate(sorted(v for k, v in data if k == key), 1):
             expected[(key, value)] = rank
-    assert {(r["k"], r["v"]): r["r"] for r in found} == expected
+    assert {(r["the.key"], r["v"]): r["r"] for r in found} == expected and len(found) == len(data)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unbounded_rank_of_small_keys_is_one_shuffle(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 70 AS k", "id AS v").write.parquet(str(tmp_path / "t"))
+    plan = plan_of(dedup.ranked(spark.read.parquet(str(tmp_path / "t")), ["k"], ["v"], "r"))
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "rangepartitioning" not in plan
+
+
+def test_group_stats_of_hot_keys(spark):
+    """Half of the rows have one key, a quarter null: right sums, and rows dealt evenly behind the join."""
+    n = 40_000
+    data = spark.range(n).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 4 = 1 THEN NULL ELSE concat('k', id) END AS `the.key`", "id AS v", "map('a', 1) AS m")
+    stats = {"s": F.sum("v"), "n": F.count("*"), "none": F.max(F.lit(None).cast("int"))}
+    result = aggregates.with_group_stats(data.repartition(5), ["the.key"], **stats)
+    assert result.columns == ["the.key", "v", "m", "s", "n", "none"]
+    expected = {"hot": (sum(range(0, n, 2)), n // 2, None), None: (sum(range(1, n, 4)), n // 4, None)}
+    found = result.groupBy("`the.key`").agg(F.count("*").alias("rows"), F.min("s").alias("low"), F.max("s").alias("high"), F.max("n").alias("n"), F.max("none").alias("none"))
+    for r in found.collect():
+        total, size, none = expected.get(r["the.key"]) or (int(r["the.key"][1:]), 1, None)
+        assert (r.low, r.high, r.n, r.rows, r.none) == (total, total, size, size, none)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        whole = aggregates.with_group_stats(data.repartition(5), ["the.key"], **stats)
+        sizes = sorted(r["count"] for r in whole.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
 def test_pivot_slots(spark):
