@@ -14,8 +14,6 @@ from dunlake.llm.hashing import gram_hashes, word_hashes
 
 #: Buckets of words and word pairs. The model is one number a bucket, so its size is fixed.
 BUCKET_BITS = 16
-#: Trusted documents that the target model is fitted on, at most: those with the smallest hash of their id.
-TARGET_DOCS = 20_000
 #: Pseudo-count of each bucket: rarely seen buckets say little, so small corpora are judged leniently.
 PRIOR = 8.0
 
@@ -32,39 +30,49 @@ def features(part: Slice, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarr
     return values.astype(np.int64), np.concatenate((owner, owner[:-1][inside] if len(owner) else owner))
 
 
-def trusted_ids(labels: DataFrame, most: int = TARGET_DOCS) -> np.ndarray:
-    """Ids of trusted documents (quality 1, not toxic in any row), at most ``most``, chosen by hash of the id."""
+def trusted(labels: DataFrame) -> DataFrame:
+    """All trusted documents (quality 1, not toxic in any row), one row an id: (id, trusted), where trusted is true."""
     good = (
-        labels.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        labels.groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-        .where("quality = 1 and toxic = 0 and doc_id is not null")
+        .where("quality = 1 and toxic = 0 and id is not null")
     )
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()
-    return np.sort(np.array([r[0] for r in chosen], np.int64))
+    return good.select("id", F.lit(True).alias("trusted"))
+
+
+def trusted_ids(labels: DataFrame) -> np.ndarray:
+    """The ids of ``trusted`` in order, to look at small label tables; the models join the table itself."""
+    return np.sort(np.array([r[0] for r in trusted(labels).select("id").collect()], np.int64))
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Log ratio of each bucket's target count to the count that the raw model expects. Raw counts cover all documents.
+    """Log ratio of each bucket's target count to the count that the raw model expects.
 
-    Each task adds up its own counts, so at most one row a bucket and task is shuffled; what comes to the driver is one
-    row a bucket.
+    Raw counts cover all documents, target counts all trusted ones. Ids and texts meet in a shuffle, whatever their number:
+    a broadcast of the ids would grow with the labels. The ids are hashed there, so that no texts are sorted. Each task adds
+    up its own counts, so at most one row a bucket and task is shuffled after that; what comes to the driver is one row a
+    bucket.
     """
-    trusted = trusted_ids(labels)
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
+            flags = batch.column("trusted").to_numpy(zero_copy_only=False)
+            done = 0
             for part in slices(batch):
                 bucket, owner = features(part, bits)
                 raw += np.bincount(bucket, minlength=size)
-                chosen = np.isin(part.ids, trusted)
+                chosen = flags[done : done + len(part)]
+                done += len(part)
                 if chosen.any():
                     target += np.bincount(bucket[chosen[owner]], minlength=size)
         seen = np.flatnonzero(raw)
         yield rows(_COUNT_SCHEMA, [seen.astype(np.int32), target[seen], raw[seen]])
 
-    counted = texts(docs).mapInArrow(count, "bucket int, target long, raw long")
+    flagged = texts(docs).join(trusted(labels).hint("shuffle_hash"), "id", "left")
+    flagged = flagged.select("id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    counted = flagged.mapInArrow(count, "bucket int, target long, raw long")
     found = counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
     target, raw = np.zeros(size), np.zeros(size)
     for row in found:

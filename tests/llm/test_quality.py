@@ -154,3 +154,17 @@ def test_scores_and_draw_against_brute_force(spark, rng):
         whole = sorted(((d[0], key, key is not None and key >= least) for d, key in zip(docs, keys, strict=True)), key=order)
         assert [(r[0], r[2]) for r in rows] == [(r[0], r[2]) for r in whole]
         assert [r[1] or 0 for r in rows] == pytest.approx([r[1] or 0 for r in whole], abs=1e-6)
+
+
+def test_every_trusted_document_counts(spark, rng):
+    """More trusted documents than the 20,000 that once bounded the target model."""
+    good, bad = [f"good{i}" for i in range(6)], [f"bad{i}" for i in range(6)]
+    docs = [(i, " ".join(rng.choice(good if i % 8 else bad) for _ in range(3))) for i in range(26_000)]
+    docs += [docs[1], (None, "good1 bad1"), (30_000, None)]
+    labels = [(i, int(i % 8 > 0), 0, "t") for i in range(26_000)]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], SCHEMA)
+    got = {r.doc_id: r.score for r in quality_rules(df, spark.createDataFrame(labels, LABELS)).collect()}
+    means = mean_log_ratios(docs, {i for i, quality, *_ in labels if quality})
+    assert len(got) == len(docs) - 1
+    for (doc_id, _), mean in zip(docs, means, strict=True):
+        assert got[doc_id] == pytest.approx(mean or 0.0, abs=1e-9)
