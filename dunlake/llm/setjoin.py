@@ -30,6 +30,8 @@ BLOCK_TOKENS = 1 << 21
 #: Open pairs are compared in turns by a hash of the pair: a share of 2^-8 first, then 2^-4, then all. In a large group of near
 #: copies the first pairs join nearly all sets, so that few pairs are open in the later turns.
 TURNS = (8, 4, 0)
+#: Lists of at most so many sets give all their open pairs in the first turn; later turns take the sets of longer lists only.
+FEW = 32
 #: Shingles of a bucket are sorted in so many shares, one after the other.
 SHARES = 16
 
@@ -347,29 +349,40 @@ def _marks(ids: np.ndarray, versions: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) * MULTIPLIERS[7] + versions.astype(np.uint64))
 
 
-def _open_pairs(low: int, high: int):
-    """Pairs of a list with a hash from ``low`` up to ``high`` that are in different components and that no bound rules out."""
-    return lambda batches: _open_batches(batches, np.uint64(low), np.uint64(high))
+def _open_pairs(low: int, high: int, few: int):
+    """Pairs of a list that are in different components and that no bound rules out.
+
+    Of a list of more than ``few`` sets those with a hash from ``low`` up to ``high``, and before the last turn also its
+    sets, without another one, for the next turn. Of shorter lists all pairs in the first turn, and none later.
+    """
+    return lambda batches: _open_batches(batches, low, high, few)
 
 
-def _open_batches(batches: Iterator[pa.RecordBatch], low: np.uint64, high: np.uint64) -> Iterator[pa.RecordBatch]:
+def _open_batches(batches: Iterator[pa.RecordBatch], low: int, high: int, few: int) -> Iterator[pa.RecordBatch]:
     limit = 1 - PERCENT / 100 + 1e-9
+    first, last = low == 0, high == (1 << 64) - 1
+    low, high = np.uint64(low), np.uint64(high)
     for tokens, ids, versions, sizes, rests, labels, leaders, distances in _lists(batches):
         edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         ends = np.append(edge[1:], len(tokens))
         mixed = np.minimum.reduceat(labels, edge) != np.maximum.reduceat(labels, edge) if len(edge) else np.zeros(0, bool)
+        long = mixed & (ends - edge > few)
+        if long.any() and not last:
+            yield _waiting(ids[at := np.repeat(long, ends - edge)], versions[at])
+        taken = mixed if first else long
         marks = _marks(ids, versions)
         own = marks.view(np.int64)
         found, size = [], 0
-        for start, end in zip(edge[mixed].tolist(), ends[mixed].tolist(), strict=True):
+        for start, end in zip(edge[taken].tolist(), ends[taken].tolist(), strict=True):
             n = sizes[start:end].astype(np.int64)
             # sizes ascend: the block of sets small enough to link with each one is a range
             stop = np.searchsorted(n, n * 100 // PERCENT, "right") + start
             for i in range(start, end - 1):
                 j = np.arange(i + 1, stop[i - start])
                 j = j[labels[j] != labels[i]]
-                turn = mix(marks[j] + marks[i])
-                j = j[(turn >= low) & (turn <= high)]
+                if end - start > few:
+                    turn = mix(marks[j] + marks[i])
+                    j = j[(turn >= low) & (turn <= high)]
                 need = least_overlap(n[j - start], n[i - start])
                 j = j[np.minimum(rests[j], rests[i]) >= need]
                 apart = (leaders[j] == leaders[i]) & (np.abs(distances[j] - distances[i]) > limit)
@@ -384,6 +397,16 @@ def _open_batches(batches: Iterator[pa.RecordBatch], low: np.uint64, high: np.ui
             yield _distinct_pairs(found)
 
 
+def _waiting(ids: np.ndarray, versions: np.ndarray) -> pa.RecordBatch:
+    """Different sets as rows without another one."""
+    order = np.lexsort((versions, ids))
+    ids, versions = ids[order], versions[order]
+    head = np.ones(len(ids), bool)
+    head[1:] = (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])
+    none = pa.nulls(int(head.sum()), pa.int64())
+    return rows(_PAIRS, [ids[head], versions[head], none, none])
+
+
 def _distinct_pairs(found: list[tuple]) -> pa.RecordBatch:
     a, av, b, bv = (np.concatenate(c) for c in zip(*found, strict=True))
     swap = (a > b) | (a == b) & (av > bv)
@@ -418,6 +441,12 @@ def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sided.select("id", "version", "other_id", "other_version", "n", "other_n", "tokens", "other_tokens").mapInArrow(_compared, _CHECKED_DDL)
 
 
+def _ends(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of any of these pairs, stored. Where pairs are few, their shingles are all that the comparison moves."""
+    ends = pairs.select("id", "version").unionByName(pairs.select(F.col("other_id").alias("id"), F.col("other_version").alias("version")))
+    return stored(sets.select("id", "version", "n", "tokens").join(ends.distinct(), ["id", "version"], "left_semi"), "open-sets")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Group documents by similar shingle sets: (doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -428,7 +457,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     No group is brought together: equal sets reach a bucket once per task, a shingle's list gives one pair per set, and
     pairs inside a component are never formed. Open pairs are those between components that share a listed shingle; they
-    are compared in turns, and links of one turn close pairs of the next. Stored are the sets that may link, with their shared shingles.
+    are compared in turns, and links of one turn close pairs of the next; only sets of long lists with sets of several
+    components take a second turn. Stored are the sets that may link, with their shared shingles.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -453,22 +483,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     label = F.coalesce("component_id", "id").alias("label")
     prefix = F.expr(f"substring(tokens, 1, 8 * (length(tokens) div 8 - (n * {PERCENT} + 99) div 100 + 1))")
+    listed = waiting = sets.select("id", "version", "n", shared, prefix.alias("tokens"))
     near = checked.select("id", "version", F.col("other_mark").alias("leader"), "distance")
     low = 0
     for bits in TURNS:
         high = (1 << 64 - bits) - 1
-        told = (
-            sets.select("id", "version", "n", shared, prefix.alias("tokens"))
-            .join(found, "id", "left").join(near, ["id", "version"], "left")
-            .select("id", "version", "n", "shared", "tokens", label, F.coalesce("leader", F.lit(-1 << 62)).alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-        )
+        # what is known of a set is brought together first, so that its shingles move once
+        known = sets.select("id", "version").join(found, "id", "left").join(near, ["id", "version"], "left")
+        known = known.select("id", "version", label, F.coalesce("leader", F.lit(-1 << 62)).alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+        told = waiting.join(known, ["id", "version"]).select("id", "version", "n", "shared", "tokens", "label", "leader", "distance")
         lists = told.mapInArrow(_postings(buckets), _POSTINGS_DDL).repartition(n, "bucket")
-        open_ = stored(lists.mapInArrow(_open_pairs(low, high), _PAIRS_DDL).distinct(), "open-pairs")
-        more = stored(_check(open_, sets).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")), "open-links")
+        open_ = stored(lists.mapInArrow(_open_pairs(low, high, FEW), _PAIRS_DDL).distinct(), "open-pairs")
+        pairs = open_.where("other_id is not null")
+        more = stored(_check(pairs, _ends(pairs, sets)).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")), "open-links")
         if more.head(1):
             # stars of the components so far and the links between them
             stars = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
             found = stored(components(more.unionByName(stars)), "components")
+        left = open_.where("other_id is null")
+        if not left.head(1):
+            break
+        waiting = listed.join(left, ["id", "version"], "left_semi")
         low = high + 1
 
     sized = table.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))

@@ -172,3 +172,25 @@ def test_hashes_of_ranges_depend_on_their_bytes_alone(rng):
         assert len(set(zip(texts, hashes.tolist(), strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
         alone = [text_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), lower)[0] for w in words]
         assert hashes.tolist() == alone
+
+
+@pytest.mark.parametrize("few", [1, 3])
+def test_long_lists_take_every_turn(spark, rng, monkeypatch, few):
+    """With nearly every list a long one, later turns find the pairs that the first one leaves."""
+    monkeypatch.setattr(setjoin, "FEW", few)
+    docs = corpus(rng)
+    got = jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(5))
+    assert plain(got.collect()) == plain(brute_force(docs))
+
+
+def test_short_lists_take_one_turn(spark, rng, monkeypatch):
+    """Lists are sent a second time only for sets of long ones, and the comparison moves only sets of open pairs."""
+    written = []
+    monkeypatch.setattr(setjoin, "stored", lambda df, name, store=setjoin.stored: written.append((name, out := store(df, name))) or out)
+    docs = corpus(rng, 60)
+    got = jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(5))
+    assert plain(got.collect()) == plain(brute_force(docs))
+    assert [name for name, _ in written].count("open-pairs") == 1
+    tables = dict(written)
+    ends = {(r[a], r[b]) for r in tables["open-pairs"].collect() for a, b in ((0, 1), (2, 3))}
+    assert {(r.id, r.version) for r in tables["open-sets"].collect()} == ends
