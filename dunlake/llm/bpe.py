@@ -21,6 +21,8 @@ from dunlake.llm.hashing import MULTIPLIERS, mix
 NEVER = np.int64(1) << np.int64(40)
 #: Longer words are merged one by one.
 SIDE_BY_SIDE_BYTES = 32
+#: Words merged side by side go by size, so that few cells of their arrays are empty.
+SIZE_STEPS = np.array([5, 7, 9, 12, 16, 22])
 #: Words kept by a worker; the cache starts anew beyond it.
 CACHE_WORDS = 400_000
 _LETTER, _NUMBER, _SPACE, _OTHER, _EDGE = 0, 1, 2, 3, 4
@@ -48,6 +50,11 @@ def _point_classes() -> np.ndarray:
     return classes
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of runs of these starts and lengths, one run after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class IntMap:
     """Map of non-negative integers by open addressing in arrays; the longest chain of probes bounds every look-up."""
 
@@ -237,24 +244,35 @@ class Tokenizer:
                 heapq.heappush(heap, (merges[p][0], h, *p))
         return [i for i in ids if i >= 0]
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """Exact encodings of short words side by side: every step merges the best pair of each word."""
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact encodings of short words side by side, as ids one word after the other and the number of each word's ids."""
+        step = np.searchsorted(SIZE_STEPS, np.fromiter(map(len, words), np.int64, len(words)))
+        counts, blocks = np.zeros(len(words), np.int64), []
+        for k in np.unique(step).tolist():
+            here = np.flatnonzero(step == k)
+            ids, counts[here] = self._merge_block([words[i] for i in here.tolist()])
+            blocks.append((here, ids))
+        flat, starts = np.zeros(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        for here, ids in blocks:
+            flat[_spread(starts[here], counts[here])] = ids
+        return flat, counts
+
+    def _merge_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge_many`` of words of about one size: every step merges the best pair of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         width = int(sizes.max())
         ids = np.full((len(words), width + 2), -1, np.int64)
         filled = np.arange(width + 2) < sizes[:, None]
         ids[filled] = self.single[np.frombuffer(b"".join(words), np.uint8)]
         ranks = self._rank(ids[:, :-1], ids[:, 1:])
-        done, rows, columns = [None] * len(words), np.arange(len(words)), np.arange(width + 2)
+        done, rows, columns = np.full((len(words), width + 2), -1, np.int64), np.arange(len(words)), np.arange(width + 2)
         while len(rows):
             at = ranks.argmin(axis=1)
             every = np.arange(len(rows))
             best = ranks[every, at]
             over = best == NEVER
             if over.any():
-                for i in np.flatnonzero(over).tolist():
-                    row = ids[i]
-                    done[rows[i]] = row[row >= 0].tolist()
+                done[rows[over]] = ids[over]
                 going = ~over
                 rows, ids, ranks, at, best = rows[going], ids[going], ranks[going], at[going], best[going]
                 every = np.arange(len(rows))
@@ -268,7 +286,8 @@ class Tokenizer:
             ranks[every, at] = self._rank(ids[every, at], ids[every, at + 1])
             inner = at > 0
             ranks[every[inner], at[inner] - 1] = self._rank(ids[every[inner], at[inner] - 1], ids[every[inner], at[inner]])
-        return done
+        filled = done >= 0
+        return done[filled], filled.sum(axis=1)
 
     def _plant(self) -> None:
         """Prefix tree of the proposals: the child of (node, byte), and the token that ends at a node."""
@@ -282,8 +301,8 @@ class Tokenizer:
         for text, token in self.proposals.items():
             self.token_at[nodes[text]] = token
 
-    def greedy_many(self, words: list[bytes]) -> list[list[int]]:
-        """Longest matches of short words, walking the prefix tree with all words at once."""
+    def greedy_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches of short words, walking the prefix tree with all words at once, in the form of ``merge_many``."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         width = int(sizes.max(initial=0))
         text = np.full((len(words), width + 1), -1, np.int64)
@@ -308,8 +327,8 @@ class Tokenizer:
             left = on | (at < sizes[rows])
             if not left.all():
                 rows, at, node, count, best, best_end = (x[left] for x in (rows, at, node, count, best, best_end))
-        counts = (out >= 0).sum(axis=1)
-        return [row[:n] for row, n in zip(out.tolist(), counts.tolist(), strict=True)]
+        filled = out >= 0
+        return out[filled], filled.sum(axis=1)
 
     def greedy(self, word: bytes) -> list[int]:
         found, proposals, longest, at, n = [], self.proposals, self.longest, 0, len(word)
@@ -322,35 +341,59 @@ class Tokenizer:
         return found
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Propose, check every adjacent pair at once, and merge only the words that fail."""
-        proposed = [[]] * len(words)
-        narrow = [i for i, word in enumerate(words) if len(word) <= SIDE_BY_SIDE_BYTES]
-        for i, ids in zip(narrow, self.greedy_many([words[i] for i in narrow]), strict=True):
-            proposed[i] = ids
-        for i, word in enumerate(words):
-            if len(word) > SIDE_BY_SIDE_BYTES:
-                proposed[i] = self.greedy(word)
-        counts = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
-        if len(flat) > 1:
-            owner = np.repeat(np.arange(len(words)), counts)
-            inside = owner[1:] == owner[:-1]
-            pairs, back = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
-            fits = self.pair_fits
-            new = [p for p in pairs.tolist() if p not in fits]
-            if new:
-                fresh = np.array(new, np.int64)
-                fits.update(zip(new, (self._first_crossing(fresh >> 32, fresh & 0xFFFFFFFF) == NEVER).tolist(), strict=True))
-            good = np.array([fits[p] for p in pairs.tolist()], bool)[back] if len(pairs) else np.zeros(0, bool)
-            failing = np.unique(owner[:-1][inside][~good]).tolist()
-            short = [i for i in failing if len(words[i]) <= SIDE_BY_SIDE_BYTES]
-            if short:
-                for i, ids in zip(short, self.merge_many([words[i] for i in short]), strict=True):
-                    proposed[i] = ids
-            for i in failing:
-                if len(words[i]) > SIDE_BY_SIDE_BYTES:
-                    proposed[i] = self.merge(words[i])
-        return proposed
+        """``encode_many`` as one list a word."""
+        ids, counts = self.encode_many(words)
+        ends = np.cumsum(counts)
+        return [ids[a:b].tolist() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Propose, check every adjacent pair at once, and merge only the words that fail; the form is that of ``merge_many``."""
+        chosen = np.arange(len(words))
+        ids, counts = self._by_size(words, chosen, self.greedy_many, self.greedy)
+        if len(ids) < 2:
+            return ids, counts
+        owner = np.repeat(chosen, counts)
+        inside = owner[1:] == owner[:-1]
+        pairs, back = np.unique((ids[:-1] << 32 | ids[1:])[inside], return_inverse=True)
+        if not len(pairs):
+            return ids, counts
+        fits = self.pair_fits
+        new = [p for p in pairs.tolist() if p not in fits]
+        if new:
+            fresh = np.array(new, np.int64)
+            fits.update(zip(new, (self._first_crossing(fresh >> 32, fresh & 0xFFFFFFFF) == NEVER).tolist(), strict=True))
+        good = np.fromiter(map(fits.__getitem__, pairs.tolist()), bool, len(pairs))[back]
+        fails = np.zeros(len(words), bool)
+        fails[owner[:-1][inside][~good]] = True
+        failing = np.flatnonzero(fails)
+        if not len(failing):
+            return ids, counts
+        merged, merged_counts = self._by_size(words, failing, self.merge_many, self.merge)
+        kept, kept_counts = ids[~fails[owner]], counts[~fails]
+        counts[failing] = merged_counts
+        starts = np.cumsum(counts) - counts
+        ids = np.zeros(int(counts.sum()), np.int64)
+        ids[_spread(starts[~fails], kept_counts)] = kept
+        ids[_spread(starts[failing], merged_counts)] = merged
+        return ids, counts
+
+    @staticmethod
+    def _by_size(words: list[bytes], chosen: np.ndarray, many, one) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chosen words, of short ones by ``many`` and of others by ``one``."""
+        sizes = np.fromiter((len(words[i]) for i in chosen.tolist()), np.int64, len(chosen))
+        short, long = np.flatnonzero(sizes <= SIDE_BY_SIDE_BYTES), np.flatnonzero(sizes > SIDE_BY_SIDE_BYTES)
+        counts = np.zeros(len(chosen), np.int64)
+        found = np.zeros(0, np.int64)
+        if len(short):
+            found, counts[short] = many([words[i] for i in chosen[short].tolist()])
+        if not len(long):
+            return found, counts
+        others = [one(words[i]) for i in chosen[long].tolist()]
+        counts[long] = [len(ids) for ids in others]
+        flat, starts = np.zeros(int(counts.sum()), np.int64), np.cumsum(counts) - counts
+        flat[_spread(starts[short], counts[short])] = found
+        flat[_spread(starts[long], counts[long])] = np.concatenate([np.array(ids, np.int64) for ids in others])
+        return flat, counts
 
     def _word_starts(self, points: np.ndarray) -> np.ndarray:
         """Places where a word of the pre-tokenizer starts; each edge is a word of its own."""
@@ -435,7 +478,7 @@ class Tokenizer:
                 bounds = np.append(leading, len(raw))
                 low, high = bounds[low], bounds[high]
             words = [b"" if e else joined[a:b] for a, b, e in zip(low.tolist(), high.tolist(), is_edge[new].tolist(), strict=True)]
-            slots[missing] = self._keep(unique, self.encode_words(words))[inverse]
+            slots[missing] = self._keep(unique, *self.encode_many(words))[inverse]
         counts = self.lengths[slots]
         total = int(counts.sum())
         before = np.cumsum(counts) - counts
@@ -454,14 +497,13 @@ class Tokenizer:
         sums = np.add.reduceat(values, starts)
         return np.maximum(mix(sums + lengths.astype(np.uint64) * MULTIPLIERS[3]), np.uint64(1))
 
-    def _keep(self, hashes: np.ndarray, coded: list[list[int]]) -> np.ndarray:
-        base, counts = self.known.count, np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((t for c in coded for t in c), np.uint32, int(counts.sum()))
-        while base + len(coded) > len(self.lengths):
+    def _keep(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        base = self.known.count
+        while base + len(counts) > len(self.lengths):
             self.lengths, self.starts = np.resize(self.lengths, 2 * len(self.lengths)), np.resize(self.starts, 2 * len(self.starts))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        slots = np.arange(base, base + len(coded))
+        slots = np.arange(base, base + len(counts))
         self.lengths[slots] = counts
         self.starts[slots] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + len(flat)] = flat

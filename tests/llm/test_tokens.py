@@ -63,6 +63,20 @@ def test_pair_check_and_merges_agree_with_the_library(rng, library):
     assert 0 < greedy < len(words)  # some proposals fail and some hold
 
 
+def test_words_of_all_sizes_stay_arrays(rng):
+    """Ids of short, long and empty words, those whose proposals fail too, come one word after the other with their numbers."""
+    coder = bpe.Tokenizer(vocabulary())
+    assert coder.encode_words([]) == [] and coder.encode_words([b""]) == [[]]
+    for alphabet in ("abdeinorst ", "e0\u00e9\u6570", "a"):
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, rng.randrange(90)]))).encode() for _ in range(600)]
+        merged = [coder.merge(w) for w in words]
+        ids, counts = coder.encode_many(words)
+        assert ids.tolist() == [i for m in merged for i in m] and counts.tolist() == [len(m) for m in merged]
+        short = [w for w in words if 0 < len(w) <= bpe.SIDE_BY_SIDE_BYTES]
+        ids, counts = coder.merge_many(short)
+        assert ids.tolist() == [i for w in short for i in coder.merge(w)] and counts.tolist() == [len(coder.merge(w)) for w in short]
+
+
 def test_cache_starts_anew(spark, rng, library, monkeypatch):
     coder = bpe.Tokenizer(vocabulary())
     monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
