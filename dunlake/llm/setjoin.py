@@ -30,7 +30,8 @@ BLOCK_TOKENS = 1 << 21
 #: Open pairs are compared in turns by a hash of the pair: a share of 2^-8 first, then 2^-4, then all. In a large group of near
 #: copies the first pairs join nearly all sets, so that few pairs are open in the later turns.
 TURNS = (8, 4, 0)
-#: Lists of at most so many sets give all their open pairs in the first turn; later turns take the sets of longer lists only.
+#: Lists of at most so many sets give all their open pairs in the first turn, and so do longer lists with at most so many open
+#: pairs for every two sets; later turns take the sets of all other lists only.
 FEW = 32
 #: Shingles of a bucket are sorted in so many shares, one after the other.
 SHARES = 16
@@ -352,8 +353,9 @@ def _marks(ids: np.ndarray, versions: np.ndarray) -> np.ndarray:
 def _open_pairs(low: int, high: int, few: int):
     """Pairs of a list that are in different components and that no bound rules out.
 
-    Of a list of more than ``few`` sets those with a hash from ``low`` up to ``high``, and before the last turn also its
-    sets, without another one, for the next turn. Of shorter lists all pairs in the first turn, and none later.
+    A list of at most ``few`` sets gives all of them in the first turn, and none later. A longer list gives all that earlier
+    turns left, if they are at most ``few`` for every two of its sets; else those with a hash from ``low`` up to ``high``,
+    and before the last turn also its sets, without another one, for the next turn.
     """
     return lambda batches: _open_batches(batches, low, high, few)
 
@@ -361,40 +363,64 @@ def _open_pairs(low: int, high: int, few: int):
 def _open_batches(batches: Iterator[pa.RecordBatch], low: int, high: int, few: int) -> Iterator[pa.RecordBatch]:
     limit = 1 - PERCENT / 100 + 1e-9
     first, last = low == 0, high == (1 << 64) - 1
-    low, high = np.uint64(low), np.uint64(high)
+    low, high, top = np.uint64(low), np.uint64(high), np.uint64((1 << 64) - 1)
     for tokens, ids, versions, sizes, rests, labels, leaders, distances in _lists(batches):
         edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         ends = np.append(edge[1:], len(tokens))
         mixed = np.minimum.reduceat(labels, edge) != np.maximum.reduceat(labels, edge) if len(edge) else np.zeros(0, bool)
-        long = mixed & (ends - edge > few)
-        if long.any() and not last:
-            yield _waiting(ids[at := np.repeat(long, ends - edge)], versions[at])
-        taken = mixed if first else long
+        taken = mixed if first else mixed & (ends - edge > few)
         marks = _marks(ids, versions)
         own = marks.view(np.int64)
+        waits = np.zeros(len(tokens), bool)
         found, size = [], 0
         for start, end in zip(edge[taken].tolist(), ends[taken].tolist(), strict=True):
             n = sizes[start:end].astype(np.int64)
             # sizes ascend: the block of sets small enough to link with each one is a range
             stop = np.searchsorted(n, n * 100 // PERCENT, "right") + start
+            # pairs of a long list are held until it ends, or has too many to give them all
+            room = 0 if last or end - start <= few else min((end - start) * few // 2, BLOCK_TOKENS // 4)
+            held, count, part = [], 0, last
             for i in range(start, end - 1):
                 j = np.arange(i + 1, stop[i - start])
                 j = j[labels[j] != labels[i]]
-                if end - start > few:
-                    turn = mix(marks[j] + marks[i])
-                    j = j[(turn >= low) & (turn <= high)]
+                if part and end - start > few:
+                    j = j[_in_turn(marks, i, j, low, high)]
                 need = least_overlap(n[j - start], n[i - start])
                 j = j[np.minimum(rests[j], rests[i]) >= need]
                 apart = (leaders[j] == leaders[i]) & (np.abs(distances[j] - distances[i]) > limit)
                 j = j[~apart & ~((leaders[j] == own[i]) | (leaders[i] == own[j]))]
-                if len(j):
-                    found.append((np.full(len(j), ids[i]), np.full(len(j), versions[i]), ids[j], versions[j]))
-                    size += len(j)
+                if not part and not first:
+                    j = j[_in_turn(marks, i, j, low, top)]
+                if not len(j):
+                    continue
+                held.append((i, j))
+                count += len(j)
+                if not part and room and count > room:
+                    part, waits[start:end] = True, True
+                    held = [(a, b[_in_turn(marks, a, b, low, high)]) for a, b in held]
+                if part or not room:
+                    found += held
+                    size += sum(len(b) for _, b in held)
+                    held = []
                 if size >= BLOCK_TOKENS // 4:
-                    yield _distinct_pairs(found)
+                    yield _distinct_pairs(_named(found, ids, versions))
                     found, size = [], 0
-        if found:
-            yield _distinct_pairs(found)
+            found += held
+            size += sum(len(b) for _, b in held)
+        if size:
+            yield _distinct_pairs(_named(found, ids, versions))
+        if waits.any():
+            yield _waiting(ids[waits], versions[waits])
+
+
+def _in_turn(marks: np.ndarray, i: int, j: np.ndarray, low: np.uint64, high: np.uint64) -> np.ndarray:
+    """Whether the pairs of i and each of j have a hash from ``low`` up to ``high``."""
+    turn = mix(marks[j] + marks[i])
+    return (turn >= low) & (turn <= high)
+
+
+def _named(found: list[tuple[int, np.ndarray]], ids: np.ndarray, versions: np.ndarray) -> list[tuple]:
+    return [(np.full(len(j), ids[i]), np.full(len(j), versions[i]), ids[j], versions[j]) for i, j in found]
 
 
 def _waiting(ids: np.ndarray, versions: np.ndarray) -> pa.RecordBatch:
@@ -457,8 +483,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     No group is brought together: equal sets reach a bucket once per task, a shingle's list gives one pair per set, and
     pairs inside a component are never formed. Open pairs are those between components that share a listed shingle; they
-    are compared in turns, and links of one turn close pairs of the next; only sets of long lists with sets of several
-    components take a second turn. Stored are the sets that may link, with their shared shingles.
+    are compared in turns, and links of one turn close pairs of the next; only sets of long lists with many open pairs
+    take a second turn. Stored are the sets that may link, with their shared shingles.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -479,7 +505,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nearest = nearest.select("id", "version", "o.other_id", "o.other_version")
     checked = stored(_check(nearest, sets), "leader-links")
     edges = checked.where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")).unionByName(copies)
-    found = stored(components(edges), "components")
+    found = components(edges)
 
     label = F.coalesce("component_id", "id").alias("label")
     prefix = F.expr(f"substring(tokens, 1, 8 * (length(tokens) div 8 - (n * {PERCENT} + 99) div 100 + 1))")
@@ -499,7 +525,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if more.head(1):
             # stars of the components so far and the links between them
             stars = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            found = stored(components(more.unionByName(stars)), "components")
+            found = components(more.unionByName(stars))
         left = open_.where("other_id is null")
         if not left.head(1):
             break

@@ -194,3 +194,33 @@ def test_short_lists_take_one_turn(spark, rng, monkeypatch):
     tables = dict(written)
     ends = {(r[a], r[b]) for r in tables["open-pairs"].collect() for a, b in ((0, 1), (2, 3))}
     assert {(r.id, r.version) for r in tables["open-sets"].collect()} == ends
+
+
+def postings(n, able):
+    """One list of n sets of one size, all in different components, of which the first ``able`` can reach the threshold."""
+    ids, rests = np.arange(n), np.where(np.arange(n) < able, 100, 10)
+    columns = (np.full(n, 5), ids, ids, np.full(n, 100), rests, ids, np.full(n, -1 << 62), np.zeros(n))
+    packed = [[setjoin.binary(c.astype(k))] for c, k in zip(columns, setjoin._KINDS, strict=True)]
+    return setjoin.rows(setjoin._POSTINGS, [[0], *packed])
+
+
+def turns(batch):
+    """Pairs and waiting sets of every turn."""
+    out, low = [], 0
+    for bits in setjoin.TURNS:
+        high = (1 << 64 - bits) - 1
+        found = [r for b in setjoin._open_pairs(low, high, setjoin.FEW)(iter([batch])) for r in b.to_pylist()]
+        out.append(({(r["id"], r["other_id"]) for r in found if r["other_id"] is not None}, {r["id"] for r in found if r["other_id"] is None}))
+        low = high + 1
+    return out
+
+
+def test_long_list_with_few_open_pairs_takes_one_turn():
+    pairs, waiting = turns(postings(300, 40))[0]
+    assert pairs == {(a, b) for b in range(40) for a in range(b)} and not waiting
+
+
+def test_long_list_with_many_open_pairs_takes_every_turn():
+    (one, waits), (two, waits_again), (three, none) = turns(postings(300, 300))
+    assert one | two | three == {(a, b) for b in range(300) for a in range(b)} and len(one) + len(two) + len(three) == 300 * 299 // 2
+    assert waits == waits_again == set(range(300)) and not none and 16 * len(one) < len(three) > 8 * len(two)
