@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunlake.llm.common import rows, slices, stored, texts
+from dunlake.llm.common import rows, slices, stored, texts, tidied
 from dunlake.llm.ngrams import log_ratio, mean_ratios
 
 #: Log weights are mean log ratios divided by this; the Gumbel noise has scale 1.
@@ -34,7 +34,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPER
                 done += len(part)
                 yield rows(_SCHEMA, [ids, pa.array(mean / temperature, pa.float64(), mask=n == 0)])
 
-    return texts(docs).mapInArrow(weigh, "doc_id long, log_weight double")
+    return texts(docs).mapInArrow(tidied(weigh), "doc_id long, log_weight double")
 
 
 def with_gumbel_key(weights: DataFrame, seed: int = SEED) -> DataFrame:
@@ -133,4 +133,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row, ids, weights], names=["row", "doc_id", "log_weight"])
 
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_gumbel_key(whole.mapInArrow(weigh, schema)).where(F.col("gumbel_key") >= F.lit(least)).select("row.*")
+    return with_gumbel_key(whole.mapInArrow(tidied(weigh), schema)).where(F.col("gumbel_key") >= F.lit(least)).select("row.*")

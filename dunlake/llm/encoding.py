@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlake.llm.bpe import byte_table, tokenizer
-from dunlake.llm.common import rows, ship_package, slices, texts
+from dunlake.llm.common import rows, ship_package, slices, texts, tidied
 from dunlake.llm.packing import TOKEN_SLICE_BYTES
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -35,7 +35,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield rows(_ENCODED, [doc_ids, lists])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 _DECODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("text", pa.string())])
@@ -63,4 +63,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     ship_package(encoded)
     filled = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return filled.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, text string")
+    return filled.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, text string")

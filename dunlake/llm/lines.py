@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunlake.llm.common import Slice, binary, blobs, rows, ship_package, slices, stored
+from dunlake.llm.common import Slice, binary, blobs, rows, ship_package, slices, stored, tidied
 from dunlake.llm.hashing import IS_SPACE, gram_hashes, text_hashes, word_bounds
 
 #: Lines in a fingerprint, and fingerprints in a window. A fingerprint is as long as the shortest run that counts, so its first
@@ -182,9 +182,9 @@ def repeated_runs(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = W
     Only line hashes are shuffled. First occurrences are pre-aggregated; a fingerprint of very many texts is joined with
     one row, which skew handling splits.
     """
-    hashed = keyed_texts(docs.where("doc_id is not null")).mapInArrow(_line_hashes(long_words), "id long, version long, lines binary, words binary")
+    hashed = keyed_texts(docs.where("doc_id is not null")).mapInArrow(tidied(_line_hashes(long_words)), "id long, version long, lines binary, words binary")
     lines = stored(hashed.dropDuplicates(["id", "version"]), "line-hashes")
-    prints = stored(lines.mapInArrow(_fingerprints(gram_lines, window, long_words), _PRINTS_DDL), "line-fingerprints")
+    prints = stored(lines.mapInArrow(tidied(_fingerprints(gram_lines, window, long_words)), _PRINTS_DDL), "line-fingerprints")
     first = F.min(F.struct("id", "version", "at")).alias("source")
     firsts = prints.groupBy("gram").agg(F.count("*").alias("n"), first).where("n > 1").select(
         "gram", F.col("source.id").alias("source_id"), F.col("source.version").alias("source_version"), F.col("source.at").alias("source_at")
@@ -198,7 +198,7 @@ def repeated_runs(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = W
     sided = pairs.join(lines, ["id", "version"]).join(source, ["source_id", "source_version"])
     runs = sided.select(
         "id", "version", F.col("places.at").alias("at"), F.col("places.source_at").alias("source_at"), F.col("places.size").alias("size"), "lines", "source_lines"
-    ).mapInArrow(_extended(gram_lines, gram_lines + window - 1), "id long, version long, starts array<int>, ends array<int>")
+    ).mapInArrow(tidied(_extended(gram_lines, gram_lines + window - 1)), "id long, version long, starts array<int>, ends array<int>")
     return runs.groupBy("id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
@@ -244,7 +244,7 @@ def _with_clean_text(docs: DataFrame, gram_lines: int, window: int) -> DataFrame
     schema = T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("text", T.StringType())])
     for name in ("n_lines", "n_removed", "n_spans"):
         schema = schema.add(name, T.LongType())
-    return joined.mapInArrow(_cleaned, schema)
+    return joined.mapInArrow(tidied(_cleaned), schema)
 
 
 def dedup_lines(docs: DataFrame, gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:

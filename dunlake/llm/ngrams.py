@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlake.llm.common import Slice, rows, slices, texts
+from dunlake.llm.common import Slice, rows, slices, texts, tidied
 from dunlake.llm.hashing import gram_hashes, word_hashes
 
 #: Buckets of words and word pairs. The model is one number a bucket, so its size is fixed.
@@ -72,7 +72,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS) -> np
 
     flagged = texts(docs).join(trusted(labels).hint("shuffle_hash"), "id", "left")
     flagged = flagged.select("id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counted = flagged.mapInArrow(count, "bucket int, target long, raw long")
+    counted = flagged.mapInArrow(tidied(count), "bucket int, target long, raw long")
     found = counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
     target, raw = np.zeros(size), np.zeros(size)
     for row in found:

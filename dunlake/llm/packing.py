@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunlake.llm.bpe import tokenizer
-from dunlake.llm.common import rows, shuffle_partitions, slices, stored, texts
+from dunlake.llm.common import rows, shuffle_partitions, slices, stored, texts, tidied
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE_TOKENS) -> Dat
                 done += n
                 yield rows(_PIECES, [doc_ids, piece.astype(np.int32), start, length, crc])
 
-    return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE_TOKENS) -> list[tuple[int, int, int, int, int]]:

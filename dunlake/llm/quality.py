@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dunlake.llm.common import Slice, rows, slices, texts
+from dunlake.llm.common import Slice, rows, slices, texts, tidied
 from dunlake.llm.hashing import IS_SPACE, gram_hashes, text_hashes, word_bounds
 from dunlake.llm.ngrams import log_ratio, mean_ratios
 
@@ -105,4 +105,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 done += len(part)
                 yield rows(_SCHEMA, [ids, *counts.values(), failed, score, ~failed & (score >= threshold)])
 
-    return texts(docs).mapInArrow(judge, _DDL)
+    return texts(docs).mapInArrow(tidied(judge), _DDL)

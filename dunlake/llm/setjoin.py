@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunlake.llm.common import binary, blobs, cut, rows, shuffle_partitions, slices, stored, texts
+from dunlake.llm.common import binary, blobs, cut, rows, shuffle_partitions, slices, stored, texts, tidied
 from dunlake.llm.graph import components
 from dunlake.llm.hashing import MULTIPLIERS, mix, shingles, word_hashes
 
@@ -464,7 +464,7 @@ def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact overlap of each pair of sets."""
     other = sets.select(F.col("id").alias("other_id"), F.col("version").alias("other_version"), F.col("n").alias("other_n"), F.col("tokens").alias("other_tokens"))
     sided = pairs.join(sets.select("id", "version", "n", "tokens"), ["id", "version"]).join(other, ["other_id", "other_version"])
-    return sided.select("id", "version", "other_id", "other_version", "n", "other_n", "tokens", "other_tokens").mapInArrow(_compared, _CHECKED_DDL)
+    return sided.select("id", "version", "other_id", "other_version", "n", "other_n", "tokens", "other_tokens").mapInArrow(tidied(_compared), _CHECKED_DDL)
 
 
 def _ends(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -491,17 +491,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Few buckets, so that a set has several shingles in each and its id is sent with all of them.
     buckets = n
     given = texts(docs)
-    dealt = given.where("id is not null").mapInArrow(_set_lists(buckets), _SETS_DDL).repartition(n, "bucket")
-    common = dealt.mapInArrow(_shared_tokens(4 * n), _SHARED_DDL).repartition(n, "part")
-    table = stored(common.mapInArrow(_assembled(buckets), _TABLE_DDL), "shingle-sets")
+    dealt = given.where("id is not null").mapInArrow(tidied(_set_lists(buckets)), _SETS_DDL).repartition(n, "bucket")
+    common = dealt.mapInArrow(tidied(_shared_tokens(4 * n)), _SHARED_DDL).repartition(n, "part")
+    table = stored(common.mapInArrow(tidied(_assembled(buckets)), _TABLE_DDL), "shingle-sets")
     # rows with the same id and set stand for one set
     sets = table.where("tokens is not null and same_as = id").select("id", "version", "n", "tokens")
     copies = table.where("same_as != id").select(F.col("id").alias("a"), F.col("same_as").alias("b"))
 
     shared = F.expr("length(tokens) div 8").alias("shared")
     plain = sets.select("id", "version", "n", shared, "tokens", F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("leader"), F.lit(0.0).alias("distance"))
-    lists = plain.mapInArrow(_postings(buckets), _POSTINGS_DDL).repartition(n, "bucket")
-    nearest = lists.mapInArrow(_leaders, _PAIRS_DDL).groupBy("id", "version").agg(F.min(F.struct("other_id", "other_version")).alias("o"))
+    lists = plain.mapInArrow(tidied(_postings(buckets)), _POSTINGS_DDL).repartition(n, "bucket")
+    nearest = lists.mapInArrow(tidied(_leaders), _PAIRS_DDL).groupBy("id", "version").agg(F.min(F.struct("other_id", "other_version")).alias("o"))
     nearest = nearest.select("id", "version", "o.other_id", "o.other_version")
     checked = stored(_check(nearest, sets), "leader-links")
     edges = checked.where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")).unionByName(copies)
@@ -518,8 +518,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         known = sets.select("id", "version").join(found, "id", "left").join(near, ["id", "version"], "left")
         known = known.select("id", "version", label, F.coalesce("leader", F.lit(-1 << 62)).alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
         told = waiting.join(known, ["id", "version"]).select("id", "version", "n", "shared", "tokens", "label", "leader", "distance")
-        lists = told.mapInArrow(_postings(buckets), _POSTINGS_DDL).repartition(n, "bucket")
-        open_ = stored(lists.mapInArrow(_open_pairs(low, high, FEW), _PAIRS_DDL).distinct(), "open-pairs")
+        lists = told.mapInArrow(tidied(_postings(buckets)), _POSTINGS_DDL).repartition(n, "bucket")
+        open_ = stored(lists.mapInArrow(tidied(_open_pairs(low, high, FEW)), _PAIRS_DDL).distinct(), "open-pairs")
         pairs = open_.where("other_id is not null")
         more = stored(_check(pairs, _ends(pairs, sets)).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")), "open-links")
         if more.head(1):
@@ -535,7 +535,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sized = table.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
     labelled = sized.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     labelled = labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = given.where("id is null").mapInArrow(_sizes, "n_shingles long")
+    nameless = given.where("id is null").mapInArrow(tidied(_sizes), "n_shingles long")
     return labelled.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 

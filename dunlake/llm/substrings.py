@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunlake.llm.common import Slice, binary, blobs, byte_column, cut, rows, shuffle_partitions, slices, stored
+from dunlake.llm.common import Slice, binary, blobs, byte_column, cut, rows, shuffle_partitions, slices, stored, tidied
 from dunlake.llm.hashing import BASE_INVERSE, BYTE_VALUES, mix, powers, prefix_sums
 from dunlake.llm.lines import keyed_texts, with_new_text
 
@@ -503,7 +503,7 @@ def packed_texts(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     row = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("version"), *row, text.alias("text"))
     schema = T.StructType([f for f in given.schema.fields if f.name != "text"]).add("packed", T.BinaryType())
-    return given.mapInArrow(_pack_texts, schema)
+    return given.mapInArrow(tidied(_pack_texts), schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -519,13 +519,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     known = docs.where("doc_id is not null")
     buckets = 16 * n
-    grams = keyed_texts(known).select("id", "text").mapInArrow(_gram_lists(buckets), _SEEN_DDL)
-    hints = grams.repartition(n, "bucket").mapInArrow(_repeated_grams(4 * n), "part int, ids binary, places binary")
-    hints = stored(hints.repartition(n, "part").mapInArrow(_per_document, "id long, places binary"), "gram-places")
+    grams = keyed_texts(known).select("id", "text").mapInArrow(tidied(_gram_lists(buckets)), _SEEN_DDL)
+    hints = grams.repartition(n, "bucket").mapInArrow(tidied(_repeated_grams(4 * n)), "part int, ids binary, places binary")
+    hints = stored(hints.repartition(n, "part").mapInArrow(tidied(_per_document), "id long, places binary"), "gram-places")
     texts = packed_texts(known).join(hints, "id").select("id", "version", "packed", "places")
-    contexts = texts.mapInArrow(_context_lists(buckets), _CONTEXTS_DDL)
-    ranges = contexts.repartition(n, "bucket").mapInArrow(_sorted_buckets(4 * n), "part int, ids binary, versions binary, starts binary, ends binary")
-    return stored(ranges.repartition(n, "part").mapInArrow(_merged, "id long, version long, starts binary, ends binary"), "repeated-spans")
+    contexts = texts.mapInArrow(tidied(_context_lists(buckets)), _CONTEXTS_DDL)
+    ranges = contexts.repartition(n, "bucket").mapInArrow(tidied(_sorted_buckets(4 * n)), "part int, ids binary, versions binary, starts binary, ends binary")
+    return stored(ranges.repartition(n, "part").mapInArrow(tidied(_merged), "id long, version long, starts binary, ends binary"), "repeated-spans")
 
 
 def _kept(as_text: bool):
@@ -560,7 +560,7 @@ def _without_spans(docs: DataFrame, carry: list[str], as_text: bool = False) ->
     schema = T.StructType([joined.schema["row"]]).add("kept", T.StringType() if as_text else T.BinaryType())
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, T.LongType())
-    return joined.mapInArrow(_kept(as_text), schema.add("kept_sha256", T.StringType()))
+    return joined.mapInArrow(tidied(_kept(as_text)), schema.add("kept_sha256", T.StringType()))
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
