@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+#: Spark's limit of an Arrow batch on its way to a task's worker; 64 MB if nobody sets it.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int) -> Iterator[None]:
+    """What is stored meanwhile gives its kernels batches of about ``limit`` bytes; a limit that the session sets holds instead.
+
+    The executor holds a batch in buffers that grow by doubling, and the worker holds it once more.
+    """
+    if spark.conf.get(_BATCH, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

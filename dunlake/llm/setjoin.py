@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunlake.llm.common import binary, blobs, cut, rows, shuffle_partitions, slices, stored, texts, tidied
+from dunlake.llm.common import binary, blobs, cut, rows, shuffle_partitions, slices, small_batches, stored, texts, tidied
 from dunlake.llm.graph import components
 from dunlake.llm.hashing import MULTIPLIERS, mix, shingles, word_hashes
 
@@ -27,6 +27,8 @@ PERCENT = 75
 #: Bytes of a shingle's number within its bucket. Buckets grow with the partitions, so numbers have 40 bits and more.
 TOKEN_BYTES = 5
 BLOCK_TOKENS = 1 << 21
+#: Bytes of an Arrow batch. Rows of pairs hold the shingles of two sets, so a batch of Spark's 64 MB would be as much as a task needs.
+BATCH_BYTES = 1 << 23
 #: Open pairs are compared in turns by a hash of the pair: a share of 2^-8 first, then 2^-4, then all. In a large group of near
 #: copies the first pairs join nearly all sets, so that few pairs are open in the later turns.
 TURNS = (8, 4, 0)
@@ -222,6 +224,8 @@ def _meta_rows(ids: np.ndarray, versions: np.ndarray, sizes: np.ndarray, other:
 
 _TABLE = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("same_as", pa.int64()), ("tokens", pa.binary())])
 _TABLE_DDL = "id long, version long, n long, same_as long, tokens binary"
+#: Bytes of a row of this table without its shingles.
+ROW_BYTES = 40
 
 
 def _assembled(buckets: int):
@@ -261,9 +265,13 @@ def _assembled(buckets: int):
                 at = place[i, v]
                 if b - a >= -(-PERCENT * int(sizes[at]) // 100):
                     packed[at] = binary(tokens[a:b])
-        for at in range(0, len(ids), 2000):
-            here = slice(at, at + 2000)
+        total = np.cumsum([ROW_BYTES + len(p or b"") for p in packed])
+        at = 0
+        while at < len(ids):
+            end = int(np.searchsorted(total, (total[at - 1] if at else 0) + BATCH_BYTES, "right"))
+            here = slice(at, max(end, at + 1))
             yield rows(_TABLE, [ids[here], versions[here], sizes[here], same[here], pa.array(packed[here], pa.binary())])
+            at = here.stop
 
     return run
 
@@ -473,6 +481,14 @@ def _ends(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(sets.select("id", "version", "n", "tokens").join(ends.distinct(), ["id", "version"], "left_semi"), "open-sets")
 
 
+def _gathered(links: DataFrame, key: str) -> DataFrame:
+    """Rows of few bytes from tasks that read many, dealt anew by size, so that they are stored in few files.
+
+    Every file costs work beyond its bytes; a local folder has its rights set by processes that the executor starts.
+    """
+    return links.hint("rebalance", key)
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Group documents by similar shingle sets: (doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -486,8 +502,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     are compared in turns, and links of one turn close pairs of the next; only sets of long lists with many open pairs
     take a second turn. Stored are the sets that may link, with their shared shingles.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    n = shuffle_partitions(docs.sparkSession)
     # Few buckets, so that a set has several shingles in each and its id is sent with all of them.
     buckets = n
     given = texts(docs)
@@ -503,9 +523,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = plain.mapInArrow(tidied(_postings(buckets)), _POSTINGS_DDL).repartition(n, "bucket")
     nearest = lists.mapInArrow(tidied(_leaders), _PAIRS_DDL).groupBy("id", "version").agg(F.min(F.struct("other_id", "other_version")).alias("o"))
     nearest = nearest.select("id", "version", "o.other_id", "o.other_version")
-    checked = stored(_check(nearest, sets), "leader-links")
+    checked = stored(_gathered(_check(nearest, sets), "id"), "leader-links")
     edges = checked.where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")).unionByName(copies)
-    found = components(edges)
+    found = components(_gathered(edges, "a"))
 
     label = F.coalesce("component_id", "id").alias("label")
     prefix = F.expr(f"substring(tokens, 1, 8 * (length(tokens) div 8 - (n * {PERCENT} + 99) div 100 + 1))")
@@ -521,7 +541,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         lists = told.mapInArrow(tidied(_postings(buckets)), _POSTINGS_DDL).repartition(n, "bucket")
         open_ = stored(lists.mapInArrow(tidied(_open_pairs(low, high, FEW)), _PAIRS_DDL).distinct(), "open-pairs")
         pairs = open_.where("other_id is not null")
-        more = stored(_check(pairs, _ends(pairs, sets)).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b")), "open-links")
+        links = _check(pairs, _ends(pairs, sets)).where("linked").select(F.col("id").alias("a"), F.col("other_id").alias("b"))
+        more = stored(_gathered(links, "a"), "open-links")
         if more.head(1):
             # stars of the components so far and the links between them
             stars = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))

@@ -224,3 +224,41 @@ def test_long_list_with_many_open_pairs_takes_every_turn():
     (one, waits), (two, waits_again), (three, none) = turns(postings(300, 300))
     assert one | two | three == {(a, b) for b in range(300) for a in range(b)} and len(one) + len(two) + len(three) == 300 * 299 // 2
     assert waits == waits_again == set(range(300)) and not none and 16 * len(one) < len(three) > 8 * len(two)
+
+
+def test_long_sets_come_in_small_batches_and_links_in_few_files(spark, rng, monkeypatch, tmp_path):
+    """A batch for a worker is bounded by its bytes, and links of few bytes are gathered from the tasks that found them."""
+    folder, limit, written = str(tmp_path), 1 << 18, []
+
+    def noting(kernel):
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    if "other_tokens" in batch.schema.names:
+                        with open(f"{folder}/bytes", "a") as f:
+                            f.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            yield from kernel(noted())
+
+        return run
+
+    monkeypatch.setattr(setjoin, "tidied", noting)
+    monkeypatch.setattr(setjoin, "BATCH_BYTES", limit, raising=False)
+    monkeypatch.setattr(setjoin, "stored", lambda df, name, store=setjoin.stored: written.append((name, out := store(df, name))) or out)
+    base = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    docs = [(i, " ".join([*base[: i * 7], f"x{i}", *base[i * 7 :]]), "x", 1) for i in range(60)]
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = jaccard_components(spark.createDataFrame(docs, SCHEMA).repartition(5))
+        assert [r.component_id for r in got.collect()] == [0] * 60
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    sizes = [int(line) for line in open(f"{folder}/bytes")]
+    assert max(sizes) < 2 * limit
+    assert len(dict(written)["leader-links"].inputFiles()) == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(limit)
