@@ -18,6 +18,10 @@ SEQUENCE_TOKENS = 2048
 END_ID = 0
 #: Text that is tokenized at once: unknown words are encoded together, but arrays take about 40 bytes a byte.
 TOKEN_SLICE_BYTES = 1 << 20
+#: Shuffle partitions for each file of the stored pieces, which take a small part of their texts' bytes.
+PARTITIONS_A_FILE = 16
+#: Pieces that a task of the result has at least, if there are as many.
+TASK_PIECES = 1 << 15
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -116,10 +120,14 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE_TOKENS) -> DataF
     Pieces are tokenized once and stored. The driver sees one count a length (``size`` at most) and plans; the plan has
     no row per document. A piece's rank within its length is its place in its bucket of ids plus the counts of earlier
     buckets, so a length that holds most pieces is ranked by many tasks.
+
+    Rows are few bytes each, so both the stored pieces and the result are gathered into few tasks. Every file costs work
+    beyond its bytes; a local folder has its rights set by processes that the executor starts.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
-    cut = stored(pieces(docs, vocabulary, size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pieces")
+    found = pieces(docs, vocabulary, size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    cut = stored(found.repartition(-(-buckets // PARTITIONS_A_FILE)), "pieces")
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     slots = spark.createDataFrame(
@@ -135,6 +143,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE_TOKENS) -> DataF
     rank = F.col("before") + F.col("local")
     fits = (F.col("length") == F.col("slot_length")) & (rank >= F.col("slot_rank")) & (rank < F.col("slot_rank") + F.col("slot_count"))
     # The plan's size is bounded by the lengths there are, whatever the number of documents.
-    return ranked.join(F.broadcast(slots), fits).select(
+    placed = ranked.join(F.broadcast(slots), fits).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + rank - F.col("slot_rank")).alias("sequence_id"), "offset"
     )
+    return placed.coalesce(max(1, -(-sum(histogram.values()) // TASK_PIECES)))

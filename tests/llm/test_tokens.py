@@ -160,6 +160,29 @@ def test_pack(spark, rng, library):
     assert len(sequences) == plain_best_fit([r.length for r in found], 2048)
 
 
+@pytest.mark.parametrize("task_pieces", [1 << 15, 100])
+def test_pack_writes_files_by_rows(spark, tmp_path, monkeypatch, task_pieces):
+    """Neither input partitions nor shuffle partitions make a file each, and no piece is lost or moved twice."""
+    monkeypatch.setattr("dunlake.llm.packing.TASK_PIECES", task_pieces, raising=False)
+    monkeypatch.setattr("dunlake.session.work_folder", lambda _: str(tmp_path / "work"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    df = spark.range(430).selectExpr("id AS doc_id", "repeat('ab c', cast(id % 50 AS int)) AS text").repartition(24)
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        pack(df, vocabulary()).write.parquet(str(tmp_path / "out"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert len([*tmp_path.glob("work/pieces-*/part-*")]) <= 3
+    assert len([*tmp_path.glob("out/part-*")]) <= -(-430 // task_pieces)
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.doc_id for r in found) == list(range(430)) and {r.piece for r in found} == {0}
+    assert len({r.sequence_id for r in found}) == plain_best_fit([r.length for r in found], 2048)
+    assert len({(r.sequence_id, r.offset) for r in found}) == 430
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert encode(df, vocabulary()).collect() == [] and pack(df, vocabulary()).collect() == []
