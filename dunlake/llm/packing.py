@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dunlake.llm.bpe import tokenizer
-from dunlake.llm.common import rows, shuffle_partitions, slices, stored, texts, tidied
+from dunlake.llm.common import rows, shuffle_partitions, slices, small_batches, stored, texts, tidied
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 #: Text that is tokenized at once: unknown words are encoded together, but arrays take about 40 bytes a byte.
 TOKEN_SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch of texts. Only a slice is tokenized at once, so a batch of Spark's 64 MB would be held for nothing.
+BATCH_BYTES = 1 << 22
 #: Shuffle partitions for each file of the stored pieces, which take a small part of their texts' bytes.
 PARTITIONS_A_FILE = 16
 #: Pieces that a task of the result has at least, if there are as many.
@@ -127,7 +129,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE_TOKENS) -> DataF
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     found = pieces(docs, vocabulary, size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    cut = stored(found.repartition(-(-buckets // PARTITIONS_A_FILE)), "pieces")
+    with small_batches(spark, BATCH_BYTES):
+        cut = stored(found.repartition(-(-buckets // PARTITIONS_A_FILE)), "pieces")
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     slots = spark.createDataFrame(

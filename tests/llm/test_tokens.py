@@ -9,6 +9,7 @@ from tokenizers import Tokenizer as Library
 
 from dunlake.llm import bpe
 from dunlake.llm.bpe import tokenizer
+from dunlake.llm.common import stored
 from dunlake.llm.encoding import decode, encode
 from dunlake.llm.packing import pack, plan
 from dunlake.llm.queries import vocabulary
@@ -183,6 +184,14 @@ def test_pack_writes_files_by_rows(spark, tmp_path, monkeypatch, task_pieces):
     assert len({(r.sequence_id, r.offset) for r in found}) == 430
 
 
+def test_pack_gets_texts_in_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr("dunlake.llm.packing.stored", lambda df, name: seen.append(spark.conf.get(key, None)) or stored(df, name))
+    df = spark.createDataFrame([(1, "a", "x", 1)], SCHEMA)
+    assert [r.length for r in pack(df, vocabulary()).collect()] == [2]
+    assert seen[0] is not None and int(seen[0]) <= 8 << 20 and spark.conf.get(key, None) is None
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert encode(df, vocabulary()).collect() == [] and pack(df, vocabulary()).collect() == []
