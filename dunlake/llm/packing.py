@@ -22,7 +22,7 @@ TOKEN_SLICE_BYTES = 1 << 20
 BATCH_BYTES = 1 << 22
 #: Shuffle partitions for each file of the stored pieces, which take a small part of their texts' bytes.
 PARTITIONS_A_FILE = 16
-#: Pieces that a task of the result has at least, if there are as many.
+#: The result has a task for so many pieces, or one for each shuffle partition if those are fewer.
 TASK_PIECES = 1 << 15
 
 _PIECES = pa.schema(
